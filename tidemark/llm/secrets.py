@@ -179,7 +179,7 @@ def scan(docs: DataFrame, rules=RULES, text_col: str = "text", name: str = "foun
 
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
     joined = keyed.join(found.hint("shuffle_hash"), "__key", "left")
-    return joined.withColumn(name, verify(F.col(text_col), F.col("__kinds"))).select(*docs.columns, name)
+    return joined.withColumn(name, verify(F.col(text_col), F.col("__kinds"))).select(*[c for c in docs.columns if c != name], name)
 
 
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ target size. Only histograms reach the driver: at most BINS rows per open node a
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,93 +16,88 @@ from pyspark.sql import functions as F
 from .common import documents, prefix_sums, stage
 
 #: A coordinate has COORD bits; below it HASH bits of the item's hash order items that share it.
-COORD, HASH, BINS = 24, 38, 256
+COORD, HASH, BINS = 24, 38, 1024
 
 
 @dataclass
 class Node:
-    leaves: int
-    first: int
-    dim: int = -1
-    cut: int = 0
-    sides: list["Node"] = field(default_factory=list)
-
-
-def _key(dim: int) -> Column:
-    return F.shiftleft(F.col(f"d{dim}"), HASH).bitwiseOR(F.col("low"))
-
-
-def _leaf(node: Node) -> Column:
-    """The id of the open node that an item is in: that of its first shard."""
-    if not node.sides:
-        return F.lit(node.first)
-    return F.when(_key(node.dim) <= F.lit(node.cut), _leaf(node.sides[0])).otherwise(_leaf(node.sides[1]))
-
-
-def _open(node: Node) -> list[Node]:
-    return [x for s in node.sides for x in _open(s)] if node.sides else [node] * (node.leaves > 1)
+    """An open node: its id is that of its first shard."""
 
-
-def _by_node(values: dict[int, int]) -> Column:
-    out = F.lit(None).cast("long")
-    for k, v in values.items():
-        out = F.when(F.col("node") == k, F.lit(v).cast("long")).otherwise(out)
-    return out
-
-
-def grow_tree(items: DataFrame, shards: int, dims: int, tolerance: float = 0.001) -> Node:
-    """items: d0..d(dims-1) (coordinates below 2^24), low (hash below 2^38), weight. All shards' leaves.
-
-    A cut is refined until its bin weighs less than `tolerance` of a leaf or is a single key. Trees
-    are nested expressions, so `shards` should stay below about a thousand; beyond that, shard the
-    shards.
+    first: int
+    leaves: int
+    total: int = 0
+    dim: int = 0
+    lo: int = 0
+    hi: int = 0
+    below: int = 0  # weight before lo
+    cut: int | None = None
+
+    @property
+    def want(self) -> float:
+        """The weight of the left side."""
+        return self.total * (self.leaves // 2) / self.leaves
+
+    @property
+    def width(self) -> int:
+        return -(-(self.hi - self.lo + 1) // BINS)
+
+
+def _with(items: DataFrame, rows: list[tuple], columns: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """items with a table of the open nodes: at most as many rows as there are shards, so it is broadcast."""
+    values = ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+    table = items.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+    return items.join(F.broadcast(table), "node", how)
+
+
+def _key(dims: int) -> Column:
+    """The coordinate along the node's dimension, then the item's hash."""
+    return F.shiftleft(F.get(F.array(*[F.col(f"d{i}") for i in range(dims)]), F.col("dim")), HASH).bitwiseOR(F.col("low"))
+
+
+def _refine(n: Node, seen: list[tuple[int, int, int, int]], tolerance: float) -> None:
+    """Narrow the node's range to the keys of the bin that holds its median, or set its cut."""
+    for _, w, least, most in sorted(seen):
+        if n.below + w >= n.want:
+            n.lo, n.hi = least, most
+            if least == most or w <= tolerance * n.total / n.leaves:
+                # The nearer side of the bin.
+                n.cut = most if n.want - n.below > n.below + w - n.want else least - 1
+            return
+        n.below += w
+    n.cut = n.hi
+
+
+def kd_leaves(items: DataFrame, shards: int, dims: int, tolerance: float = 0.001) -> DataFrame:
+    """items with `node`, the shard of each: d0..d(dims-1) (coordinates below 2^24), low (hash below 2^38), weight.
+
+    Every level splits all open nodes in the same jobs: one for their widths, and a few histograms,
+    each narrowing every median to the keys of one of BINS bins, until that bin weighs less than `tolerance` of a
+    shard or is a single key. Histograms of the open nodes are all that reaches the driver. Each
+    level is written, so that its jobs read one small table.
     """
-    root, spans = Node(shards, 0), None
-    while nodes := _open(root):
-        at = items.withColumn("node", _leaf(root)).where(F.col("node").isin([n.first for n in nodes]))
-        ends = [f(f"d{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-        stats = {r["node"]: r for r in at.groupBy("node").agg(F.sum("weight").alias("w"), *ends).collect()}
-        spans = spans or ([max(1, stats[0][f"hi{i}"] - stats[0][f"lo{i}"]) for i in range(dims)] if 0 in stats else [1] * dims)
-        ranges, want, below = {}, {}, {}
+    at, nodes, spans = items.withColumn("node", F.lit(0)), [Node(0, shards)], None
+    ends = [f(f"d{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    while nodes := [n for n in nodes if n.leaves > 1]:
+        stats = {r["node"]: r for r in _with(at, [(n.first,) for n in nodes], ("node",)).groupBy("node").agg(F.sum("weight").alias("w"), *ends).collect()}
+        spans = spans or [max(1, stats[0][f"hi{i}"] - stats[0][f"lo{i}"]) if stats else 1 for i in range(dims)]
         for n in nodes:
-            n.dim = 0
             if s := stats.get(n.first):
-                n.dim = max(range(dims), key=lambda i: ((s[f"hi{i}"] - s[f"lo{i}"]) / spans[i], -i))
-                ranges[n.first] = (s[f"lo{n.dim}"] << HASH, ((s[f"hi{n.dim}"] + 1) << HASH) - 1)
-                want[n.first], below[n.first] = s["w"] * (n.leaves // 2) / n.leaves, 0
-        by, done = {n.first: n for n in nodes}, set()
-        while live := [f for f in ranges if f not in done]:
-            width = {f: -(-(ranges[f][1] - ranges[f][0] + 1) // BINS) for f in live}
-            key = F.lit(None).cast("long")
-            for d in range(dims):
-                if own := [f for f in live if by[f].dim == d]:
-                    key = F.when(F.col("node").isin(own), _key(d)).otherwise(key)
-            inside = at.where(F.col("node").isin(live)).withColumn("key", key)
-            inside = inside.where((F.col("key") >= _by_node({f: ranges[f][0] for f in live})) & (F.col("key") <= _by_node({f: ranges[f][1] for f in live})))
-            inside = inside.withColumn("lo", _by_node({f: ranges[f][0] for f in live})).withColumn("width", _by_node(width))
-            seen: dict[int, list] = {f: [] for f in live}
-            for r in inside.groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("weight").alias("w")).collect():
-                seen[r["node"]].append((r["bin"], r["w"]))
-            for f in live:
-                lo, hi = ranges[f]
-                leaf = stats[f]["w"] / by[f].leaves
-                for b, w in sorted(seen[f]):
-                    if below[f] + w >= want[f]:
-                        ranges[f] = (lo + b * width[f], min(hi, lo + (b + 1) * width[f] - 1))
-                        if width[f] == 1 or w <= tolerance * leaf:
-                            # The nearer side of the bin.
-                            after = want[f] - below[f] > below[f] + w - want[f]
-                            by[f].cut = ranges[f][1] if after else ranges[f][0] - 1
-                            done.add(f)
-                        break
-                    below[f] += w
-                else:
-                    by[f].cut = hi
-                    done.add(f)
-        for n in nodes:
-            left = n.leaves // 2
-            n.sides = [Node(left, n.first), Node(n.leaves - left, n.first + left)]
-    return root
+                n.total, n.dim = s["w"], max(range(dims), key=lambda i: ((s[f"hi{i}"] - s[f"lo{i}"]) / spans[i], -i))
+                n.lo, n.hi = s[f"lo{n.dim}"] << HASH, ((s[f"hi{n.dim}"] + 1) << HASH) - 1
+            else:
+                n.cut = 0
+        while live := [n for n in nodes if n.cut is None]:
+            inside = _with(at, [(n.first, n.dim, n.lo, n.hi, n.width) for n in live], ("node", "dim", "lo", "hi", "width")).withColumn("key", _key(dims))
+            bins = inside.where("key between lo and hi").groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("weight").alias("w"), F.min("key").alias("least"), F.max("key").alias("most"))
+            seen: dict[int, list[tuple[int, int, int, int]]] = {n.first: [] for n in live}
+            for r in bins.collect():
+                seen[r["node"]].append((r["bin"], r["w"], r["least"], r["most"]))
+            for n in live:
+                _refine(n, seen[n.first], tolerance)
+        cut = _with(at, [(n.first, n.dim, n.cut, n.first + n.leaves // 2) for n in nodes], ("node", "dim", "cut", "right"), "left")
+        at = stage(cut.withColumn("node", F.when(_key(dims) > F.col("cut"), F.col("right")).otherwise(F.col("node"))).drop("dim", "cut", "right"), "shard-level")
+        nodes = [x for n in nodes for x in (Node(n.first, n.leaves // 2), Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2))]
+    return at
 
 
 def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("source", "lang"), overhead: int = 16) -> DataFrame:
@@ -129,8 +124,7 @@ def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
     size_coord = F.least(F.floor(F.log2(F.col("first.size").cast("double")) * F.lit(float(1 << (COORD - 6)))), F.lit((1 << COORD) - 1)).cast("long")
     low = F.shiftrightunsigned(F.xxhash64("grp", "piece"), 64 - HASH)
     items = stage(items.select("grp", "piece", "weight", low.alias("low"), size_coord.alias("d0"), *[F.col(f"first.{n}").alias(f"d{i + 1}") for i, n in enumerate(names)]), "shard-items")
-    tree = grow_tree(items, shards, len(names) + 1)
-    places = stage(items.select("grp", "piece", _leaf(tree).cast("int").alias("shard")), "shard-places")
+    places = stage(kd_leaves(items, shards, len(names) + 1).select("grp", "piece", F.col("node").alias("shard")), "shard-places")
     placed = stage(rows.join(places, ["grp", "piece"]).select("row_id", "size", "text_crc32", "shard", F.xxhash64(F.lit(2), "row_id", "grp").alias("h")), "shard-placed")
     return prefix_sums(placed, ["shard"], "h", ["row_id"], "size").select("row_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"))
 
