@@ -1,0 +1 @@
+"""Scalar functions: Columns in, Columns out."""

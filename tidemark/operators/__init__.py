@@ -1,0 +1 @@
+"""Operators: DataFrames of facts in, DataFrames of insights out."""
