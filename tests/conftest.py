@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     here = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

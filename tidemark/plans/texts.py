@@ -1 +1,227 @@
-"""To be filled."""
+"""Commit logs, secrets, glossary, entry points, tour, passport."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.bindings import bind, oracle
+from tidemark.functions import paths
+from tidemark.operators import coupling, expertise, graph, onboarding
+from tidemark.plans.history import risks
+from tidemark.plans.paths import LANG, STEM, VECTOR
+from tidemark.registry import query
+from tidemark.sources import code, gitlog, secrets
+
+LOG = """SELECT concat(CAST(l_orderkey AS STRING), '\x1f', 'Name ', CAST(l_orderkey % 7 AS STRING), '\x1f', 'a@b.c', '\x1f', '2024-01-02T03:04:05+00:00', '\x1f', CASE WHEN l_orderkey % 5 = 0 THEN 'Revert it' ELSE 'fix it' END, '\x1f', CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'body' END, '\x1f',
+    '\n', array_join(array_sort(collect_list(concat(CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END, '\t', CAST(l_linenumber AS STRING), '\t', CASE WHEN l_suppkey % 6 = 0 THEN 'dist\\\\' ELSE 'src\\\\' END, CAST(l_partkey AS STRING), '.py'))), '\n')) AS value
+    FROM {lineitem} GROUP BY l_orderkey"""
+
+
+def _commits(spark, sf_dir):
+    """Records of a log, one an order, as the log's text source yields them."""
+    return gitlog.parse_commits(spark.sql(LOG, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+
+
+@query("""SELECT l_orderkey::VARCHAR AS sha, 'src/' || l_partkey || '.py' AS path, CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_quantity::INT END AS added, l_linenumber::INT AS deleted FROM lineitem WHERE l_suppkey % 6 <> 0""")
+def src_numstat(spark, sf_dir):
+    return gitlog.parse_touches(_commits(spark, sf_dir))
+
+
+@query("""SELECT sha::VARCHAR AS sha, CASE WHEN sha % 5 = 0 THEN 'Revert it' ELSE 'fix it' END || CASE WHEN sha % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'body' END AS message, sha % 5 <> 0 AS is_fix, sha % 5 = 0 AS is_revert,
+    files AS files_changed, ins AS insertions, del AS deletions FROM (SELECT l_orderkey AS sha, count(DISTINCT l_partkey) FILTER (WHERE l_suppkey % 6 <> 0) AS files,
+    coalesce(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_quantity::INT END) FILTER (WHERE l_suppkey % 6 <> 0), 0)::BIGINT AS ins, coalesce(sum(l_linenumber) FILTER (WHERE l_suppkey % 6 <> 0), 0)::BIGINT AS del FROM lineitem GROUP BY 1)""")
+def src_commit(spark, sf_dir):
+    commits = _commits(spark, sf_dir)
+    return gitlog.commit_totals(commits, gitlog.parse_touches(commits)).select("sha", "message", "is_fix", "is_revert", "files_changed", "insertions", "deletions")
+
+
+def secret_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    tried = " UNION ALL ".join(
+        f"SELECT doc_id, path, line_no, line, {quoted(rule)} AS rule, regexp_extract(line, {quoted(pattern)}, 1) AS value, {need or 'NULL'}::DOUBLE AS need FROM l WHERE ({' OR '.join(f'contains(lower(line), {quoted(k)})' for k in keys)}) AND regexp_matches(line, {quoted(pattern)})"
+        for rule, pattern, need, keys in secrets.RULES
+    )
+    markers = " OR ".join(f"contains(lower(value), '{m}')" for m in secrets.SAMPLE_VALUES)
+    return f""", l AS (SELECT doc_id, path, line, i AS line_no FROM (SELECT doc_id, path, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM doc6) WHERE length(line) <= 2000),
+    t AS ({tried}), e AS (SELECT *, -list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: len(list_filter(string_split(value, ''), lambda x: x = c)) / length(value) * log2(len(list_filter(string_split(value, ''), lambda x: x = c)) / length(value)))) AS h FROM t),
+    hits AS (SELECT doc_id, path, line_no, rule, value, sha256('salt:' || rule || ':' || trim(value)) AS fingerprint, CASE WHEN length(trim(value)) >= 12 THEN substr(trim(value), 1, 4) || repeat('*', 16) || right(trim(value), 2) END AS preview,
+        CASE WHEN need IS NOT NULL THEN h END AS entropy FROM e WHERE (need IS NULL OR h >= need) AND NOT ({markers}) AND NOT (contains(line, 'data:image/') AND contains(line, ';base64,')))"""
+
+
+def _hits(spark, sf_dir):
+    return secrets.masked(secrets.scan_lines(secrets.lines_of(bind(spark, sf_dir, "doc6"))))
+
+
+@query(oracle("doc6", secret_sql() + "SELECT doc_id, line_no, rule, fingerprint, preview, round(entropy, 6) AS entropy FROM hits"))
+def sec_scan(spark, sf_dir):
+    return _hits(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "rule", "fingerprint", "preview", F.round("entropy", 6).alias("entropy"))
+
+
+@query(oracle("doc6", secret_sql() + "SELECT doc_id, rule, fingerprint, fingerprint IN (SELECT fingerprint FROM hits WHERE doc_id % 2 = 0) AS still_in_head FROM hits"))
+def src_head_presence(spark, sf_dir):
+    """Documents of even ids stand for the final tree."""
+    hits = _hits(spark, sf_dir)
+    return secrets.still_in_head(hits, hits.where("doc_id % 2 = 0")).select("doc_id", "rule", "fingerprint", "still_in_head")
+
+
+@query(oracle("doc6", secret_sql() + ", known AS (SELECT DISTINCT path, ascii(path)::BIGINT AS path_id FROM doc6 WHERE path LIKE '%0') SELECT fingerprint, doc_id, path_id, count(*) OVER (PARTITION BY fingerprint) AS commits FROM (SELECT DISTINCT fingerprint, doc_id, path FROM hits) LEFT JOIN known USING (path)"))
+def snk_secret(spark, sf_dir):
+    from pyspark.sql import Window
+
+    known = bind(spark, sf_dir, "doc6").where("path like '%0'").select("path", F.ascii("path").cast("long").alias("path_id")).distinct()
+    rows = secrets.persisted(_hits(spark, sf_dir), known)
+    return rows.select("fingerprint", "doc_id", "path_id", F.count("*").over(Window.partitionBy("fingerprint")).alias("commits"))
+
+
+@query()
+def src_secrets(spark, sf_dir):
+    """Hits with line numbers, as the history scan reports them."""
+    return _hits(spark, sf_dir)
+
+
+@query(oracle("doc6", secret_sql() + """SELECT 'secret' AS kind, 'high' AS severity, 0.9::DOUBLE AS confidence, fingerprint AS key FROM hits ORDER BY fingerprint LIMIT 10"""))
+def sec_findings(spark, sf_dir):
+    none = spark.createDataFrame([], "advisory string, band string")
+    return secrets.findings(_hits(spark, sf_dir), none)
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '(?i)((?:password|passwd|secret|token|api_?key)[\"'']?\\s*[:=]\\s*[\"'']?)[A-Za-z0-9+/_.=-]+', '\\1[redacted]', 'g') AS text FROM documents")
+def sec_redact(spark, sf_dir):
+    """Secrets replaced in log text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "(?i)((?:password|passwd|secret|token|api_?key)[\"']?\\s*[:=]\\s*[\"']?)[A-Za-z0-9+/_.=-]+", "$1[redacted]").alias("text"))
+
+
+USES = f""", u AS (SELECT path_id, unnest(string_split(lower(regexp_replace(regexp_replace(regexp_replace({STEM}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' ')) AS raw FROM file7 WHERE NOT is_deleted),
+    uses AS (SELECT path_id, raw AS term FROM u WHERE length(raw) >= 3 AND raw NOT IN ({", ".join(f"'{w}'" for w in onboarding.STOPWORDS)}) AND NOT regexp_matches(raw, '^[a-z]{{1,3}}[0-9]+$')),
+    terms AS (SELECT term, count(*) AS occurrences, count(DISTINCT module) AS spread, round(ln(1 + count(*)) * (1 + count(DISTINCT module) / (SELECT count(DISTINCT module) FROM file7)::DOUBLE), 9) AS score FROM uses JOIN file7 USING (path_id) GROUP BY 1 ORDER BY score DESC, term LIMIT 40)"""
+
+
+def _uses(spark, sf_dir):
+    files = bind(spark, sf_dir, "file7")
+    return onboarding.term_uses(files.where("not is_deleted").select("path_id", paths.stem(F.col("path")).alias("name"))), files.select("path_id", F.col("module").alias("subsystem"))
+
+
+@query(oracle("file7", USES + "SELECT term, occurrences, spread, round(score, 6) AS score FROM terms"))
+def agg_glossary(spark, sf_dir):
+    return onboarding.glossary(*_uses(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(oracle("file7", USES + """SELECT term, path_id, place FROM (SELECT term, path_id, row_number() OVER (PARTITION BY term ORDER BY path_id % 2 = 0 DESC, path_id % 3 = 0 DESC, path_id)::INT AS place FROM (SELECT DISTINCT term, path_id FROM uses JOIN terms USING (term))) WHERE place <= 5"""))
+def gl_define(spark, sf_dir):
+    """Every file's stem is its symbol here: a class for even ids, exported for multiples of three."""
+    symbols = bind(spark, sf_dir, "file7").where("not is_deleted").select("path_id", paths.stem(F.col("path")).alias("name"), F.when(F.col("path_id") % 2 == 0, "class").otherwise("function").alias("kind"), (F.col("path_id") % 3 == 0).alias("exported"))
+    return onboarding.defining_paths(onboarding.glossary(*_uses(spark, sf_dir)), symbols)
+
+
+ROOTS = """, s AS (SELECT path_id, path, string_split(path, '/') AS p FROM file7), a AS (SELECT path_id, path, p, list_min(list_filter([CASE WHEN p[i] IN ('tests', 'test', '__tests__', 'spec') THEN i END for i in range(1, len(p))], lambda x: x IS NOT NULL)) AS k FROM s)"""
+
+
+@query(oracle("file7", ROOTS + "SELECT arg_min(path_id, path) AS path_id, array_to_string(p[1:k], '/') AS root FROM a WHERE k IS NOT NULL GROUP BY 2").replace(" AS path_id, array_to_string(p[1:k], '/') AS root", " AS path_id, 'test_root' AS kind").replace("GROUP BY 2", "GROUP BY array_to_string(p[1:k], '/')"))
+def ep_testroot(spark, sf_dir):
+    return onboarding.test_roots(bind(spark, sf_dir, "file7")).select("path_id", "kind")
+
+
+COMMANDS = "SELECT path_id AS command_no, concat('[\"python\", ', path, ' --port 80]') AS text FROM {file7} WHERE path_id % 10 = 0"
+
+
+@query(oracle("file7", "SELECT path_id FROM file7 WHERE path_id % 10 = 0 AND NOT starts_with(path, '.')"))
+def ep_resolve(spark, sf_dir):
+    files = bind(spark, sf_dir, "file7")
+    return onboarding.resolve_commands(spark.sql(COMMANDS, file7=files), files).select("path_id")
+
+
+def _entries(spark, sf_dir):
+    files = bind(spark, sf_dir, "file7")
+    inferred = graph.inferred_entries(bind(spark, sf_dir, "edge4")).select(F.col("id").alias("path_id"), F.lit("inferred").alias("kind"), F.lit(0.5).alias("confidence"), F.lit(5).alias("rule_no"))
+    rows = onboarding.resolve_commands(spark.sql(COMMANDS, file7=files), files).unionByName(onboarding.test_roots(files)).unionByName(onboarding.conventional_entries(files)).unionByName(inferred)
+    return rows
+
+
+@query(oracle("file7", ROOTS + """, c AS (SELECT path_id, 'cli' AS kind, 0.95::DOUBLE AS confidence, 1 AS rule_no FROM file7 WHERE path_id % 10 = 0 UNION ALL SELECT arg_min(path_id, path), 'test_root', 0.9, 2 FROM a WHERE k IS NOT NULL GROUP BY array_to_string(p[1:k], '/')),
+    b AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY confidence DESC, rule_no) AS r FROM c) SELECT path_id, kind, confidence, rule_no FROM b WHERE r = 1 ORDER BY confidence DESC, rule_no, path_id LIMIT 20"""))
+def eng_entrypoints(spark, sf_dir):
+    """None of these paths is conventional, and all files are imported, so manifests and test folders decide."""
+    return onboarding.best_entries(_entries(spark, sf_dir))
+
+
+@query(oracle("file7", ROOTS + """, c AS (SELECT path_id, 'cli' AS kind, 0.95::DOUBLE AS confidence, 1 AS rule_no FROM file7 WHERE path_id % 10 = 0 UNION ALL SELECT arg_min(path_id, path), 'test_root', 0.9, 2 FROM a WHERE k IS NOT NULL GROUP BY array_to_string(p[1:k], '/'))
+    SELECT path_id, max(confidence) AS confidence FROM c GROUP BY 1"""))
+def win_best_entry(spark, sf_dir):
+    return onboarding.best_entries(_entries(spark, sf_dir), 1 << 30).select("path_id", "confidence")
+
+
+def _tour_candidates(spark, sf_dir):
+    files, edges = bind(spark, sf_dir, "file7"), bind(spark, sf_dir, "edge4")
+    ranks = graph.pagerank(graph.graph_weights(edges, coupling.coupling(bind(spark, sf_dir, "touch2"))), rounds=10)
+    degrees = graph.degrees(edges).select(F.col("id").alias("path_id"), "in_degree")
+    groups = files.select("path_id", (F.col("path_id") % 6).alias("subsystem"))
+    return onboarding.tour_candidates(files, onboarding.best_entries(_entries(spark, sf_dir)), ranks, groups, risks(spark, sf_dir), degrees)
+
+
+@query()
+def tour_cand(spark, sf_dir):
+    return _tour_candidates(spark, sf_dir)
+
+
+@query()
+def eng_tour(spark, sf_dir):
+    found = _tour_candidates(spark, sf_dir)
+    hops = graph.bfs(bind(spark, sf_dir, "edge4"), found.where("reason = 'entry_point'").select(F.col("path_id").alias("id")), 8)
+    return onboarding.tour(found, hops)
+
+
+@query(oracle("file7", """SELECT (CASE WHEN bool_or(starts_with(n, 'readme')) THEN 0.5 ELSE 0 END + CASE WHEN bool_or(starts_with(n, 'readme') AND loc > 100) THEN 0.25 ELSE 0 END + CASE WHEN bool_or(starts_with(lower(path), 'docs/') OR starts_with(n, 'contributing')) THEN 0.25 ELSE 0 END)::DOUBLE AS doc_score
+    FROM (SELECT path, loc, lower(list_last(string_split(path, '/'))) AS n FROM file7)"""))
+def pp_doc(spark, sf_dir):
+    return onboarding.doc_score(bind(spark, sf_dir, "file7"))
+
+
+@query(oracle("file7", "SELECT path FROM file7 WHERE starts_with(lower(list_last(string_split(path, '/'))), 'readme') ORDER BY len(string_split(path, '/')), path LIMIT 1"))
+def pp_manifest(spark, sf_dir):
+    """The README that counts: the shallowest, then the first by path."""
+    files = bind(spark, sf_dir, "file7").where(F.lower(paths.basename(F.col("path"))).startswith("readme"))
+    return files.agg(F.min(F.struct(F.size(F.split("path", "/")), "path"))["path"].alias("path"))
+
+
+@query()
+def eng_passport(spark, sf_dir):
+    """One row: sizes, documentation, team, truck factor, difficulty, first steps."""
+    files, commits = bind(spark, sf_dir, "file7"), bind(spark, sf_dir, "commit1")
+    people = expertise.contributors(commits)
+    top = expertise.experts(expertise.authorship(bind(spark, sf_dir, "touch1")))
+    truck = expertise.truck_factor(top, people).agg(F.count("*").alias("truck_factor"))
+    sizes = files.agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.count_distinct("module").alias("subsystems"), F.count_if(paths.is_test(F.col("path"), paths.language(F.col("path")))).alias("tests"))
+    high = risks(spark, sf_dir).agg(F.count_if(F.col("risk_score") >= 0.6).alias("high_risk"))
+    one = sizes.crossJoin(onboarding.doc_score(files)).crossJoin(truck).crossJoin(high).crossJoin(people.agg(F.count("*").alias("people")))
+    one = one.withColumn("difficulty", F.round(onboarding.difficulty(F.lit(0.5), F.lit(0.5), F.col("doc_score"), F.col("truck_factor"), F.lit(0.5)), 6))
+    return onboarding.first_steps(one)
+
+
+@query(name="pp_first_pr")
+def _first(spark, sf_dir):
+    return eng_passport(spark, sf_dir).select(F.inline("first_steps"))
+
+
+DEPS = "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, p_brand AS package, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size % 5 AS STRING) END AS version, p_partkey % 3 = 0 AS is_direct FROM "
+
+
+@query(f"SELECT ecosystem, package, version, bool_or(is_direct) AS is_direct FROM ({DEPS} part) WHERE version IS NOT NULL GROUP BY 1, 2, 3")
+def agg_dedupe_deps(spark, sf_dir):
+    return code.unique_dependencies(spark.sql(DEPS + "{part}", part=spark.read.parquet(f"{sf_dir}/part.parquet")))
+
+
+@query(f"""WITH d AS (SELECT ecosystem, package, version, bool_or(is_direct) AS is_direct FROM ({DEPS} part) WHERE version IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT ecosystem, d.package, d.version, is_direct, 'ADV-' || a.p_partkey AS advisory FROM d JOIN (SELECT *, {VECTOR} AS vector FROM part WHERE p_partkey % 15 = 0) a ON a.p_brand = d.package AND (a.p_size % 5)::VARCHAR = d.version AND ecosystem = 'npm'""")
+def src_osv(spark, sf_dir):
+    """Advisories come from a table; there is no network."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    known = spark.sql(f"SELECT 'npm' AS ecosystem, p_brand AS package, CAST(p_size % 5 AS STRING) AS version, concat('ADV-', CAST(p_partkey AS STRING)) AS advisory, {VECTOR} AS vector FROM {{part}} WHERE p_partkey % 15 = 0", part=part)
+    return code.advisories_for(code.unique_dependencies(spark.sql(DEPS + "{part}", part=part)), known).select("ecosystem", "package", "version", "is_direct", "advisory")
+
+
+@query(f"SELECT language, count(*) AS files FROM (SELECT {LANG} AS language FROM ({oracle('file7', 'SELECT path FROM file7')})) GROUP BY 1")
+def agg_languages(spark, sf_dir):
+    return bind(spark, sf_dir, "file7").groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+
+

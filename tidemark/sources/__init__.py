@@ -1,0 +1 @@
+"""Sources: commit logs, source trees, manifests, secrets in added lines."""

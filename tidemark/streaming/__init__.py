@@ -1,0 +1,64 @@
+"""Streams: commits as they arrive, request limits per key."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+TOUCH = "commit_id long, path_id long, author string, ts timestamp, churn double"
+
+
+def commit_stream(spark: SparkSession, path: str, schema: str = TOUCH, files: int = 16) -> DataFrame:
+    """Parquet files of touches as they land in a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def hourly_activity(stream: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
+    """Commits and churn by window; windows close once the watermark has passed them."""
+    rows = stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("touches"), F.sum("churn").alias("churn"))
+    return rows.select(F.col("w.start").alias("start"), "touches", "churn")
+
+
+def keep_totals(stream: DataFrame, target: str, checkpoint: str):
+    """Per-path totals kept up to date: each batch is reduced first and merged with the totals of the paths it touches.
+
+    Totals are written as a new version for each batch (target/v=N), so a batch that is run again
+    writes the same version.
+    """
+
+    def merge(batch: DataFrame, no: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy("path_id").agg(F.sum("churn").alias("churn"), F.count("*").alias("touches"), F.max("ts").alias("last_seen"))
+        if no:
+            new = spark.read.parquet(f"{target}/v={no - 1}").unionByName(new).groupBy("path_id").agg(F.sum("churn").alias("churn"), F.sum("touches").alias("touches"), F.max("last_seen").alias("last_seen"))
+        new.write.mode("overwrite").parquet(f"{target}/v={no}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+LIMITED = "key string, ts timestamp, allowed boolean"
+
+
+def token_bucket(requests: DataFrame, short: tuple[int, float] = (5, 60.0), long: tuple[int, float] = (50, 3600.0)) -> DataFrame:
+    """requests (key, ts) -> allowed: two buckets a key, each refilled evenly over its window; both must have a token."""
+
+    def step(key, batches, state: GroupState):
+        left = list(state.get) if state.exists else [float(short[0]), 0.0, float(long[0]), 0.0]
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        out = []
+        for ts in rows["ts"]:
+            now = ts.timestamp()
+            for i, (most, width) in ((0, short), (2, long)):
+                if left[i + 1]:
+                    left[i] = min(float(most), left[i] + max(0.0, now - left[i + 1]) * most / width)
+                left[i + 1] = max(now, left[i + 1])
+            ok = left[0] >= 1 and left[2] >= 1
+            if ok:
+                left[0], left[2] = left[0] - 1, left[2] - 1
+            out.append((key[0], ts, ok))
+        state.update(tuple(left))
+        yield pd.DataFrame(out, columns=["key", "ts", "allowed"])
+
+    return requests.groupBy("key").applyInPandasWithState(step, LIMITED, "a double, b double, c double, d double", "append", GroupStateTimeout.NoTimeout)
