@@ -224,30 +224,26 @@ def near_pairs(nodes: DataFrame, k: int = 2, bucket_limit: int = 64, plan: list
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every id in edges (src < dst): label is the smallest id reachable.
 
-    Each round ties every id to its smallest neighbour and contracts; the number of ids at least
-    halves, so rounds grow with the logarithm of the largest component. Tables are written between
-    rounds; only their emptiness reaches the driver. Hubs are met by partial aggregation and by
-    joins of written tables, which AQE splits.
+    Alternating stars: each id ties its larger neighbours to the smallest one, then its smaller ones,
+    until every component is one star. Paths halve each round, so long chains of near copies take
+    rounds by their logarithm. Tables are written between rounds; one row with a count and a checksum
+    of the edges reaches the driver. Hubs are met by partial aggregation and by joins of written
+    tables, which AQE splits.
     """
-    edges = stage(edges, "cc-edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        up = stage(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("up")).select(F.col("src").alias("id"), "up"), "cc-up")
-        # One step of pointer jumping within the round.
-        up = stage(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")), "cc-up2")
-        if labels is None:
-            labels = up.withColumnRenamed("up", "label")
-        else:
-            moved = up.select(F.col("id").alias("label"), "up")
-            labels = stage(labels.join(moved, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "cc-labels")
-        a = edges.join(up.select(F.col("id").alias("src"), F.col("up").alias("a")), "src").select("a", "dst")
-        a = stage(a, "cc-half")
-        b = a.join(up.select(F.col("id").alias("dst"), F.col("up").alias("b")), "dst").where("a <> b")
-        edges = stage(b.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "cc-edges")
-    if labels is None:
-        labels = edges.select(F.col("src").alias("id"), F.col("dst").alias("label"))
-    return labels
+    now, mark = stage(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")), "cc-edges"), None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        seen = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+        if seen == mark:
+            break
+        mark = seen
+    tops = now.select(F.col("v").alias("id")).distinct().withColumn("label", F.col("id"))
+    return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(tops)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, k: int = 2) -> DataFrame:

@@ -27,6 +27,8 @@ from .common import documents
 WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Blanks on which this pattern and the tokenizer's could differ; such texts are encoded whole.
 ODD_BLANKS = re.compile(r"[^\S \t\n\r]")
+#: Words of up to so many characters are kept per worker.
+MOST_KEPT = 64
 
 
 @functools.cache
@@ -71,10 +73,13 @@ class Encoder:
         if len(known) > self.most_words:
             known.clear()
         missing = list({w for ws in cut for w in ws if w not in known})
+        long: dict[str, bytes] = {}  # not kept, so that what is kept has a bound
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
+                (known if len(w) <= MOST_KEPT else long)[w] = np.array(e.ids, self.dtype).tobytes()
+        if long:
+            return [b"".join([known[w] if w in known else long[w] for w in ws]) for ws in cut]
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
     def counts(self, texts: list[str]) -> list[int]:
