@@ -162,7 +162,7 @@ def test_paths_and_texts(spark):
     assert value(paths.directory(F.lit("a/b/c/d/e.py"))) == "a/b/c" and value(paths.directory(F.lit("x.py"))) == "(root)"
     assert value(paths.clean_reference(F.lit("'./.github/x'"))) == "github/x"
     assert value(paths.tokens(F.lit("XMLParser_fooBar-baz2"))) == ["xml", "parser", "foo", "bar", "baz2"]
-    assert value(texts.mask_email(F.lit("not-an-email"))) == "n***" and value(texts.fix_confidence(F.lit("closes #3"))) == 0.0
+    assert value(texts.mask_email(F.lit("not-an-email"))) == "n***" and value(texts.fix_confidence(F.lit("fixes #3"))) == 0.0
     assert value(numbers.cvss_base(F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"))) == 9.8 and value(numbers.cvss_base(F.lit("CVSS:3.1/AV:N"))) is None
 
 
