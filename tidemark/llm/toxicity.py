@@ -198,10 +198,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ m.logit[:-1] + m.logit[-1], -30, 30)))
 
 
-def _sentences(text: str | None) -> list[list[str]]:
+def _sentences(text: str | None, known: dict[str, str]) -> list[list[str]]:
+    """known: one copy of each word, shared by all texts."""
     out, now = [], []
     for t in (text or "").split():
-        now.append(normal(t))
+        w = normal(t)
+        now.append(known.setdefault(w, w))
         if t[-1] in ".!?" or len(now) == LONGEST:
             out.append(now)
             now = []
@@ -220,7 +222,7 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray, most: int = 56, ba
         p = (pos[w] + neg[w] + 0.2) / (n1 + n0 + 2)
         return (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
-    ranked = sorted((w for w in pos if len(w) >= ORDER and pos[w] >= 3), key=lambda w: (-z(w), w))[:600]
+    ranked = sorted((w for w in pos if len(w) >= ORDER and pos[w] >= 3), key=lambda w: (-z(w), w))[:240]
     common = [w for w, _ in sorted((pos + neg).items(), key=lambda x: (-x[1], x[0])) if len(w) >= ORDER and z(w) < 2][:background]
     chosen = common[:1] or ranked[:1]
     like = Landmarks(ranked + common).likeness(ranked + common) if chosen else np.zeros((0, 0))
@@ -265,7 +267,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 4) -> Model:
     """Train on whole labelled texts. With one class only, every score is the share of that class."""
     y = np.array(labels, np.float64)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
-    cut = [_sentences(t) for t in texts]
+    known: dict[str, str] = {}
+    cut = [_sentences(t, known) for t in texts]
     marks = choose_landmarks([{w for s in d for w in s} for d in cut], y) if 0 < y.sum() < len(y) else []
     if not marks:
         return Model(prior)
@@ -276,9 +279,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 4) -> Model:
     own = [(i, s) for i, d in enumerate(cut) for j, s in enumerate(d) if y[i] or j % 3 == 0]
     words = list(dict.fromkeys(w[:64] for _, s in own for w in s))
     like, at = lm.likeness(words), {w: i for i, w in enumerate(words)}
-    z = np.stack([like[[at[w[:64]] for w in s]].sum(0) for _, s in own]).astype(np.float64) @ root
-    z = np.hstack([z, np.ones((len(z), 1))])
+    z = np.ones((len(own), len(marks) + 1))
+    for n, (_, s) in enumerate(own):
+        z[n, :-1] = like[[at[w[:64]] for w in s]].sum(0)
+    z[:, :-1] = z[:, :-1] @ root
     doc = np.array([i for i, _ in own])
+    del cut, own, like, words, at, known
     toxic = y[doc] > 0
     per = np.bincount(doc, minlength=len(y))[doc]
     use, target, weight = np.ones(len(doc), bool), np.where(toxic, 1.0, -1.0), np.where(toxic, 1.0 / per, 0.0)
@@ -333,7 +339,7 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string")) % modulus
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 1500) -> Model:
     """Fit on at most most_docs labelled documents outside the held-out fold (crc32 of the id mod 5 is 0)."""
     own = sample(docs, labels, "toxic", fold(F.col("__id"), 5) != 0, most_docs, ["text"])
     return fit(list(own["text"]), list(own["label"]))
