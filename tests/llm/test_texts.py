@@ -1,9 +1,10 @@
 """Secrets, exact copies, near copies, mixing against brute force."""
 
 import hashlib
+import itertools
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -189,6 +190,78 @@ def test_every_link_is_found_at_any_bucket_limit(spark, limit, plan):
     assert {i: got.get(i, i) for i in own} == want
 
 
+def brute_sets(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+
+
+def changed(text, every):
+    """The text with one word in `every` replaced."""
+    w = text.split(" ")
+    w[every // 2 :: every] = [f"changed{i}" for i in range(len(w[every // 2 :: every]))]
+    return " ".join(w)
+
+
+def test_one_document_of_each_group_of_near_copies_stays(spark):
+    docs = table("documents", SF1)[["doc_id", "text"]].head(300)
+    long = [t for t in docs.text if t and len(t.split()) > 80][:40]
+    planted = [(10_000 + 10 * n + i, changed(t, every)) for n, t in enumerate(long) for i, every in enumerate((50, 70, 12))]
+    rows = [(int(d), t) for d, t in zip(docs.doc_id, docs.text)] + planted
+    sets = {d: brute_sets(t) for d, t in rows}
+    top = {d: d for d in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    holders = defaultdict(list)
+    for d, own in sets.items():
+        for x in own or {()}:
+            holders[x].append(d)
+    shared = Counter((a, b) for ds in holders.values() for a, b in itertools.combinations(sorted(ds), 2))
+    for (a, b), n in shared.items():
+        if sets[a] == sets[b] or n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    want = {d: find(d) for d in sets}
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row_id: r.component_id for r in simhash.similar_classes(made).collect()}
+    assert got.keys() == want.keys()
+    gone = {d for d in want if want[d] != d}
+    assert len(gone) > 60
+    # The fingerprints are a filter: nothing unlike is linked, and at most one copy in fifty is missed.
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert sum(got[d] == d for d in gone) <= len(gone) / 50
+    kept = {r.doc_id for r in simhash.keep_first(made).collect()}
+    assert kept == {d for d, c in got.items() if d == c}
+
+
+def test_near_copies_by_similarity_of_edge_cases(spark):
+    got = simhash.similar_classes(repeated(spark)).toPandas()
+    assert len(got) == len(TEXTS) + 5
+    ids = {t: [r[0] for r in edge_docs(spark).select("doc_id", "text").collect() if r[1] == t] for t in TEXTS}
+    by_id = got[got.row_id.notna()].set_index("row_id").component_id
+    blank = min(i for t in (None, "", " \t\n ") for i in ids[t])
+    assert all(by_id[i] == blank for t in (None, "", " \t\n ") for i in ids[t])
+    assert by_id[ids["one"][0]] == ids["one"][0] and by_id[ids["two words"][0]] == ids["two words"][0]
+    assert got[got.row_id.isna()].component_id.notna().sum() == 2  # "no id" equals no row with an id
+    assert simhash.similar_classes(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("k,block_rows,plan", [(10, 2048, None), (6, 3, None), (4, 2, [([*range(20)], 2), ([*range(20, 40)], 1), ([*range(40, 64)], -1)])])
+def test_every_wide_pair_is_found(spark, k, block_rows, plan):
+    import random
+
+    r = random.Random(k)
+    fps = [base ^ sum(1 << b for b in r.sample(range(64), r.randrange(k))) for base in (r.getrandbits(64) for _ in range(8)) for _ in range(12)]
+    plan = plan and [(bits, t) for bits, t in plan if t >= 0]
+    nodes = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long")
+    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= k}
+    got = simhash.wide_pairs(nodes, k, block_rows, plan).collect()
+    assert len(got) == len(set(got)) and {tuple(x) for x in got} == want
+
+
 def test_thresholds_are_allocated_by_cost():
     costs = [[0, 1, 9, 99], [0, 50, 60, 70], [0, 1, 9, 99]]
     chosen = simhash.allocate(costs, 2)

@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import BLANKS, documents, stage
 
 BITS = 64
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -145,7 +146,7 @@ def plan_search(n: int, together: np.ndarray, k: int, most_parts: int = 5) -> li
     best = None
     for m in range(1, min(most_parts, k + 3) + 1):
         parts = group_bits(n, together, m)
-        costs = [[0.0] + [expected_matches(n, together, p, t) + n * probes(len(p), t) for t in range(k + 1)] for p in parts]
+        costs = [[0.0] + [expected_matches(n, together, p, t) + max(n, 1) * probes(len(p), t) for t in range(k + 1)] for p in parts]
         chosen = allocate(costs, k)
         cost = sum(c[t + 1] for c, t in zip(costs, chosen, strict=True))
         if best is None or cost < best[0]:
@@ -188,12 +189,7 @@ def near_pairs(nodes: DataFrame, k: int = 2, bucket_limit: int = 64, plan: list
         keyed = one if keyed is None else keyed.unionByName(one)
     keyed = stage(keyed, "simhash-keys")
     sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("size"))
-    if any(t for _, t in plan):
-        # What a probe of a neighbouring key meets counts as well.
-        hot = sizes.where(F.col("size") > bucket_limit)
-    else:
-        hot = sizes.where(F.col("size") > bucket_limit)
-    hot = stage(hot.select("part", "key", F.lit(True).alias("hot")), "simhash-hot")
+    hot = stage(sizes.where(F.col("size") > bucket_limit).select("part", "key", F.lit(True).alias("hot")), "simhash-hot")
     marked = stage(keyed.join(hot, ["part", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "simhash-marked")
     small = marked.where("not hot").drop("hot")
 
@@ -261,12 +257,91 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(classes, "fp").select("row_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, k: int = 2) -> DataFrame:
-    """The rows of docs whose id leads its component: one document of each group stays, with all its columns.
+# --- near copies by similarity ---------------------------------------------------------------
+
+
+def shingle_set(text: str | None, words: int = 5) -> list[int]:
+    """Sorted distinct 32-bit hashes of the word shingles, for Jaccard similarity. Fewer words: the whole; none: []."""
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return []
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+    return sorted({xxhash.xxh32_intdigest(s) - (1 << 31) for s in shingles})
+
+
+def wide_pairs(nodes: DataFrame, k: int, block_rows: int = 2048, plan: list | None = None) -> DataFrame:
+    """All pairs (src, dst) over `nodes` (id, fp; distinct ids) whose fps lie within k bits, for wider k.
+
+    A pair that agrees to within t bits on a part meets at a value within ceil(t/2) bits of one and
+    floor(t/2) of the other, so each side lists few keys. Keys that many rows list are cut into
+    blocks of about block_rows rows of one side; every row of the other side visits each block.
+    """
+    if plan is None:
+        n, together = bit_statistics(nodes)
+        plan = plan_search(n, together, k)
+    left = right = None
+    for no, (bits, threshold) in enumerate(plan):
+        key = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+        one = nodes.select(F.lit(no).alias("part"), F.explode(_flips(key, bits, threshold - threshold // 2)).alias("key"), F.col("id").alias("src"), F.col("fp").alias("fp1"))
+        two = nodes.select(F.lit(no).alias("part"), F.explode(_flips(key, bits, threshold // 2)).alias("key"), F.col("id").alias("dst"), F.col("fp").alias("fp2"))
+        left, right = (one, two) if left is None else (left.unionByName(one), right.unionByName(two))
+    hot = right.groupBy("part", "key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    hot = stage(hot, "simhash-blocks")
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = left.join(hot, ["part", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    right = right.join(hot, ["part", "key"], "left").withColumn("block", F.pmod(F.xxhash64("dst"), blocks).cast("int")).drop("blocks")
+    # Either of a pair can take either side, so one order is enough.
+    near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= k)
+    return left.join(right, ["part", "key", "block"]).where(near).select("src", "dst").distinct()
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Those pairs (src, dst) of ids whose shingle sets have at least this Jaccard similarity."""
+
+    @F.pandas_udf("array<int>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+
+    used = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).join(used, "id", "left_semi")
+    sets = stage(texts.select("id", shingles("__text").alias("own")), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("own").alias("b")), "dst")
+    # A pair whose sizes differ too much cannot reach the similarity, whatever they share.
+    sized = both.where(F.least(F.size("a"), F.size("b")) >= F.lit(similarity) * F.greatest(F.size("a"), F.size("b")))
+    common = F.size(F.array_intersect("a", "b"))
+    return sized.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("src", "dst").distinct()
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketch_words: int = 2, k: int = 10) -> DataFrame:
+    """(row_id, component_id) of every row: rows are linked by a Jaccard similarity of their word shingles.
+
+    Candidates are texts whose fingerprints of sketch_words-word shingles lie within k bits; each is
+    verified on whole shingle sets. Short shingles keep the fingerprints of near copies close: a
+    changed word alters two of them, where it alters five of the shingles compared.
+
+    Texts of equal words are one node. Null and empty texts, and texts of white space, are copies of
+    each other; fewer words than a shingle count as one shingle; rows with a null id take the
+    component of the rows of equal words, null where none has an id; rows that share an id share its
+    component; an empty input gives an empty result; other columns are ignored.
+    """
+    words_of = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("__text"), F.lit("")), _UPPER, _UPPER.lower()), BLANKS, " "))
+    own = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("__text"))
+    rows = stage(with_fingerprints(own, "__text", sketch_words).select("row_id", "fp", F.unhex(F.md5(words_of)).alias("digest")), "simhash-texts")
+    nodes = stage(rows.groupBy("digest").agg(F.min("row_id").alias("id"), F.min("fp").alias("fp")).where("id is not null"), "simhash-nodes")
+    pairs = stage(wide_pairs(nodes.groupBy("id").agg(F.min("fp").alias("fp")), k), "simhash-candidates")
+    labels = components(similar_pairs(docs, pairs, id_col, text_col, words, similarity))
+    classes = stage(nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id")), "simhash-classes")
+    return rows.join(classes, "digest", "left").select("row_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose id leads its component: one document of each group of near copies stays, with all its columns.
 
     Rows with a null id stay, as no id can name them the copy of another.
     """
-    classes = near_classes(docs, id_col, text_col, words, k)
+    classes = similar_classes(docs, id_col, text_col, words, similarity)
     gone = classes.where("row_id <> component_id").select(F.col("row_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
