@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.cases import SF, TEXTS, edge_docs, empty_docs, prose, repeated, table
 from tidemark import llm
@@ -256,8 +257,8 @@ def test_every_wide_pair_is_found(spark, k, block_rows, plan):
     r = random.Random(k)
     fps = [base ^ sum(1 << b for b in r.sample(range(64), r.randrange(k))) for base in (r.getrandbits(64) for _ in range(8)) for _ in range(12)]
     plan = plan and [(bits, t) for bits, t in plan if t >= 0]
-    nodes = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long")
-    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= k}
+    nodes = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long").withColumn("grp", F.col("id") % 50)
+    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= k and a % 50 != b % 50}
     got = simhash.wide_pairs(nodes, k, block_rows, plan).collect()
     assert len(got) == len(set(got)) and {tuple(x) for x in got} == want
 

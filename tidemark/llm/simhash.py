@@ -271,8 +271,32 @@ def shingle_set(text: str | None, words: int = 5) -> list[int]:
     return sorted({xxhash.xxh32_intdigest(s) - (1 << 31) for s in shingles})
 
 
+def _listed(nodes: DataFrame, plan: list, most: bool) -> DataFrame:
+    """(part, key) with each node's columns: the keys that one side lists, the larger or the smaller half of the flips."""
+    out = None
+    for no, (bits, threshold) in enumerate(plan):
+        flips = threshold - threshold // 2 if most else threshold // 2
+        key = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+        one = nodes.select(F.lit(no).alias("part"), F.explode(_flips(key, bits, flips)).alias("key"), *nodes.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def leader_pairs(nodes: DataFrame, k: int, plan: list, least: int = 32, leaders: int = 4) -> DataFrame:
+    """Pairs (src, dst) within k bits of a few leaders of each key that more than `least` rows list.
+
+    They grow with the rows, not with the square of a group, and tie most of a large group together.
+    """
+    keys = _listed(nodes.select("id", "fp"), plan, False)
+    lead = [F.min_by(F.struct("id", "fp"), F.xxhash64(F.lit(seed), "id")) for seed in range(leaders)]
+    tops = keys.groupBy("part", "key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*lead)).alias("tops")).where(F.col("n") > least)
+    tops = tops.select("part", "key", F.explode("tops").alias("top"))
+    near = (F.col("id") != F.col("top.id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("top.fp"))) <= k)
+    return keys.join(tops, ["part", "key"]).where(near).select(F.least("id", "top.id").alias("src"), F.greatest("id", "top.id").alias("dst")).distinct()
+
+
 def wide_pairs(nodes: DataFrame, k: int, block_rows: int = 2048, plan: list | None = None) -> DataFrame:
-    """All pairs (src, dst) over `nodes` (id, fp; distinct ids) whose fps lie within k bits, for wider k.
+    """All pairs (src, dst) over `nodes` (id, fp, grp; distinct ids) of different grp whose fps lie within k bits, for wider k.
 
     A pair that agrees to within t bits on a part meets at a value within ceil(t/2) bits of one and
     floor(t/2) of the other, so each side lists few keys. Keys that many rows list are cut into
@@ -281,19 +305,15 @@ def wide_pairs(nodes: DataFrame, k: int, block_rows: int = 2048, plan: list | No
     if plan is None:
         n, together = bit_statistics(nodes)
         plan = plan_search(n, together, k)
-    left = right = None
-    for no, (bits, threshold) in enumerate(plan):
-        key = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        one = nodes.select(F.lit(no).alias("part"), F.explode(_flips(key, bits, threshold - threshold // 2)).alias("key"), F.col("id").alias("src"), F.col("fp").alias("fp1"))
-        two = nodes.select(F.lit(no).alias("part"), F.explode(_flips(key, bits, threshold // 2)).alias("key"), F.col("id").alias("dst"), F.col("fp").alias("fp2"))
-        left, right = (one, two) if left is None else (left.unionByName(one), right.unionByName(two))
+    left = _listed(nodes.select(F.col("id").alias("src"), "fp", F.col("grp").alias("grp1")), plan, True).withColumnRenamed("fp", "fp1")
+    right = _listed(nodes.select(F.col("id").alias("dst"), "fp", F.col("grp").alias("grp2")), plan, False).withColumnRenamed("fp", "fp2")
     hot = right.groupBy("part", "key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
     hot = stage(hot, "simhash-blocks")
     blocks = F.coalesce("blocks", F.lit(1))
     left = left.join(hot, ["part", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
     right = right.join(hot, ["part", "key"], "left").withColumn("block", F.pmod(F.xxhash64("dst"), blocks).cast("int")).drop("blocks")
     # Either of a pair can take either side, so one order is enough.
-    near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= k)
+    near = (F.col("src") < F.col("dst")) & (F.col("grp1") != F.col("grp2")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= k)
     return left.join(right, ["part", "key", "block"]).where(near).select("src", "dst").distinct()
 
 
@@ -318,7 +338,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(row_id, component_id) of every row: rows are linked by a Jaccard similarity of their word shingles.
 
     Candidates are texts whose fingerprints of sketch_words-word shingles lie within k bits; each is
-    verified on whole shingle sets. Short shingles keep the fingerprints of near copies close: a
+    verified on whole shingle sets, those with leaders of large buckets first, so that a large group
+    of near copies is tied together without all of its pairs. Short shingles keep the fingerprints of near copies close: a
     changed word alters two of them, where it alters five of the shingles compared.
 
     Texts of equal words are one node. Null and empty texts, and texts of white space, are copies of
@@ -330,8 +351,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("__text"))
     rows = stage(with_fingerprints(own, "__text", sketch_words).select("row_id", "fp", F.unhex(F.md5(words_of)).alias("digest")), "simhash-texts")
     nodes = stage(rows.groupBy("digest").agg(F.min("row_id").alias("id"), F.min("fp").alias("fp")).where("id is not null"), "simhash-nodes")
-    pairs = stage(wide_pairs(nodes.groupBy("id").agg(F.min("fp").alias("fp")), k), "simhash-candidates")
-    labels = components(similar_pairs(docs, pairs, id_col, text_col, words, similarity))
+    sketched = stage(nodes.groupBy("id").agg(F.min("fp").alias("fp")), "simhash-sketched")
+    n, together = bit_statistics(sketched)
+    plan = plan_search(n, together, k)
+    # First to leaders; then only pairs of different classes can add a link that matters.
+    led = stage(similar_pairs(docs, stage(leader_pairs(sketched, k, plan), "simhash-led"), id_col, text_col, words, similarity), "simhash-links")
+    classed = stage(sketched.join(components(led), "id", "left").select("id", "fp", F.coalesce("label", "id").alias("grp")), "simhash-classed")
+    pairs = stage(wide_pairs(classed, k, plan=plan), "simhash-candidates")
+    labels = components(led.unionByName(similar_pairs(docs, pairs, id_col, text_col, words, similarity)))
     classes = stage(nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id")), "simhash-classes")
     return rows.join(classes, "digest", "left").select("row_id", "component_id")
 
