@@ -238,6 +238,57 @@ def test_one_document_of_each_group_of_near_copies_stays(spark):
     assert kept == {d for d, c in got.items() if d == c}
 
 
+@pytest.mark.parametrize("length", [9, 24, 120, 600])
+def test_similar_pairs_of_every_kind_are_linked(spark, length):
+    """Recall against brute force on all pairs, by kind of edit and length; the filter on fingerprints lost some of each."""
+    import random
+
+    r = random.Random(length)
+    kinds = defaultdict(list)
+
+    def add(kind, *texts):
+        kinds[kind].append(range(len(made), len(made) + len(texts)))
+        made.extend(" ".join(t) for t in texts)
+
+    made: list[str] = []
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    for n in range(25):
+        a, block = fresh(length), fresh(20)
+        add("repeated", a + block * 5, a + block * (10 + n % 20))
+        add("appended", a, a + fresh(max(1, length // 5)))
+        changed = [*a]
+        for i in r.sample(range(length), max(1, length // 60)):
+            changed[i] = f"c{i}"
+        add("scattered", a[::-1], changed[::-1])
+    sets = [brute_sets(t) for t in made]
+    got = {row.row_id: row.component_id for row in simhash.similar_classes(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    top = list(range(len(made)))
+    for a, b in itertools.combinations(range(len(made)), 2):
+        if (n := len(sets[a] & sets[b])) and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    assert {i: top[i] for i in got} == got
+    assert sum(got[a] == got[b] for a, b in kinds["repeated"]) > 12
+
+
+def test_large_group_of_near_copies_is_met_through_leaders_and_blocks(spark):
+    import random
+
+    r = random.Random(3)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for _ in range(150):
+        own = [*base]
+        for i in r.sample(range(100), r.randrange(4)):
+            own[i] = f"c{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [brute_sets(t) for t in texts]
+    top = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    got = {row.row_id: row.component_id for row in simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == top
+
+
 def test_near_copies_by_similarity_of_edge_cases(spark):
     got = simhash.similar_classes(repeated(spark)).toPandas()
     assert len(got) == len(TEXTS) + 5

@@ -9,7 +9,7 @@ minimise the estimated number of candidates, by dynamic programming over the par
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -334,13 +334,91 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str,
     return sized.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("src", "dst").distinct()
 
 
+def common_shingles(docs: DataFrame, text_col: str, words: int, read: int = 4000, most: int = 8192) -> np.ndarray:
+    """Up to `most` shingle hashes that recur in about `read` texts, the rarest first.
+
+    They only order the shingles of a text; any order gives the same pairs, a good one gives small buckets.
+    """
+
+    @F.pandas_udf("array<int>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+
+    part = min(1.0, read / max(docs.count(), 1))
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    counts = some.select(F.explode(shingles(text_col)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 3")
+    found = [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(most).select("key").collect()]
+    return np.array(found[::-1], np.int64)
+
+
+def set_sketch(own: list[int], similarity: float, order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(size, parity bits, head) of a shingle set; order: sorted common shingles, and the place of each.
+
+    Two sets of this similarity share a shingle of both heads. The parity of shingles by 512 hash
+    values differs between two sets in at most as many bits as the sets differ in shingles.
+    """
+    x = np.array(own, np.int64)
+    bits = np.packbits((np.bincount(x & 511, minlength=512) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    common, place = order
+    if len(common) and len(x):
+        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+        hit = common[at] == x
+        x = np.concatenate([x[~hit], x[hit][np.argsort(place[at[hit]], kind="stable")]])
+    most = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
+    return len(x), bits, x[:most].astype(np.int32)
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """No pair of this similarity fails it: by the shingles left after a shared one, and by parity bits. Columns of x and y."""
+    both = F.col("x.n") + F.col("y.n")
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(1, 8)), F.bit_count(F.get("x.bits", F.lit(0)).bitwiseXOR(F.get("y.bits", F.lit(0)))))
+    return (left * (1 + similarity) >= both * similarity - 1e-6) & (differ * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+
+
+def _as_pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.id", "y.id").alias("src"), F.greatest("x.id", "y.id").alias("dst")).distinct()
+
+
+def _mixed_keys(rows: DataFrame) -> DataFrame:
+    """(key, main, total) of keys that rows of several classes hold; main: the class with most of its rows."""
+    per = rows.groupBy("key", "x.cls").agg(F.count("*").alias("n"))
+    tops = per.groupBy("key").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("total"))
+    return tops.where("classes > 1").drop("classes")
+
+
+def head_leader_pairs(rows: DataFrame, similarity: float, seed: int, least: int = 32, leaders: int = 4) -> DataFrame:
+    """Pairs (src, dst) of a few leaders of each key that more than `least` rows hold: they grow with the rows."""
+    large = stage(_mixed_keys(rows).where(F.col("total") > least).select("key"), "simhash-large")
+    held = rows.join(large, "key")
+    lead = [F.min_by("x", F.xxhash64(F.lit(seed + i), "x.no")) for i in range(leaders)]
+    tops = held.groupBy("key").agg(F.array_distinct(F.array(*lead)).alias("tops")).select("key", F.explode("tops").alias("y"))
+    return _as_pairs(held.join(tops, "key").where((F.col("x.cls") != F.col("y.cls")) & _may_be_similar(similarity)))
+
+
+def head_pairs(rows: DataFrame, similarity: float, block_rows: int = 2048) -> DataFrame:
+    """All pairs (src, dst) of different classes that share a shingle of their heads and may be similar.
+
+    Rows of a key's main class are not set against each other. Keys that many rows hold are cut into
+    blocks of about block_rows rows of one side; every row of the other side visits each block.
+    """
+    mixed = stage(_mixed_keys(rows).select("key", "main", F.ceil(F.col("total") / block_rows).cast("int").alias("blocks")), "simhash-mixed")
+    held = rows.join(mixed, "key")
+    few = held.where("x.cls <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "x")
+    all_ = held.select("key", F.pmod(F.xxhash64("x.no"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("y"), (F.col("x.cls") == F.col("main")).alias("of_main"))
+    once = F.col("of_main") | (F.col("x.no") < F.col("y.no"))
+    return _as_pairs(few.join(all_, ["key", "block"]).where((F.col("x.cls") != F.col("y.cls")) & once & _may_be_similar(similarity)))
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketch_words: int = 2, k: int = 10) -> DataFrame:
     """(row_id, component_id) of every row: rows are linked by a Jaccard similarity of their word shingles.
 
-    Candidates are texts whose fingerprints of sketch_words-word shingles lie within k bits; each is
-    verified on whole shingle sets, those with leaders of large buckets first, so that a large group
-    of near copies is tied together without all of its pairs. Short shingles keep the fingerprints of near copies close: a
-    changed word alters two of them, where it alters five of the shingles compared.
+    The search is exact. With the shingles of each text in one order, texts of this similarity share
+    one of the first of both (the head: a fifth of a text and one more, for 0.8). Candidates share
+    such a shingle and pass two tests that no similar pair fails; each is verified on whole shingle
+    sets. Links to leaders come first, those of large buckets of fingerprints of sketch_words-word
+    shingles within k bits and those of shingles that many heads hold, so that a large group of near
+    copies is tied together without all of its pairs; then only pairs of different classes are met.
 
     Texts of equal words are one node. Null and empty texts, and texts of white space, are copies of
     each other; fewer words than a shingle count as one shingle; rows with a null id take the
@@ -349,17 +427,37 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     words_of = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("__text"), F.lit("")), _UPPER, _UPPER.lower()), BLANKS, " "))
     own = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("__text"))
-    rows = stage(with_fingerprints(own, "__text", sketch_words).select("row_id", "fp", F.unhex(F.md5(words_of)).alias("digest")), "simhash-texts")
-    nodes = stage(rows.groupBy("digest").agg(F.min("row_id").alias("id"), F.min("fp").alias("fp")).where("id is not null"), "simhash-nodes")
+    found = common_shingles(own, "__text", words)
+    order = np.sort(found), np.argsort(found)
+
+    @F.pandas_udf("n int, bits array<long>, head array<int>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([set_sketch(shingle_set(t, words), similarity, order) for t in texts], columns=["n", "bits", "head"])
+
+    rows = with_fingerprints(own, "__text", sketch_words).withColumn("sketch", sketch("__text"))
+    rows = stage(rows.select("row_id", "fp", F.unhex(F.md5(words_of)).alias("digest"), "sketch.*"), "simhash-texts")
+    per_text = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "head"))).alias("x")
+    nodes = rows.groupBy("digest").agg(per_text).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.head")
+    nodes = stage(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
+    heads = nodes.select("no", F.posexplode("head").alias("pos", "key"))
+    held = stage(heads.join(heads.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key"), "simhash-heads")
+
+    def classed(links: DataFrame) -> DataFrame:
+        now = nodes.select("no", "id", "n", "bits").join(components(links), "id", "left").withColumn("cls", F.coalesce("label", "id"))
+        whole = held.join(now, "no").select("key", F.struct("no", "id", "cls", "n", "pos", "bits").alias("x"))
+        return stage(whole, "simhash-classed")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        return stage(similar_pairs(docs, stage(pairs, label), id_col, text_col, words, similarity), "simhash-links")
+
     sketched = stage(nodes.groupBy("id").agg(F.min("fp").alias("fp")), "simhash-sketched")
     n, together = bit_statistics(sketched)
-    plan = plan_search(n, together, k)
-    # First to leaders; then only pairs of different classes can add a link that matters.
-    led = stage(similar_pairs(docs, stage(leader_pairs(sketched, k, plan), "simhash-led"), id_col, text_col, words, similarity), "simhash-links")
-    classed = stage(sketched.join(components(led), "id", "left").select("id", "fp", F.coalesce("label", "id").alias("grp")), "simhash-classed")
-    pairs = stage(wide_pairs(classed, k, plan=plan), "simhash-candidates")
-    labels = components(led.unionByName(similar_pairs(docs, pairs, id_col, text_col, words, similarity)))
-    classes = stage(nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id")), "simhash-classes")
+    links = verified(leader_pairs(sketched, k, plan_search(n, together, k)), "simhash-led")
+    # Leaders only tie groups together early; head_pairs then meets every pair of what is still apart.
+    for seed in (0, 100):
+        links = links.unionByName(verified(head_leader_pairs(classed(links), similarity, seed), "simhash-head-led"))
+    links = links.unionByName(verified(head_pairs(classed(links), similarity), "simhash-candidates"))
+    classes = stage(nodes.join(components(links), "id", "left").select("digest", F.coalesce("label", "id").alias("component_id")), "simhash-classes")
     return rows.join(classes, "digest", "left").select("row_id", "component_id")
 
 
