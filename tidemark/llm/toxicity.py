@@ -29,6 +29,8 @@ ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4
 #: Letters: 1-26, others share OTHER codes; 0 is the start of a word.
 OTHER = 9
 ALPHABET = 27 + OTHER
+#: Words of more letters than WHOLE, and spelled runs of more than SPELLED, are looked at in windows.
+WHOLE, SPELLED = 64, 32
 #: A sentence ends at . ! ? or after so many words.
 LONGEST = 40
 # Characters that stand for letters inside words.
@@ -108,6 +110,37 @@ class Landmarks:
                 out[rows[a : a + 512]] = (k / norm[a : a + 512, None]) ** POWER
         return out
 
+    def windows(self, word: str):
+        """Windows over all letters of a long word, of each length that landmarks have and one letter more.
+
+        Any part as long as some landmark lies whole in one; a longer window would dilute it.
+        """
+        for n in sorted({*map(len, self.words)}):
+            yield from (word[a : a + n + 1] for a in range(0, max(len(word) - n + 1, 1), 2))
+
+    def over_windows(self, words: list[str], reduce, rows: int = 16384):
+        """Yields (word, reduce(likeness)) for batches of the windows of each word, so memory stays bounded."""
+        for w in words:
+            for own in itertools.batched(self.windows(w), rows):
+                yield w, reduce(self.likeness(list(dict.fromkeys(own))))
+
+    def best_likeness(self, words: list[str]) -> np.ndarray:
+        """(words, landmarks): for long words, the best likeness over their windows."""
+        out, at = np.zeros((len(words), len(self.words)), np.float32), {w: i for i, w in enumerate(words)}
+        short = [w for w in at if len(w) <= WHOLE]
+        out[[at[w] for w in short]] = self.likeness(short)
+        for w, best in self.over_windows([w for w in at if len(w) > WHOLE], lambda x: x.max(0)):
+            out[at[w]] = np.maximum(out[at[w]], best)
+        return out
+
+    def values(self, words: list[str], beta: np.ndarray, whole: int = WHOLE) -> dict[str, float]:
+        """The value of each distinct word; of a long one, the best value of its windows."""
+        short = [w for w in words if len(w) <= whole]
+        out = dict(zip(short, self.likeness(short) @ beta, strict=True))
+        for w, best in self.over_windows([w for w in words if len(w) > whole], lambda x: float((x @ beta).max())):
+            out[w] = max(out.get(w, best), best)
+        return out
+
 
 @dataclass
 class Model:
@@ -142,7 +175,7 @@ class Scorer:
             return
         words = [normal(t) for t in missing]
         distinct = list(dict.fromkeys(words))
-        value = dict(zip(distinct, self.marks.likeness([w[:64] for w in distinct]) @ self.model.beta, strict=True)) if self.marks else dict.fromkeys(distinct, 0.0)
+        value = self.marks.values(distinct, self.model.beta) if self.marks else dict.fromkeys(distinct, 0.0)
         at, n = len(self.known), len(self.known) + len(missing)
         while n > len(self.values):
             self.values, self.ends, self.lone = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.ends, self.lone))
@@ -186,8 +219,7 @@ class Scorer:
         for a, z in edge.reshape(-1, 2):
             if z - a >= 4:
                 word = "".join(normal(t) for t in ts[a:z])
-                for p in range(0, len(word), 32):
-                    v[a] += float((self.marks.likeness([word[p : p + 32]]) @ self.model.beta)[0]) if self.marks else 0.0
+                v[a] += self.marks.values([word], self.model.beta, SPELLED)[word] if self.marks else 0.0
         return v
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -277,11 +309,11 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 4) -> Model:
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     # All sentences of toxic documents; of the others every third, to bound the matrix.
     own = [(i, s) for i, d in enumerate(cut) for j, s in enumerate(d) if y[i] or j % 3 == 0]
-    words = list(dict.fromkeys(w[:64] for _, s in own for w in s))
-    like, at = lm.likeness(words), {w: i for i, w in enumerate(words)}
+    words = list(dict.fromkeys(w for _, s in own for w in s))
+    like, at = lm.best_likeness(words), {w: i for i, w in enumerate(words)}
     z = np.ones((len(own), len(marks) + 1))
     for n, (_, s) in enumerate(own):
-        z[n, :-1] = like[[at[w[:64]] for w in s]].sum(0)
+        z[n, :-1] = like[[at[w] for w in s]].sum(0)
     z[:, :-1] = z[:, :-1] @ root
     doc = np.array([i for i, _ in own])
     del cut, own, like, words, at, known
@@ -319,7 +351,7 @@ _scorers: dict[bytes, Scorer] = {}
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """docs with a score from 0 to 1. Null and empty texts have no words and get the score that implies.
 
-    Texts of any length are scored whole; equal texts get equal scores; an empty input gives an empty
+    Texts of any length are scored whole, words of over WHOLE letters by the best of overlapping windows; equal texts get equal scores; an empty input gives an empty
     result; all columns are kept.
     """
     packed = pickle.dumps(model)
