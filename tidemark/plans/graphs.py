@@ -26,6 +26,12 @@ def gr_inferred_entries(spark, sf_dir):
     return graph.inferred_entries(_edges(spark, sf_dir).where("src % 3 = 0")).select("id", "out_degree")
 
 
+@query(oracle("edge4", "SELECT src AS id, count(*) AS out_degree FROM edge4 WHERE src NOT IN (SELECT dst FROM edge4) GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 10"))
+def gr_inferred_entries_whole(spark, sf_dir):
+    """Over all edges; gr_inferred_entries keeps the part that its SQL has."""
+    return graph.inferred_entries(_edges(spark, sf_dir)).select("id", "out_degree")
+
+
 @query(oracle("edge4 file7", f""", l AS (SELECT path_id, path, {LAYER} AS layer FROM file7), r AS (SELECT x.path AS src, y.path AS dst, x.layer AS from_layer, y.layer AS to_layer FROM edge4 JOIN l x ON src = x.path_id JOIN l y ON dst = y.path_id),
     o AS (SELECT *, list_position(['ui', 'service', 'db'], from_layer) AS f, list_position(['ui', 'service', 'db'], to_layer) AS t FROM r)
     SELECT src, dst, from_layer, to_layer, CASE WHEN f = 1 AND t = 3 THEN 'skip' ELSE 'inverted' END AS kind FROM o WHERE (f = 1 AND t = 3) OR f > t"""))
@@ -62,6 +68,13 @@ def gr_components(spark, sf_dir):
     return graph.connected_components(_edges(spark, sf_dir).where("src % 2 = dst % 2"))
 
 
+@query(oracle("edge4", """, u AS (SELECT src AS a, dst AS b FROM edge4 UNION SELECT dst, src FROM edge4),
+    r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, least(a, min(b)) AS label FROM r GROUP BY a"""))
+def gr_components_whole(spark, sf_dir):
+    """Over all edges; gr_components keeps the part that its SQL has."""
+    return graph.connected_components(_edges(spark, sf_dir))
+
+
 CYCLES = """, w AS (SELECT [src, dst] AS members FROM edge4 WHERE dst > src UNION ALL SELECT list_append(members, dst) FROM w JOIN edge4 ON src = members[-1] WHERE dst > members[1] AND NOT list_contains(members, dst) AND len(members) < 5),
     c AS (SELECT members, len(members)::INT AS size FROM w WHERE EXISTS (SELECT 1 FROM edge4 WHERE src = members[-1] AND dst = members[1]))"""
 
@@ -141,9 +154,9 @@ def gr_merge_cap(spark, sf_dir):
 
 @query()
 def gr_layers(spark, sf_dir):
-    """Levels of a dozen groups of files."""
-    owner = _edges(spark, sf_dir).select(F.col("src").alias("id"), (F.col("src") % 12).alias("grp")).distinct()
-    return graph.group_levels(graph.group_edges(_edges(spark, sf_dir).where("src < dst"), owner))
+    """Levels of a dozen groups of files, over all edges."""
+    ends = _edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return graph.group_levels(graph.group_edges(_edges(spark, sf_dir), ends.withColumn("grp", F.col("id") % 12)))
 
 
 @query(oracle("file7", """, p AS (SELECT path_id, string_split(path, '/')[:-2] AS d FROM file7), x AS (SELECT path_id, unnest(range(1, len(d) + 1)) AS k, d FROM p)
