@@ -75,10 +75,36 @@ def test_token_counts(spark):
     assert tokens.token_counts(empty_docs(spark), PATH).count() == 0
 
 
-def test_pieces_give_the_ids_of_the_whole_text():
-    enc = tokens.Encoder(PATH)
-    for t in TEXTS:
-        assert np.frombuffer(enc.packed([t or ""])[0], enc.dtype).tolist() == ids_of(t)
+def test_encoder_gives_the_ids_of_the_library():
+    enc = tokens.encoder(PATH)
+    assert enc.ranked is not None
+    odd = ["x" * 300_000, " " * 300_000 + "end", "a" + " \n" * 100_000, "'s'S 't'Re 'll" * 20, "\u0000\ud7ff\ufffd\U0010ffff", "<|endoftext|><|endoftext|> <|endoftext|"]
+    for t in [*TEXTS, *odd, *table("documents", "/root/testdata/sf0.01").text]:
+        assert enc.encode(t or "").tolist() == ids_of(t)
+
+
+def test_encoder_cuts_at_every_character_as_the_library_does():
+    enc = tokens.encoder(PATH)
+    for at in range(0, 0x110000, 64):
+        own = [chr(c) for c in range(at, at + 64) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{c}a1{c}1 {c}!{c}!" for c in own)
+        assert enc.encode(text).tolist() == ids_of(text), hex(at)
+
+
+def test_every_token_of_the_vocabulary_is_one_token():
+    """Merges by rank and merges by pair agree: each token's bytes alone become that token in both."""
+    enc = tokens.encoder(PATH)
+    for t in LIB.get_vocab():
+        text = LIB.decode([LIB.token_to_id(t)])
+        assert enc.encode(text).tolist() == ids_of(text), t
+
+
+def test_other_vocabularies_go_through_the_library():
+    enc = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert enc.ranked is None
+    lib = Tokenizer.from_file(enc.path)
+    for t in filter(None, TEXTS[:13]):
+        assert enc.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_media_round_trip(spark):

@@ -86,8 +86,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 out = []
-                for rid, packed in zip(part["row_id"], enc.packed(list(part["text"])), strict=True):
-                    ids = np.append(np.frombuffer(packed, enc.dtype), enc.dtype.type(end_id))
+                for rid, text in zip(part["row_id"], part["text"], strict=True):
+                    ids = np.append(enc.encode(text), enc.dtype.type(end_id))
                     for no, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         # A full piece needs no partner: only its checksum travels.
