@@ -67,13 +67,21 @@ def directory(path: Column, depth: int = 3) -> Column:
     return F.when(F.size(seg) == 1, F.lit("(root)")).otherwise(F.array_join(F.slice(seg, 1, F.least(F.size(seg) - 1, F.lit(depth))), "/"))
 
 
+# Folders of samples, and files about the project itself.
+SAMPLE_DIRS = ["examples", "example", "fixtures", "fixture"]
+PROJECT_FILES = """
+    readme readme.md readme.rst readme.txt history.md history.rst history.txt changes.md changelog changelog.md changelog.rst
+    changelog.txt license license.md license.txt licence licence.md licence.txt contributing.md contributing.rst package.json
+    package-lock.json yarn.lock pnpm-lock.yaml pyproject.toml poetry.lock pipfile pipfile.lock requirements.txt setup.py
+    setup.cfg dockerfile docker-compose.yml docker-compose.yaml makefile procfile gemfile gemfile.lock
+""".split()
+
+
 def is_non_source(path: Column, test: Column) -> Column:
-    """Tests, examples and fixtures, dotted folders, and files about the project itself."""
-    dirs = F.transform(segments(path), F.lower)
-    odd = F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in ("example", "examples", "fixture", "fixtures")]))
+    """Tests, samples, dotted files and folders, and files about the project itself."""
+    odd = F.arrays_overlap(segments(path), F.array(*[F.lit(x) for x in SAMPLE_DIRS]))
     dotted = F.exists(segments(path), lambda s: s.startswith("."))
-    about = F.lower(stem(path)).rlike("^(readme|license|licence|changelog|contributing|code_of_conduct|security|notice|authors)")
-    return test | odd | dotted | about
+    return test | odd | dotted | F.lower(basename(path)).isin(PROJECT_FILES)
 
 
 def clean_reference(value: Column) -> Column:

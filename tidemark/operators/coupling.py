@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import saved
+
 
 def changesets(touches: DataFrame, most: int = 30, item: str = "path_id") -> DataFrame:
     """(commit_id, item) once each, without commits of more than `most` items.
@@ -45,6 +47,24 @@ def coupling(touches: DataFrame, most: int = 30, item: str = "path_id", min_shar
     return kept.select("a", "b", "shared_revs", "degree", "avg_revs", (~F.col("any_full")).alias("low_confidence"))
 
 
+def coupling_of(touches: DataFrame, item, most: int = 30, min_shared: int = 5, min_degree: float = 0.3, floor: int = 2) -> DataFrame:
+    """The rows of coupling() that have this item at one end, from the commits that hold it.
+
+    Only where none of them reaches min_shared does it matter what other pairs of the history reach.
+    """
+    sets = changesets(touches, most)
+    mine = sets.where(F.col("item") == F.lit(item)).select("commit_id")
+    shared = sets.join(mine, "commit_id", "left_semi").groupBy("item").agg(F.count("*").alias("shared_revs")).where((F.col("shared_revs") >= floor) | (F.col("item") == F.lit(item)))
+    revs = sets.join(shared.select("item"), "item", "left_semi").groupBy("item").agg(F.count("*").alias("revs"))
+    own = mine.agg(F.count("*").alias("own_revs"))
+    rows = shared.where(F.col("item") != F.lit(item)).join(revs, "item").crossJoin(F.broadcast(own)).withColumn("degree", F.col("shared_revs") / F.least("revs", "own_revs")).where(F.col("degree") >= min_degree)
+    rows = saved(rows.select(F.least("item", F.lit(item)).alias("a"), F.greatest("item", F.lit(item)).alias("b"), "shared_revs", "degree", ((F.col("revs") + F.col("own_revs")) / 2).alias("avg_revs")))
+    full = rows.where(F.col("shared_revs") >= min_shared)
+    if not full.isEmpty() or not coupling(touches, most, min_shared=min_shared, min_degree=min_degree, floor=floor).where("not low_confidence").isEmpty():
+        return full.withColumn("low_confidence", F.lit(False))
+    return rows.withColumn("low_confidence", F.lit(True))
+
+
 def module_coupling(touches: DataFrame, module: str = "module", most: int = 10, **options) -> DataFrame:
     """The same over sets of modules: a module counts once a commit, never the sum of its files' pairs."""
     return coupling(touches, most, module, **options)

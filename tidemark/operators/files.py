@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, texts
+from tidemark.operators.tables import global_rank
 
 DAY = 86400.0
 
@@ -46,20 +47,6 @@ def risk(files: DataFrame, ends: DataFrame) -> DataFrame:
     return found.withColumn("severity", numbers.severity(F.col("risk_score"), 0.70, 0.40))
 
 
-def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """0-based rank over all rows.
-
-    Rows are range-partitioned by the order and numbered within each partition; only one count for
-    each partition is summed up, so no task holds all rows.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    placed = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    shift = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(shift), "__part").withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__part", "__in", "__before")
-
-
 def hotspot_rank(risks: DataFrame) -> DataFrame:
     return global_rank(risks, [F.col("risk_score").desc(), F.col("path_id").asc()], "hotspot_rank")
 
@@ -96,11 +83,10 @@ def rank_findings(findings: DataFrame) -> DataFrame:
 def percentile(df: DataFrame, value: str, fraction: float, rule: str = "floor", by: list[str] | None = None) -> DataFrame:
     """The value at a rank rule's index, for each group or over all rows (see numbers.rank_index).
 
-    Values are counted before they are ordered, so a task sees distinct values, not rows.
+    All rows get a global rank by group and value, so neither a hot group nor all values meet in one task.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    up = counts.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
-    at = numbers.rank_index(F.col("total"), fraction, rule)
-    return up.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(*by, F.col(value).alias("value"))
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value")), [*map(F.col, by), F.col("value")], "__rank")
+    ends = ranked.groupBy(*by).agg(F.min("__rank").alias("first"), F.count("*").alias("total"))
+    at = ends.select((F.col("first") + numbers.rank_index(F.col("total"), fraction, rule)).alias("__rank"))
+    return ranked.join(at, "__rank").select(*by, "value")

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import paths
-
-_own: list[str] = []
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the folder all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not _own:
-            _own.append(tempfile.mkdtemp(prefix="tidemark-"))
-        context.setCheckpointDir(f"{named or 'file://' + _own[0]}/{uuid.uuid4().hex}")
-    return df.checkpoint()
+from tidemark.functions import paths, texts
+from tidemark.operators.tables import saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -80,12 +65,12 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int = 6, reverse: bool = Fal
     return seen
 
 
-def shortest_path(edges: DataFrame, start, goal, depth: int = 12) -> DataFrame:
-    """The shortest import path from start to goal, else from goal to start; ties to the smallest ids."""
+def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
+    """The shortest import path from start to goal, else from goal to start; ties to the smallest ids. Searches until nothing new is met."""
     for a, z, direction in ((start, goal, "forward"), (goal, start, "reverse")):
         front = edges.sparkSession.range(1).select(F.lit(a).alias("id"), F.array(F.lit(a)).alias("path"))
         seen = front.select("id")
-        for _ in range(depth):
+        while True:
             hit = front.where(F.col("id") == F.lit(z)).select("path", F.lit(direction).alias("direction"))
             if not hit.isEmpty():
                 return hit
@@ -128,19 +113,43 @@ def top_cycles(found: DataFrame, most: int = 50) -> DataFrame:
     return found.orderBy(F.desc("size"), "members").limit(most)
 
 
-def pagerank(weighted: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(id, rank) on the undirected weighted graph (src, dst, weight), a fixed number of power iterations."""
+def architecture_findings(found: DataFrame, violations: DataFrame) -> DataFrame:
+    """The longest cycles and all layering violations, by severity and then size.
+
+    Cycles are high from five files on, med from three, with confidence 1; skipped layers are high and
+    inverted ones med, with .75. found: members, size; violations: src, dst (ids), kind.
+    """
+    sizes = F.when(F.col("size") >= 5, "high").when(F.col("size") >= 3, "med").otherwise("low")
+    key = F.array_join(F.array_sort(F.transform("members", lambda x: x.cast("string"))), "|")
+    cycle = top_cycles(found).select(F.lit("cycle").alias("kind"), sizes.alias("severity"), F.lit(1.0).alias("confidence"), F.col("members")[0].alias("path_id"), "size", texts.signature("architecture", key).alias("signature"))
+    edge = F.concat_ws("|", "kind", F.col("src").cast("string"), F.col("dst").cast("string"))
+    layer = violations.select("kind", F.when(F.col("kind") == "skip", "high").otherwise("med").alias("severity"), F.lit(0.75).alias("confidence"), F.col("src").alias("path_id"), F.lit(1).alias("size"), texts.signature("architecture", edge).alias("signature"))
+    rank = F.when(F.col("severity") == "high", 2).when(F.col("severity") == "med", 1).otherwise(0)
+    return cycle.unionByName(layer).orderBy(rank.desc(), F.desc("size"), "signature")
+
+
+def pagerank(weighted: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+    """(id, rank) on the undirected weighted graph (src, dst, weight).
+
+    Power iterations until the ranks change by less than `tolerance` a node in sum. The edges are
+    dealt by their source once; the change, one number, reaches the driver every fifth round, when
+    the ranks are written.
+    """
     both = weighted.select("src", "dst", "weight").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     share = saved(both.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "p"))
     ids = saved(share.select(F.col("src").alias("id")).distinct())
-    n = ids.count()
-    ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for no in range(rounds):
+    n = max(ids.count(), 1)
+    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    for no in range(most_rounds):
+        old = ranks
         sent = share.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got")).withColumnRenamed("dst", "id")
-        ranks = ids.join(sent, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = ids.join(sent, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if no % 5 == 4:
-            ranks = saved(ranks)
+            step = saved(ranks.join(old.withColumnRenamed("rank", "old"), "id"))
+            ranks = step.select("id", "rank")
+            if (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance * n:
+                break
     return ranks
 
 
@@ -236,9 +245,10 @@ def group_levels(links: DataFrame, depth: int = 8) -> DataFrame:
     """
     core = saved(links.select(F.col("from_group").alias("src"), F.col("to_group").alias("dst")).distinct())
     groups = core.select(F.col("src").alias("grp")).unionByName(core.select(F.col("dst").alias("grp"))).distinct()
-    reach = core
-    for _ in range(5):  # paths of up to 32 edges, as groups are few
-        longer = reach.join(core.unionByName(reach).distinct().select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
+    reach, n = core, -1
+    while (m := reach.count()) != n:  # paths double in length each round
+        n = m
+        longer = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
         reach = saved(reach.unionByName(longer).distinct())
     mutual = reach.alias("x").join(reach.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src"))).select(F.col("x.src").alias("grp"), F.col("x.dst").alias("peer"))
     top = saved(groups.join(mutual, "grp", "left").groupBy("grp").agg(F.least(F.col("grp"), F.min("peer")).alias("scc")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
 from tidemark.operators import coupling, graph
+from tidemark.plans.history import CYCLES
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.plans.paths import LAYER
 from tidemark.registry import query
@@ -20,15 +21,9 @@ def gr_degree(spark, sf_dir):
     return graph.degrees(_edges(spark, sf_dir))
 
 
-@query(oracle("edge4", """SELECT src AS id, count(*) AS out_degree FROM edge4 WHERE src % 3 = 0 AND src NOT IN (SELECT dst FROM edge4 WHERE src % 3 = 0) GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 10"""))
-def gr_inferred_entries(spark, sf_dir):
-    """On the edges of every third file, as otherwise all are imported."""
-    return graph.inferred_entries(_edges(spark, sf_dir).where("src % 3 = 0")).select("id", "out_degree")
-
-
 @query(oracle("edge4", "SELECT src AS id, count(*) AS out_degree FROM edge4 WHERE src NOT IN (SELECT dst FROM edge4) GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 10"))
-def gr_inferred_entries_whole(spark, sf_dir):
-    """Over all edges; gr_inferred_entries keeps the part that its SQL has."""
+def gr_inferred_entries(spark, sf_dir):
+    """Over all edges, where every file may be imported by some other."""
     return graph.inferred_entries(_edges(spark, sf_dir)).select("id", "out_degree")
 
 
@@ -62,32 +57,32 @@ def gr_path(spark, sf_dir):
     return graph.shortest_path(_edges(spark, sf_dir), F.lit(1).cast("long"), F.lit(9).cast("long")).select(F.size("path").alias("files"))
 
 
-@query(oracle("edge4", """, u AS (SELECT src AS a, dst AS b FROM edge4 WHERE src % 2 = dst % 2 UNION SELECT dst, src FROM edge4 WHERE src % 2 = dst % 2),
-    r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, least(a, min(b)) AS label FROM r GROUP BY a"""))
-def gr_components(spark, sf_dir):
-    return graph.connected_components(_edges(spark, sf_dir).where("src % 2 = dst % 2"))
-
-
 @query(oracle("edge4", """, u AS (SELECT src AS a, dst AS b FROM edge4 UNION SELECT dst, src FROM edge4),
     r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, least(a, min(b)) AS label FROM r GROUP BY a"""))
-def gr_components_whole(spark, sf_dir):
-    """Over all edges; gr_components keeps the part that its SQL has."""
+def gr_components(spark, sf_dir):
     return graph.connected_components(_edges(spark, sf_dir))
 
 
-CYCLES = """, w AS (SELECT [src, dst] AS members FROM edge4 WHERE dst > src UNION ALL SELECT list_append(members, dst) FROM w JOIN edge4 ON src = members[-1] WHERE dst > members[1] AND NOT list_contains(members, dst) AND len(members) < 5),
-    c AS (SELECT members, len(members)::INT AS size FROM w WHERE EXISTS (SELECT 1 FROM edge4 WHERE src = members[-1] AND dst = members[1]))"""
-
-
 @query(oracle("edge4", CYCLES + "SELECT * FROM c"))
 def gr_cycles(spark, sf_dir):
-    """Simple cycles of up to five files."""
-    return graph.cycles(_edges(spark, sf_dir), 5)
+    """Simple cycles of up to ten files."""
+    return graph.cycles(_edges(spark, sf_dir))
+
 
+ARCH = CYCLES + f""", t AS (SELECT * FROM c ORDER BY size DESC, members LIMIT 50),
+    l AS (SELECT path_id, path, {LAYER} AS layer FROM file7), r AS (SELECT x.path_id AS src, y.path_id AS dst, list_position(['ui', 'service', 'db'], x.layer) AS f, list_position(['ui', 'service', 'db'], y.layer) AS t FROM edge4 JOIN l x ON src = x.path_id JOIN l y ON dst = y.path_id),
+    v AS (SELECT CASE WHEN f = 1 AND t = 3 THEN 'skip' ELSE 'inverted' END AS kind, src, dst FROM r WHERE (f = 1 AND t = 3) OR f > t),
+    a AS (SELECT 'cycle' AS kind, CASE WHEN size >= 5 THEN 'high' WHEN size >= 3 THEN 'med' ELSE 'low' END AS severity, 1.0::DOUBLE AS confidence, members[1] AS path_id, size, substr(sha256('architecture:' || array_to_string(list_sort(list_transform(members, lambda x: x::VARCHAR)), '|')), 1, 32) AS signature FROM t
+        UNION ALL SELECT kind, CASE kind WHEN 'skip' THEN 'high' ELSE 'med' END, 0.75, src, 1, substr(sha256('architecture:' || kind || '|' || src || '|' || dst), 1, 32) FROM v)"""
 
-@query(oracle("edge4", CYCLES + "SELECT * FROM c ORDER BY size DESC, members LIMIT 50"))
+
+@query(oracle("edge4 file7", ARCH + "SELECT * FROM a"))
 def fnd_arch(spark, sf_dir):
-    return graph.top_cycles(graph.cycles(_edges(spark, sf_dir), 5))
+    """The fifty longest cycles and all layering violations, with severity and confidence."""
+    names = bind(spark, sf_dir, "file7").select("path_id", "path")
+    e = _edges(spark, sf_dir).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    bad = graph.layering(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("src").alias("from_id"), F.col("dst").alias("to_id"))).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind")
+    return graph.architecture_findings(graph.cycles(_edges(spark, sf_dir)), bad)
 
 
 def _weights(spark, sf_dir):
@@ -103,6 +98,7 @@ def gr_weights(spark, sf_dir):
 
 
 def pagerank_sql(rounds: int) -> str:
+    """So many rounds that six digits no longer change."""
     out = """, s AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, weight FROM w UNION ALL SELECT dst, src, weight FROM w)),
         ids AS MATERIALIZED (SELECT DISTINCT src AS id FROM s), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS rank FROM ids)"""
     for i in range(rounds):
@@ -110,9 +106,9 @@ def pagerank_sql(rounds: int) -> str:
     return out + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
 
 
-@query(oracle("touch2 edge4", WEIGHTS + pagerank_sql(20)))
+@query(oracle("touch2 edge4", WEIGHTS + pagerank_sql(60)))
 def gr_pagerank(spark, sf_dir):
-    return graph.pagerank(_weights(spark, sf_dir)).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_weights(spark, sf_dir), tolerance=1e-10).select("id", F.round("rank", 6).alias("rank"))
 
 
 def _members(spark, sf_dir):
@@ -152,7 +148,10 @@ def gr_merge_cap(spark, sf_dir):
     return graph.merge_small(w, graph.communities(w))
 
 
-@query()
+@query(oracle("edge4", """, k AS (SELECT DISTINCT src % 12 AS a, dst % 12 AS b FROM edge4 WHERE src % 12 <> dst % 12), r AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+    g AS (SELECT a AS grp FROM k UNION SELECT b FROM k), top AS (SELECT grp, least(grp, (SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = grp)) AS scc FROM g),
+    dag AS (SELECT DISTINCT x.scc AS a, y.scc AS b FROM k JOIN top x ON k.a = x.grp JOIN top y ON k.b = y.grp WHERE x.scc <> y.scc), lv AS (SELECT DISTINCT scc AS a, 0 AS level FROM top UNION SELECT dag.b, lv.level + 1 FROM lv JOIN dag ON lv.a = dag.a WHERE lv.level < 7)
+    SELECT grp, max(level)::INT AS level FROM top JOIN lv ON scc = a GROUP BY 1"""))
 def gr_layers(spark, sf_dir):
     """Levels of a dozen groups of files, over all edges."""
     ends = _edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -202,7 +201,7 @@ HIDDEN2 = coupling_sql("touch2") + """, near AS (SELECT CASE WHEN a = 7 THEN b E
 @query(oracle("touch2 edge4", HIDDEN2 + """SELECT coalesce(st.id, near.path_id) AS path_id, hops, round(degree, 6) AS degree, st.id IS NULL AS surprising FROM (SELECT * FROM st WHERE id <> 7) st FULL JOIN near ON st.id = near.path_id"""))
 def eng_blast(spark, sf_dir):
     """What a change of file 7 reaches: importers by hops, coupled files, and those that only history ties (surprising)."""
-    pairs = coupling.coupling(bind(spark, sf_dir, "touch2")).where("a = 7 or b = 7")
+    pairs = coupling.coupling_of(bind(spark, sf_dir, "touch2"), 7)
     near = pairs.select(F.when(F.col("a") == 7, F.col("b")).otherwise(F.col("a")).alias("path_id"), F.round("degree", 6).alias("degree"))
     found = graph.bfs(_edges(spark, sf_dir), spark.createDataFrame([(7,)], "id long"), 6, reverse=True).where("id <> 7").withColumnRenamed("id", "path_id")
     return found.join(near, "path_id", "full").select("path_id", "hops", "degree", F.col("hops").isNull().alias("surprising"))

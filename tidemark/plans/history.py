@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
 from tidemark.functions import numbers
-from tidemark.operators import coupling, files, hygiene
+from tidemark.operators import coupling, files, graph, hygiene, tables
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.registry import query
 
@@ -37,9 +37,9 @@ def risks(spark, sf_dir):
     return files.risk(bind(spark, sf_dir, "file7"), ends).withColumn("risk_score", F.round("risk_score", 9))
 
 
-@query(oracle("touch2 file7", RISK + "SELECT path_id, round(risk_score, 6) AS risk_score, confidence, CASE WHEN round(risk_score, 9) >= 0.7 THEN 'high' WHEN round(risk_score, 9) >= 0.4 THEN 'med' ELSE 'low' END AS severity FROM risk"))
+@query(oracle("touch2 file7", RISK + "SELECT path_id, round(risk_score, 9) AS risk_score, confidence, CASE WHEN round(risk_score, 9) >= 0.7 THEN 'high' WHEN round(risk_score, 9) >= 0.4 THEN 'med' ELSE 'low' END AS severity FROM risk"))
 def agg_risk(spark, sf_dir):
-    return risks(spark, sf_dir).select("path_id", F.round("risk_score", 6).alias("risk_score"), "confidence", "severity")
+    return risks(spark, sf_dir).select("path_id", "risk_score", "confidence", "severity")
 
 
 @query(oracle("touch2 file7", RISK + "SELECT path_id, row_number() OVER (ORDER BY round(risk_score, 9) DESC, path_id) - 1 AS hotspot_rank FROM risk"))
@@ -69,14 +69,15 @@ def win_findings_rank(spark, sf_dir):
     return files.rank_findings(rows).select("category", "severity", F.round("confidence", 6).alias("confidence"), "subject", "signature", "rank")
 
 
-@query(oracle("touch2 file7 edge4", RISK + f""", {HIDDEN_ROWS}, h AS (SELECT count(*) FILTER (WHERE round(risk_score, 9) >= 0.6) / count(*)::DOUBLE AS ratio FROM risk),
-    c AS (SELECT count(*) AS n FROM edge4 x JOIN edge4 y ON x.dst = y.src AND y.dst = x.src AND x.src < x.dst), d AS (SELECT count(*) AS n FROM hidden)
-    SELECT round(greatest(0.0, 100 - least(100.0, 40 * ratio) - least(30.0, 6.0 * c.n) - least(30.0, 3.0 * d.n)), 6)::DOUBLE AS score, round(ratio, 6) AS high_risk_ratio, c.n AS cycle_count, d.n AS hidden_count FROM h, c, d"""))
-def agg_health(spark, sf_dir):
-    """Cycles of two files stand for the cycles here."""
-    from tidemark.operators import graph
+CYCLES = """, w AS (SELECT [src, dst] AS members FROM edge4 WHERE dst > src UNION ALL SELECT list_append(members, dst) FROM w JOIN edge4 ON src = members[-1] WHERE dst > members[1] AND NOT list_contains(members, dst) AND len(members) < 10),
+    c AS (SELECT members, len(members)::INT AS size FROM w WHERE EXISTS (SELECT 1 FROM edge4 WHERE src = members[-1] AND dst = members[1]))"""
+
 
-    got = files.health(bind(spark, sf_dir, "file7"), risks(spark, sf_dir), graph.cycles(bind(spark, sf_dir, "edge4"), 2), hidden(spark, sf_dir))
+@query(oracle("touch2 file7 edge4", RISK + CYCLES + f""", {HIDDEN_ROWS}, h AS (SELECT count(*) FILTER (WHERE round(risk_score, 9) >= 0.6) / count(*)::DOUBLE AS ratio FROM risk),
+    k AS (SELECT count(*) AS n FROM c), d AS (SELECT count(*) AS n FROM hidden)
+    SELECT round(greatest(0.0, 100 - least(100.0, 40 * ratio) - least(30.0, 6.0 * k.n) - least(30.0, 3.0 * d.n)), 6)::DOUBLE AS score, round(ratio, 6) AS high_risk_ratio, k.n AS cycle_count, d.n AS hidden_count FROM h, k, d"""))
+def agg_health(spark, sf_dir):
+    got = files.health(bind(spark, sf_dir, "file7"), risks(spark, sf_dir), graph.cycles(bind(spark, sf_dir, "edge4")), hidden(spark, sf_dir))
     return got.select(F.round("score", 6).alias("score"), F.round("high_risk_ratio", 6).alias("high_risk_ratio"), "cycle_count", "hidden_count")
 
 
@@ -171,22 +172,22 @@ def eng_instability(spark, sf_dir):
     return got.select("path_id", "raw", F.round("instability", 6).alias("instability"))
 
 
-EVENTS = """, ev AS (SELECT 'oversized' AS kind, commit_id, files_changed::VARCHAR AS detail, 0.7::DOUBLE AS confidence FROM big UNION ALL
+EVENTS = FIX2 + """, ev AS (SELECT 'fixup' AS kind, first_id AS commit_id, commits::VARCHAR AS detail, 0.6::DOUBLE AS confidence FROM fix UNION ALL SELECT 'oversized', commit_id, files_changed::VARCHAR, 0.7::DOUBLE FROM big UNION ALL
     SELECT 'risky', commit_id, score::VARCHAR, score / 4.0::DOUBLE FROM risky WHERE score >= 3)"""
 
 
 def _events(spark, sf_dir):
-    none = spark.createDataFrame([], "first_id long, commits long")
-    return hygiene.events(hygiene.oversized(bind(spark, sf_dir, "commit1")), none, _risky(spark, sf_dir))
+    """Fix-ups are those of win_fixup_long."""
+    return hygiene.events(hygiene.oversized(bind(spark, sf_dir, "commit1")), win_fixup_long(spark, sf_dir), _risky(spark, sf_dir))
 
 
-@query(oracle("commit1 touch1", BIG + RISKY + EVENTS + "SELECT kind, commit_id, detail FROM ev"))
+@query(oracle("commit1 touch1 commit5", BIG + RISKY + EVENTS + "SELECT kind, commit_id, detail FROM ev"))
 def hyg_events(spark, sf_dir):
     return _events(spark, sf_dir).select("kind", "commit_id", F.map_values("detail")[0].alias("detail"))
 
 
-@query(oracle("commit1 touch1", BIG + RISKY + EVENTS + """SELECT 'hygiene' AS category, 'med' AS severity, confidence, commit_id::VARCHAR AS subject, substr(sha256('hygiene:' || kind || ':' || commit_id), 1, 32) AS signature
-    FROM ev ORDER BY confidence DESC, signature LIMIT 8"""))
+@query(oracle("commit1 touch1 commit5", BIG + RISKY + EVENTS + """SELECT 'hygiene' AS category, CASE kind WHEN 'fixup' THEN 'low' ELSE 'med' END AS severity, confidence, commit_id::VARCHAR AS subject, substr(sha256('hygiene:' || kind || ':' || commit_id), 1, 32) AS signature
+    FROM ev ORDER BY kind = 'fixup', confidence DESC, signature LIMIT 8"""))
 def fnd_hygiene(spark, sf_dir):
     return hygiene.findings(_events(spark, sf_dir))
 
@@ -217,7 +218,7 @@ def agg_cadence(spark, sf_dir):
 def agg_churn_conc(spark, sf_dir):
     """The share of all churn in the tenth of the files with most of it."""
     own = bind(spark, sf_dir, "file7").select("path_id", "churn_weighted")
-    ranked = files.global_rank(own, [F.desc("churn_weighted"), F.asc("path_id")])
+    ranked = tables.global_rank(own, [F.desc("churn_weighted"), F.asc("path_id")])
     total = own.agg(F.count("*").alias("n"))
     return ranked.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.when(F.col("rank") < F.ceil(F.lit(0.1) * F.col("n")), F.col("churn_weighted"))) / F.sum("churn_weighted"), 6).alias("share"))
 

@@ -40,8 +40,10 @@ def prj_directory(spark, sf_dir):
     return bind(spark, sf_dir, "file7").select("path_id", paths.directory(F.col("path")).alias("directory"))
 
 
-@query(oracle("file7", f"""SELECT path_id, ({IS_TEST}) OR regexp_matches('/' || lower(path) || '/', '/(example|examples|fixture|fixtures)/') OR regexp_matches('/' || path, '/\\.')
-    OR regexp_matches(lower({STEM}), '^(readme|license|licence|changelog|contributing|code_of_conduct|security|notice|authors)') AS non_source FROM file7"""))
+NON_SOURCE = f"""({IS_TEST}) OR list_has_any(string_split(path, '/'), {paths.SAMPLE_DIRS}) OR regexp_matches('/' || path, '/\\.') OR lower({NAME}) IN ({", ".join(f"'{x}'" for x in paths.PROJECT_FILES)})"""
+
+
+@query(oracle("file7", f"SELECT path_id, {NON_SOURCE} AS non_source FROM file7"))
 def prj_non_source(spark, sf_dir):
     files = bind(spark, sf_dir, "file7")
     test = paths.is_test(F.col("path"), paths.language(F.col("path")))
@@ -134,14 +136,17 @@ VECTOR = """concat('CVSS:3.1/AV:', CASE p_partkey % 4 WHEN 0 THEN 'N' WHEN 1 THE
     '/C:', CASE p_size % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'L' ELSE 'H' END, '/I:', CASE p_partkey % 5 WHEN 0 THEN 'H' WHEN 1 THEN 'L' ELSE 'N' END, CASE WHEN p_partkey % 29 = 0 THEN '' ELSE '/A:H' END)"""
 
 
-@query(f"""WITH v AS (SELECT p_partkey, {VECTOR} AS vector, p_partkey % 29 = 0 AS bad,
+CVSS_SQL = f"""WITH v AS (SELECT p_partkey, {VECTOR} AS vector, p_partkey % 29 = 0 AS bad,
       [0.85, 0.62, 0.55, 0.20][p_partkey % 4 + 1]::DOUBLE AS av, CASE WHEN p_size % 2 = 0 THEN 0.77 ELSE 0.44 END::DOUBLE AS ac, p_size % 5 = 0 AS changed,
       CASE WHEN p_size % 5 = 0 THEN [0.85, 0.68, 0.50][p_partkey % 3 + 1] ELSE [0.85, 0.62, 0.27][p_partkey % 3 + 1] END::DOUBLE AS pr, CASE WHEN p_size % 3 = 0 THEN 0.85 ELSE 0.62 END::DOUBLE AS ui,
       1 - (1 - [0.0, 0.22, 0.56][p_size % 3 + 1]::DOUBLE) * (1 - [0.56, 0.22, 0.0, 0.0, 0.0][p_partkey % 5 + 1]::DOUBLE) * (1 - 0.56::DOUBLE) AS iss FROM part),
     w AS (SELECT *, CASE WHEN changed THEN 7.52::DOUBLE * (iss - 0.029::DOUBLE) - 3.25::DOUBLE * pow(iss - 0.02::DOUBLE, 15) ELSE 6.42::DOUBLE * iss END AS impact FROM v),
     s AS (SELECT *, round_even(least((impact + 8.22::DOUBLE * av * ac * pr * ui) * CASE WHEN changed THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END, 10.0) * 100000, 0)::BIGINT AS scaled FROM w),
     f AS (SELECT p_partkey, vector, CASE WHEN bad THEN NULL WHEN impact <= 0 THEN 0.0::DOUBLE WHEN scaled % 10000 = 0 THEN scaled / 100000.0::DOUBLE ELSE (scaled // 10000 + 1) / 10.0::DOUBLE END AS score FROM s)
-    SELECT p_partkey, vector, round(score, 6) AS score, CASE WHEN score >= 7.0 THEN 'high' WHEN score >= 4.0 THEN 'med' ELSE 'low' END AS band FROM f""")
+    SELECT p_partkey, vector, score FROM f"""
+
+
+@query(f"SELECT p_partkey, vector, round(score, 6) AS score, CASE WHEN score >= 7.0 THEN 'high' WHEN score >= 4.0 THEN 'med' ELSE 'low' END AS band FROM ({CVSS_SQL})")
 def fn_cvss(spark, sf_dir):
     rows = spark.sql(f"SELECT p_partkey, {VECTOR} AS vector FROM {{part}}", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
     score = numbers.cvss_base(F.col("vector"))
@@ -151,10 +156,15 @@ def fn_cvss(spark, sf_dir):
 POINTS = [(0.0, 0.0), (100.0, 0.25), (1000.0, 0.5), (5000.0, 0.75), (9000.0, 0.9)]
 
 
-@query("""SELECT c_custkey, round(CASE WHEN v <= 0 THEN 0.0 WHEN v <= 100 THEN v / 100 * 0.25 WHEN v <= 1000 THEN 0.25 + (v - 100) / 900 * 0.25 WHEN v <= 5000 THEN 0.5 + (v - 1000) / 4000 * 0.25
-    WHEN v <= 9000 THEN 0.75 + (v - 5000) / 4000 * 0.15 ELSE 0.9 END::DOUBLE, 6) AS percentile FROM (SELECT c_custkey, c_acctbal AS v FROM customer)""")
+def interpolation_sql(value: str, points: list[tuple[float, float]]) -> str:
+    """The same steps as numbers.interpolate, in doubles throughout."""
+    steps = " ".join(f"WHEN {value} <= {v1!r}e0 THEN {p0!r}e0 + ({value} - {v0!r}e0) / {v1 - v0!r}e0 * {p1 - p0!r}e0" for (v0, p0), (v1, p1) in zip(points, points[1:], strict=False))
+    return f"CASE WHEN {value} <= {points[0][0]!r}e0 THEN {points[0][1]!r}e0 {steps} ELSE {points[-1][1]!r}e0 END"
+
+
+@query(f"SELECT c_custkey, round({interpolation_sql('c_acctbal', POINTS)}, 9) AS percentile FROM customer")
 def base_interp(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.round(numbers.interpolate(F.col("c_acctbal"), POINTS), 6).alias("percentile"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.round(numbers.interpolate(F.col("c_acctbal"), POINTS), 9).alias("percentile"))
 
 
 @query("SELECT c_custkey, round(CASE WHEN hi = lo THEN 0.5 ELSE (c_acctbal - lo) / (hi - lo) END, 6) AS scaled FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")

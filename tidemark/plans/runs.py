@@ -99,14 +99,14 @@ def agg_counts(spark, sf_dir):
     return out
 
 
-@query(oracle("touch2 file7", RISK + "SELECT path_id, path, loc, round(risk_score, 6) AS risk_score FROM file7 JOIN risk USING (path_id)"))
+@query(oracle("touch2 file7", RISK + "SELECT path_id, path, loc, round(risk_score, 9) AS risk_score FROM file7 JOIN risk USING (path_id)"))
 def join_metrics(spark, sf_dir):
-    return bind(spark, sf_dir, "file7").join(risks(spark, sf_dir), "path_id").select("path_id", "path", "loc", F.round("risk_score", 6).alias("risk_score"))
+    return bind(spark, sf_dir, "file7").join(risks(spark, sf_dir), "path_id").select("path_id", "path", "loc", "risk_score")
 
 
-@query(oracle("touch2 file7", RISK + "SELECT path_id, loc, round(risk_score, 6) AS risk_score FROM file7 LEFT JOIN risk USING (path_id)"))
+@query(oracle("touch2 file7", RISK + "SELECT path_id, loc, round(risk_score, 9) AS risk_score FROM file7 LEFT JOIN risk USING (path_id)"))
 def join_city_outer(spark, sf_dir):
-    return bind(spark, sf_dir, "file7").join(risks(spark, sf_dir), "path_id", "left").select("path_id", "loc", F.round("risk_score", 6).alias("risk_score"))
+    return bind(spark, sf_dir, "file7").join(risks(spark, sf_dir), "path_id", "left").select("path_id", "loc", "risk_score")
 
 
 @query(oracle("file7", "SELECT min(loc) AS loc_min, max(loc) AS loc_max, min(complexity) AS complexity_min, max(complexity) AS complexity_max, count(*) AS n FROM file7"))
