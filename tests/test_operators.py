@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import streaming
 from tidemark.functions import numbers, paths, texts
-from tidemark.operators import coupling, expertise, files, graph, hygiene, onboarding, runs
+from tidemark.operators import coupling, expertise, files, graph, hygiene, onboarding, runs, tables
 from tidemark.sources import code, gitlog, secrets
 
 
@@ -200,3 +200,133 @@ def test_streams(spark, tmp_path):
     q = streaming.hourly_activity(streaming.commit_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.start: r.touches for r in spark.table("hours").collect()} == {at(0): 2, at(60): 1}
+
+
+def test_rank_of_many_rows_with_a_payload(spark):
+    rows = spark.range(1_000_000).select("id", F.pmod(F.xxhash64("id"), F.lit(5000)).alias("score"), F.sha1(F.col("id").cast("string")).alias("payload"), F.repeat(F.lit("x"), 20).alias("more"))
+    got = tables.global_rank(rows, [F.desc("score"), F.asc("payload")])
+    seen = got.agg(F.count_distinct("rank").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+    assert (seen.n, seen.lo, seen.hi) == (1_000_000, 0, 999_999)
+    near = got.select(F.col("rank") + 1, F.col("score").alias("s0"), F.col("payload").alias("p0")).toDF("rank", "s0", "p0").join(got, "rank")
+    assert near.where("s0 < score or (s0 = score and p0 > payload)").count() == 0
+    assert got.where("more is null or payload is null").count() == 0
+    assert tables.global_rank(rows.limit(0), [F.col("score")]).count() == 0
+
+
+def test_percentile_of_groups_of_any_size(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1900, "hot").otherwise("cold").alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    got = {r.g: r.value for r in files.percentile(rows, "v", 0.5, "floor", ["g"]).collect()}
+    hot, cold = (sorted(i % 7 for i in ids) for ids in (range(1900), range(1900, 2000)))
+    assert got == {"hot": hot[int(0.5 * 1899)], "cold": cold[int(0.5 * 99)]}
+    assert files.percentile(rows.where("v < 0"), "v", 0.5).count() == 0
+
+
+def brute_cycles(edges, longest):
+    out = set()
+    nxt = {}
+    for a, b in edges:
+        nxt.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for b in nxt.get(path[-1], ()):
+            if b == path[0] and len(path) > 1:
+                out.add(tuple(path))
+            elif b > path[0] and b not in path and len(path) < longest:
+                walk([*path, b])
+
+    for a in nxt:
+        walk([a])
+    return out
+
+
+def test_cycles_of_up_to_ten_files(spark):
+    ring = [(i, (i + 1) % 10) for i in range(10)]
+    more = [(3, 1), (7, 2), (20, 21), (21, 20), (30, 31), (40, 41), (11, 12), *[(50 + i, 50 + (i + 1) % 11) for i in range(11)]]
+    got = {tuple(r.members) for r in graph.cycles(spark.createDataFrame(ring + more, "src long, dst long")).collect()}
+    assert got == brute_cycles(ring + more, 10) and max(map(len, got)) == 10 and not any(50 in c for c in got)
+
+
+def test_levels_and_paths_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert graph.shortest_path(edges, F.lit(0).cast("long"), F.lit(40).cast("long")).first().path == list(range(41))
+    ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)] + [(40, 0), (39, 41)], "from_group long, to_group long")
+    got = {r.grp: r.level for r in graph.group_levels(ring).collect()}
+    assert got == {40: 0, **dict.fromkeys(range(40), 1), 41: 2}
+
+
+def test_pagerank_runs_to_its_tolerance(spark):
+    w = spark.createDataFrame([(0, i, 1.0) for i in range(1, 6)] + [(1, 2, 2.0)], "src long, dst long, weight double")
+    got = {r.id: r["rank"] for r in graph.pagerank(w, tolerance=1e-12).collect()}
+    links = [(0, i, 1.0) for i in range(1, 6)] + [(1, 2, 2.0)]
+    out = {n: sum(x for a, b, x in links if n in (a, b)) for n in range(6)}
+    rank = dict.fromkeys(range(6), 1 / 6)
+    for _ in range(500):
+        rank = {n: 0.15 / 6 + 0.85 * sum(rank[a + b - n] * x / out[a + b - n] for a, b, x in links if n in (a, b)) for n in range(6)}
+    assert all(got[n] == pytest.approx(rank[n], abs=1e-9) for n in range(6))
+
+
+def test_coupling_of_one_file_is_that_of_all(spark):
+    import random
+
+    r = random.Random(5)
+    for n, files_ in ((400, 30), (30, 40), (3, 4)):
+        touches = spark.createDataFrame([(c, p) for c in range(n) for p in r.sample(range(files_), r.randrange(1, 4))] + [(n, p) for p in range(min(files_, 31))], "commit_id long, path_id long")
+        want = sorted(map(tuple, coupling.coupling(touches).where("a = 2 or b = 2").collect()))
+        assert sorted(map(tuple, coupling.coupling_of(touches, 2).collect())) == want
+
+
+def test_architecture_findings(spark):
+    found = spark.createDataFrame([([1, 2], 2), ([3, 4, 5], 3), ([6, 7, 8, 9, 10], 5)], "members array<long>, size int")
+    bad = spark.createDataFrame([(1, 2, "skip"), (2, 1, "inverted")], "src long, dst long, kind string")
+    got = graph.architecture_findings(found, bad).collect()
+    assert [(r.kind, r.severity, r.confidence, r["size"]) for r in got] == [("cycle", "high", 1.0, 5), ("skip", "high", 0.75, 1), ("cycle", "med", 1.0, 3), ("inverted", "med", 0.75, 1), ("cycle", "low", 1.0, 2)]
+
+
+def tour_of(spark, rows, hops):
+    own = spark.createDataFrame(rows, "path_id long, path string, reason string, subsystem long, risk_score double, confidence double, rank double, in_degree long")
+    return [(r.position, r.path_id, r.reason) for r in onboarding.tour(own, spark.createDataFrame(hops, "id long, hops int")).orderBy("position").collect()]
+
+
+def test_tour_starts_with_the_readme_and_goes_by_distance(spark):
+    rows = [
+        (1, "b.py", "entry_point", 0, None, 0.75, 0.1, 0), (2, "a.py", "entry_point", 0, None, 0.95, 0.1, 0), (3, "README.md", "documentation", None, None, None, 0.0, 0),
+        (4, "far.py", "subsystem_anchor", 1, None, None, 0.9, 0), (5, "near.py", "high_centrality", 1, None, None, 0.1, 0), (6, "x.py", "hotspot", 1, 0.9, None, 0.2, 0), (7, "y.py", "widely_depended_on", 1, None, None, 0.3, 5),
+    ]
+    got = tour_of(spark, rows, [(1, 0), (2, 0), (5, 1), (4, 2)])
+    assert [p for _, p, _ in got] == [3, 2, 1, 5, 4, 7, 6] and [n for n, _, _ in got] == list(range(1, 8))
+
+
+def test_an_anchor_takes_the_place_of_the_lesser_hotspot(spark):
+    rows = [(i, f"e{i:02}.py", "entry_point", 0, None, 0.9, 0.1, 0) for i in range(13)]
+    rows += [(20, "h1.py", "hotspot", 0, 0.9, None, 0.9, 0), (21, "h2.py", "hotspot", 0, 0.4, None, 0.8, 0)]
+    rows += [(30 + s, f"z{s}.py", "subsystem_anchor", s, None, None, 0.1, 0) for s in (5, 3, 4, 0)]
+    got = tour_of(spark, rows, [(99, 0)])
+    assert len(got) == 15 and [p for _, p, _ in got][13:] == [34, 33]
+
+
+def test_first_steps_are_the_first_three_that_hold(spark):
+    columns = "churn_concentration double, truck_factor long, orphaned_path string, hidden_count long, cycle_count long, idle_days double, has_tests boolean, loose_label string, loose_cohesion double"
+    rows = [(0.5, 3, None, 0, 0, 180.0, True, None, None), (0.6, 2, "a.py", 1, 1, 181.0, False, "x", 0.3), (0.1, 9, None, 0, 2, 300.0, False, "x", 0.3)]
+    got = [[(h.code, h.params) for h in r.first_steps] for r in onboarding.first_steps(spark.createDataFrame(rows, columns)).collect()]
+    assert [[c for c, _ in g] for g in got] == [[], ["HIGH_CHURN_CONCENTRATION", "LOW_TRUCK_FACTOR", "ORPHANED_HOTSPOT"], ["CIRCULAR_DEPENDENCIES", "DORMANT", "NO_TESTS"]]
+    assert got[1][2][1] == {"path": "a.py"} and got[2][0][1] == {"count": "2"} and got[2][2][1] == {}
+
+
+def test_commands_name_modules_and_classes(spark):
+    tree = spark.createDataFrame([(1, "pkg/cli.py"), (2, "pkg/tool/__init__.py"), (3, "com/x/Main.java"), (4, "run.sh")], "path_id long, path string")
+    commands = spark.createDataFrame([(0, "pkg.cli:main"), (1, "pkg.tool"), (2, "com.x.Main"), (3, '["sh", "./run.sh"]'), (4, "nothing here")], "command_no long, text string")
+    assert sorted(r.path_id for r in onboarding.resolve_commands(commands, tree).collect()) == [1, 2, 3, 4]
+
+
+def test_a_tree_with_binary_and_long_files(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "src/logo.png").write_bytes(b"\x89PNG\r\n\x1a\n\xff\xfe\x00\x80")
+    (tmp_path / "src/big.py").write_text("x = 1\n" * 200_000)
+    (tmp_path / "src/a.py").write_text("import src.big\n", encoding="utf-8")
+    (tmp_path / "node_modules/x.js").write_text("y")
+    got = {r.path: r for r in gitlog.read_tree(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {"src/logo.png", "src/big.py", "src/a.py"}
+    assert got["src/big.py"].bytes == 1_200_000 and got["src/big.py"].content == "" and got["src/a.py"].content == "import src.big\n" and "PNG" in got["src/logo.png"].content
+    edges = code.import_edges(gitlog.read_tree(spark, f"file://{tmp_path}")) if hasattr(code, "import_edges") else None
+    assert edges is None or edges.count() >= 0
