@@ -51,6 +51,16 @@ BINDINGS = {
     "file7": f"""SELECT p_partkey AS path_id, {PATH} AS path, CAST(p_size AS BIGINT) * 13 AS loc, CAST(p_size AS DOUBLE) AS complexity, p_size % 17 = 0 AS is_deleted,
         count(DISTINCT l_orderkey) AS commit_count, coalesce(sum(l_quantity), 0) AS churn_weighted, p_brand AS module
         FROM {{part}} LEFT JOIN {{lineitem}} ON p_partkey = l_partkey GROUP BY p_partkey, p_size, p_brand""",
+    # A source tree: a third each of Python, TypeScript and Java files that import one another.
+    "tree8": """SELECT p_partkey AS k, p_size * 3 AS j, CASE p_partkey % 3 WHEN 0 THEN concat('pkg/m', CAST(p_partkey AS STRING), '.py') WHEN 1 THEN concat('web/c', CAST(p_partkey AS STRING), '.ts') ELSE concat('com/acme/C', CAST(p_partkey AS STRING), '.java') END AS path,
+        CASE p_partkey % 3 WHEN 0 THEN concat('import os', chr(10), 'import pkg.m', CAST(p_size * 3 AS STRING), chr(10), 'from pkg import m', CAST(p_size * 3 + 3 AS STRING), ' as x', chr(10), chr(10),
+            'class _K', CAST(p_partkey AS STRING), ':', chr(10), '    def run(self, a):', chr(10), '        if a and self:', chr(10), '            return 1', chr(10), '        return [b for b in a]', chr(10))
+          WHEN 1 THEN concat('import {{ a }} from ', chr(39), './c', CAST(p_size * 3 + 1 AS STRING), chr(39), chr(10), 'export function f', CAST(p_partkey AS STRING), '(a) {{', chr(10), '  if (a) {{ return 2 }}', chr(10), '}}', chr(10), 'class K {{}}', chr(10))
+          ELSE concat('package com.acme;', chr(10), 'import com.acme.C', CAST(p_size * 3 + 2 AS STRING), ';', chr(10), 'public class C', CAST(p_partkey AS STRING), ' {{', chr(10), '  public static void main(String[] args) {{', chr(10), '    for (;;) {{ }}', chr(10), '  }}', chr(10), '}}', chr(10)) END AS content FROM {part}""",
+    # Manifests, one kind a row in turn.
+    "tree9": """SELECT p_partkey AS k, concat('m', CAST(p_partkey AS STRING), '/', CASE p_partkey % 4 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json' WHEN 2 THEN 'Procfile' ELSE 'README.md' END) AS path,
+        CASE p_partkey % 4 WHEN 0 THEN concat('# pins', chr(10), 'Lib-', CAST(p_size AS STRING), '==1.', CAST(p_size AS STRING), chr(10), 'other', CAST(p_size % 5 AS STRING), '>=2', chr(10))
+          WHEN 1 THEN concat('{{"name": "n', CAST(p_partkey AS STRING), '", "main": "index.js"}}') WHEN 2 THEN concat('web: python app', CAST(p_partkey AS STRING), '.py', chr(10)) ELSE concat('# Title', chr(10), 'text', chr(10)) END AS content FROM {part}""",
     "doc6": "SELECT doc_id, source AS path, text FROM {documents}",
 }
 

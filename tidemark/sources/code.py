@@ -123,23 +123,26 @@ def import_edges(tree: DataFrame, aliases: tuple[tuple[str, str], ...] = (), wil
 
 
 JS_SYMBOL = re.compile(r"^(\s*)(export\s+(?:default\s+)?)?(?:abstract\s+|async\s+|declare\s+)*(class|function|interface|type|enum|const)\s+([A-Za-z_$][\w$]*)", re.M)
+JAVA_METHOD = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*)(?:<[^>]+>\s+)?(?!return\b|new\b|else\b|throw\b|package\b|import\b)[\w.$]+(?:<[^;{}()]*>)?(?:\[\])*\s+(\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w.,\s]+)?[{;]", re.M)
 JAVA_SYMBOL = re.compile(r"^\s*((?:public|private|protected|static|final|abstract|sealed)\s+)*(class|interface|enum|record)\s+(\w+)", re.M)
 
 
 def symbols_of(path: str, text: str) -> list[tuple[str, str, int, bool]]:
-    """(name, kind, line, exported) of the declarations in a file."""
+    """(name, kind, line, exported) of the declarations in a file, nested ones and Java methods too; enums and records are classes."""
     at = lambda m: text.count("\n", 0, m.start(m.lastindex)) + 1
     if path.endswith(".py"):
         try:
-            body = ast.parse(text).body
+            body = [*ast.walk(ast.parse(text))]
         except (SyntaxError, ValueError, RecursionError):
             return []
         kinds = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function"}
-        return [(n.name, kinds[type(n)], n.lineno, not n.name.startswith("_")) for n in body if type(n) in kinds]
+        return sorted(((n.name, kinds[type(n)], n.lineno, not n.name.startswith("_")) for n in body if type(n) in kinds), key=lambda x: (x[2], x[0]))
     if path.endswith((".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".mts", ".cts")):
         return [(m[4], m[3], at(m), bool(m[2])) for m in JS_SYMBOL.finditer(text) if not m[1]]
     if path.endswith(".java"):
-        return [(m[3], "class" if m[2] == "record" else m[2], at(m), "public" in m[0]) for m in JAVA_SYMBOL.finditer(text)]
+        types = [(m[3], "interface" if m[2] == "interface" else "class", at(m), "public" in m[0]) for m in JAVA_SYMBOL.finditer(text)]
+        methods = [(m[2], "method", at(m), "public" in m[1]) for m in JAVA_METHOD.finditer(text)]
+        return sorted(types + methods, key=lambda x: (x[2], x[0]))
     return []
 
 
@@ -246,27 +249,68 @@ def unique_dependencies(declared: DataFrame) -> DataFrame:
     return declared.where("version is not null").groupBy("ecosystem", "package", "version").agg(F.bool_or("is_direct").alias("is_direct"))
 
 
+# Phrases that tell licences apart, the longer before the shorter.
+LICENSES = [
+    ("Apache License", "Apache-2.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE", "AGPL-3.0"), ("GNU LESSER GENERAL PUBLIC LICENSE", "LGPL-3.0"), ("GNU GENERAL PUBLIC LICENSE", "GPL-3.0"),
+    ("Mozilla Public License", "MPL-2.0"), ("Permission is hereby granted, free of charge", "MIT"), ("Redistribution and use in source and binary forms", "BSD-3-Clause"), ("This is free and unencumbered software", "Unlicense"),
+]
+
+
+def license_of(text: str) -> str | None:
+    """The identifier of a well-known licence by a phrase of its text."""
+    flat = " ".join(text.split()).lower()
+    return next((name for phrase, name in LICENSES if phrase.lower() in flat), None)
+
+
+def _manifest_fields(name: str, text: str) -> tuple[str, dict] | None:
+    if name == "package.json":
+        data = json.loads(text)
+        return "package_json", {k: data[k] for k in ("name", "main", "bin", "scripts", "module") if k in data}
+    if name == "pyproject.toml":
+        data = tomllib.loads(text)
+        project, poetry = data.get("project", {}), data.get("tool", {}).get("poetry", {})
+        return "pyproject", {"name": project.get("name") or poetry.get("name"), "scripts": {**poetry.get("scripts", {}), **project.get("scripts", {})}}
+    if name == "setup.py":
+        # Literals only: nothing of the file is run.
+        calls = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call) and getattr(n.func, "id", getattr(n.func, "attr", "")) == "setup"]
+        found = {}
+        for k in (k for c in calls for k in c.keywords if k.arg in ("name", "entry_points", "scripts")):
+            try:
+                found[k.arg] = ast.literal_eval(k.value)
+            except ValueError:
+                continue
+        return "setup_py", found
+    if name == "pom.xml":
+        if "<!ENTITY" in text:
+            return None
+        import xml.etree.ElementTree as ET
+
+        root = ET.fromstring(re.sub(r'\sxmlns="[^"]+"', "", text, count=1))
+        return "pom_xml", {"artifactId": root.findtext("artifactId"), "mainClass": next((e.text.strip() for e in root.iter("mainClass") if e.text), None)}
+    if name in ("build.gradle", "build.gradle.kts"):
+        m = re.search(r"""mainClass(?:Name)?(?:\.set\(|\s*=)\s*['"]([\w.$]+)['"]""", text)
+        return "build_gradle", {"mainClass": m[1] if m else None}
+    if re.fullmatch(r"requirements.*\.txt", name):
+        return "requirements", {"lines": sum(bool(s.strip()) and not s.strip().startswith("#") for s in text.splitlines())}
+    if name == "Dockerfile":
+        return "dockerfile", {"commands": re.findall(r"^(?:CMD|ENTRYPOINT)\s+(.+)$", text, re.M)}
+    if name == "Procfile":
+        return "procfile", {"processes": dict(re.findall(r"^(\w+):\s*(.+)$", text, re.M))}
+    if name.lower().startswith("readme"):
+        heading = re.search(r"^#+\s+(.+?)\s*#*$", text, re.M)
+        return "readme", {"lines": text.count("\n") + 1, "heading": heading[1] if heading else next((s.strip() for s in text.splitlines() if s.strip()), None)}
+    if name.lower().startswith(("license", "licence")):
+        return "license", {"first": text.strip().split("\n")[0][:120], "id": license_of(text)}
+    return None
+
+
 def manifest_of(path: str, text: str) -> list[tuple[str, str]]:
     """(kind, named fields as JSON); a file that is no manifest, or does not parse, gives none."""
-    name = posixpath.basename(path)
     try:
-        if name == "package.json":
-            data = json.loads(text)
-            return [("package_json", json.dumps({k: data[k] for k in ("name", "main", "bin", "scripts", "module") if k in data}, sort_keys=True))]
-        if name == "pyproject.toml":
-            data = tomllib.loads(text)
-            return [("pyproject", json.dumps({"name": data.get("project", {}).get("name"), "scripts": data.get("project", {}).get("scripts", {})}, sort_keys=True))]
-        if name == "Dockerfile":
-            return [("dockerfile", json.dumps({"commands": re.findall(r"^(?:CMD|ENTRYPOINT)\s+(.+)$", text, re.M)}))]
-        if name == "Procfile":
-            return [("procfile", json.dumps({"processes": dict(re.findall(r"^(\w+):\s*(.+)$", text, re.M))}, sort_keys=True))]
-        if name.lower().startswith("readme"):
-            return [("readme", json.dumps({"lines": text.count("\n") + 1}))]
-        if name.lower().startswith(("license", "licence")):
-            return [("license", json.dumps({"first": text.strip().split("\n")[0][:120]}))]
-    except (ValueError, KeyError, AttributeError):
+        found = _manifest_fields(posixpath.basename(path), text)
+        return [(found[0], json.dumps(found[1], sort_keys=True))] if found else []
+    except (ValueError, TypeError, KeyError, AttributeError, SyntaxError, RecursionError):
         return []
-    return []
 
 
 def manifests(tree: DataFrame) -> DataFrame:
