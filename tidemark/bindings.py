@@ -61,6 +61,10 @@ BINDINGS = {
     "tree9": """SELECT p_partkey AS k, concat('m', CAST(p_partkey AS STRING), '/', CASE p_partkey % 4 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json' WHEN 2 THEN 'Procfile' ELSE 'README.md' END) AS path,
         CASE p_partkey % 4 WHEN 0 THEN concat('# pins', chr(10), 'Lib-', CAST(p_size AS STRING), '==1.', CAST(p_size AS STRING), chr(10), 'other', CAST(p_size % 5 AS STRING), '>=2', chr(10))
           WHEN 1 THEN concat('{{"name": "n', CAST(p_partkey AS STRING), '", "main": "index.js"}}') WHEN 2 THEN concat('web: python app', CAST(p_partkey AS STRING), '.py', chr(10)) ELSE concat('# Title', chr(10), 'text', chr(10)) END AS content FROM {part}""",
+    # A patch for each order: a file with two hunks, and one below an ignored folder.
+    "patch10": """SELECT o_orderkey AS sha, concat('diff --git a/x b/x', chr(10), '--- a/src/f', CAST(o_custkey % 50 AS STRING), '.py', chr(10), '+++ b/src/f', CAST(o_custkey % 50 AS STRING), '.py', chr(10),
+        '@@ -1,2 +', CAST(o_orderkey % 90 + 1 AS STRING), ',3 @@ def f():', chr(10), '+token = ', chr(39), 'ghp_', CAST(o_orderkey + 100000 AS STRING), 'abcdefghijklmnopqrstuvwxyzABCD', chr(39), chr(10), '-gone', chr(10), ' kept', chr(10), '+second', chr(10),
+        '@@ -9 +', CAST(o_orderkey % 90 + 20 AS STRING), ' @@', chr(10), '+third', chr(10), 'diff --git a/y b/y', chr(10), '--- a/dist/y.js', chr(10), '+++ b/dist/y.js', chr(10), '@@ -0,0 +1 @@', chr(10), '+built', chr(10)) AS patch FROM {orders}""",
     "doc6": "SELECT doc_id, source AS path, text FROM {documents}",
 }
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
 from tidemark.functions import paths
-from tidemark.operators import graph
+from tidemark.operators import baseline, graph, onboarding
 from tidemark.registry import query
-from tidemark.sources import code
+from tidemark.sources import code, diffs, secrets
 
 
 def _tree(spark, sf_dir, name="tree8"):
@@ -84,3 +84,72 @@ def src_declared_deps(spark, sf_dir):
 def src_roots(spark, sf_dir):
     """Files that import others and are imported by none."""
     return graph.degrees(code.import_edges(_tree(spark, sf_dir))).where("in_degree = 0").select(F.col("id").alias("path"), F.col("out_degree").alias("imports"))
+
+
+ADDED = """, added AS (SELECT o_orderkey AS sha, 'src/f' || (o_custkey % 50) || '.py' AS path, line_no, line FROM orders, LATERAL (SELECT o_orderkey % 90 + 1 AS line_no, 'token = ' || chr(39) || 'ghp_' || (o_orderkey + 100000) || 'abcdefghijklmnopqrstuvwxyzABCD' || chr(39) AS line
+    UNION ALL SELECT o_orderkey % 90 + 3, 'second' UNION ALL SELECT o_orderkey % 90 + 20, 'third'))"""
+
+
+@query(oracle("patch10", ADDED + "SELECT * FROM added"))
+def src_added_lines(spark, sf_dir):
+    """Added lines of patches with their numbers in the new file."""
+    return diffs.added_lines(bind(spark, sf_dir, "patch10"), ["sha"])
+
+
+@query(oracle("patch10", ADDED + "SELECT sha, path, line_no, 'github-pat' AS rule, regexp_extract(line, '\\b(ghp_[0-9A-Za-z]{36})\\b', 1) AS value FROM added WHERE regexp_matches(line, '\\bghp_[0-9A-Za-z]{36}\\b')"))
+def src_diff_secrets(spark, sf_dir):
+    """The history scan: secrets among added lines only."""
+    found = secrets.scan_lines(diffs.added_lines(bind(spark, sf_dir, "patch10"), ["sha"]))
+    return found.where("rule = 'github-pat'").select("sha", "path", "line_no", "rule", "value")
+
+
+CELLS = "SELECT p_type AS language, CASE WHEN p_size <= 20 THEN 'small' ELSE 'medium' END AS bucket, count(DISTINCT p_brand) AS n_repos, count(*) AS n_files, min(p_retailprice) AS p0, median(p_retailprice) AS p50, max(p_retailprice) AS p100 FROM part GROUP BY 1, 2"
+
+
+def _cells(part):
+    bucket = F.when(F.col("p_size") <= 20, "small").otherwise("medium").alias("bucket")
+    return part.groupBy(F.col("p_type").alias("language"), bucket).agg(F.count_distinct("p_brand").alias("n_repos"), F.count("*").alias("n_files"), F.min("p_retailprice").alias("p0"), F.median("p_retailprice").alias("p50"), F.max("p_retailprice").alias("p100"))
+
+
+@query(f"""WITH c AS ({CELLS}), e AS (SELECT * FROM c WHERE n_repos >= 20), l AS (SELECT language, arg_max(p50, (n_repos, bucket)) AS p50 FROM e GROUP BY 1), a AS (SELECT arg_max(p50, (n_repos, language, bucket)) AS p50 FROM e)
+    SELECT p_partkey, CASE WHEN e.p50 IS NOT NULL THEN 'cell' WHEN l.p50 IS NOT NULL THEN 'language' WHEN a.p50 IS NOT NULL THEN 'corpus' END AS provenance, round(coalesce(e.p50, l.p50, a.p50), 6) AS p50
+    FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE p_type END AS language, CASE WHEN p_partkey % 5 = 0 THEN 'large' WHEN p_size <= 20 THEN 'small' ELSE 'medium' END AS bucket FROM part) w
+    LEFT JOIN e ON e.language = w.language AND e.bucket = w.bucket LEFT JOIN l ON l.language = w.language, a""")
+def base_widened(spark, sf_dir):
+    """Cells of a corpus, widened to the language and to the whole where few repositories are behind one."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bucket = F.when(F.col("p_partkey") % 5 == 0, "large").when(F.col("p_size") <= 20, "small").otherwise("medium")
+    wanted = part.select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, "unknown").otherwise(F.col("p_type")).alias("language"), bucket.alias("bucket"))
+    return baseline.widened(_cells(part), wanted, 20).select("p_partkey", "provenance", F.round("p50", 6).alias("p50"))
+
+
+@query(f"""SELECT '{{"language":"' || language || '","bucket":"' || bucket || '","n_repos":' || n_repos || ',"n_files":' || n_files || '}}' AS json FROM ({CELLS})""")
+def snk_json(spark, sf_dir):
+    """Cells as JSON texts."""
+    return baseline.as_json(_cells(spark.read.parquet(f"{sf_dir}/part.parquet")).select("language", "bucket", "n_repos", "n_files"))
+
+
+@query(oracle("edge4", """, g AS (SELECT src % 12 AS a, dst % 12 AS b, count(*) AS n FROM edge4 WHERE src % 12 <> dst % 12 GROUP BY 1, 2)
+    SELECT 0 AS line_no, 'flowchart LR' AS line UNION ALL SELECT row_number() OVER (ORDER BY n DESC, a, b)::INT, '  g_' || a || ' -->|' || n || '| g_' || b FROM g"""))
+def snk_mermaid(spark, sf_dir):
+    """Group edges as the lines of a flow chart, the heaviest first."""
+    edges = bind(spark, sf_dir, "edge4")
+    owner = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("grp", F.col("id") % 12)
+    return baseline.mermaid(graph.group_edges(edges, owner))
+
+
+@query(oracle("file7", """, m AS (SELECT path_id % 8 AS subsystem, string_split(path, '/') AS p FROM file7 WHERE starts_with(path, 'src/') OR path_id % 8 < 3), t AS (SELECT subsystem, count(*) AS files FROM m GROUP BY 1),
+    x AS (SELECT subsystem, k, array_to_string(p[1:k], '/') AS prefix, count(*) AS n FROM (SELECT subsystem, p, unnest(range(1, len(p))) AS k FROM m) GROUP BY 1, 2, 3),
+    b AS (SELECT subsystem, arg_max(prefix, (k, n, prefix)) AS prefix FROM x JOIN t USING (subsystem) WHERE n >= 0.6 * files GROUP BY 1)
+    SELECT subsystem, prefix FROM t LEFT JOIN b USING (subsystem)"""))
+def gr_name_prefix(spark, sf_dir):
+    """The deepest folder that holds three fifths of a group's files."""
+    files = bind(spark, sf_dir, "file7").where("path like 'src/%' or path_id % 8 < 3").select((F.col("path_id") % 8).alias("subsystem"), "path")
+    return onboarding.common_folders(files).select("subsystem", F.array_join("prefix", "/").alias("prefix"))
+
+
+@query()
+def gr_naming(spark, sf_dir):
+    """Labels of eight groups of files; choosing among labels in use is a step on one row a group, which tests check by hand."""
+    files = bind(spark, sf_dir, "file7").select((F.col("path_id") % 8).alias("subsystem"), "path_id", "path")
+    return onboarding.subsystem_names(files, files.select("path_id", F.lit("ledgerEntry").alias("name")))
