@@ -42,6 +42,42 @@ def test_shards_are_near_equal_and_hot_copies_are_cut(spark):
     assert len(got) == 8 and got.max() < 1.12 * got.mean() and got.min() > 0.88 * got.mean()
 
 
+def brute_leaves(items, leaves, first, spans, out):
+    """The tree over all items at hand: (weight, coordinates, low hash) by exact weighted medians."""
+    if leaves == 1 or not items:
+        out.update({i: first for i, *_ in items})
+        return
+    dims = range(len(spans))
+    dim = max(dims, key=lambda d: ((max(x[2][d] for x in items) - min(x[2][d] for x in items)) / spans[d], -d))
+    keys = Counter()
+    for _, w, at, low in items:
+        keys[(at[dim] << sharding.HASH) | low] += w
+    want, below, cut = sum(keys.values()) * (leaves // 2) / leaves, 0, None
+    for key in sorted(keys):
+        if below + keys[key] >= want:
+            cut = key if want - below > below + keys[key] - want else key - 1
+            break
+        below += keys[key]
+    left = [x for x in items if (x[2][dim] << sharding.HASH) | x[3] <= cut]
+    brute_leaves(left, leaves // 2, first, spans, out)
+    kept = {x[0] for x in left}
+    brute_leaves([x for x in items if x[0] not in kept], leaves - leaves // 2, first + leaves // 2, spans, out)
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 16])
+def test_the_tree_is_that_of_exact_medians(spark, leaves):
+    import random
+
+    r = random.Random(leaves)
+    items = [(i, r.randrange(1, 100), (r.randrange(1 << 20), r.choice([5, 6, 1 << 23]), r.randrange(50)), r.randrange(1 << 38)) for i in range(700)]
+    want: dict = {}
+    spans = [max(1, max(x[2][d] for x in items) - min(x[2][d] for x in items)) for d in range(3)]
+    brute_leaves(items, leaves, 0, spans, want)
+    made = spark.createDataFrame([(i, w, low, *at) for i, w, at, low in items], "id long, weight long, low long, d0 long, d1 long, d2 long")
+    got = {x.id: x.node for x in sharding.kd_leaves(made, leaves, 3, tolerance=0.0).collect()}
+    assert got == want and len(set(got.values())) == leaves
+
+
 def test_copies_share_a_shard_where_they_are_light(spark):
     docs = spark.createDataFrame([(i, prose(i % 500, 20), "en", f"s{i % 5}") for i in range(1000)], "doc_id long, text string, lang string, source string")
     got = sharding.kd_shards(docs, 4).toPandas()

@@ -3,17 +3,17 @@
 Copies of one text are placed as one item (cut into pieces where they outweigh an eighth of a
 shard). The tree splits the items at distributed weighted medians along the dimension that is widest
 in the node, in proportion to the leaves each side must have, until every leaf is one shard of the
-target size. Only histograms reach the driver: at most BINS rows per open node and pass.
+target size. One row per open node and pass reaches the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, prefix_sums, stage
+from .common import documents, free, prefix_sums, stage
 
 #: A coordinate has COORD bits; below it HASH bits of the item's hash order items that share it.
 COORD, HASH, BINS = 24, 38, 1024
@@ -54,17 +54,16 @@ def _key(dims: int) -> Column:
     return F.shiftleft(F.get(F.array(*[F.col(f"d{i}") for i in range(dims)]), F.col("dim")), HASH).bitwiseOR(F.col("low"))
 
 
-def _refine(n: Node, seen: list[tuple[int, int, int, int]], tolerance: float) -> None:
-    """Narrow the node's range to the keys of the bin that holds its median, or set its cut."""
-    for _, w, least, most in sorted(seen):
-        if n.below + w >= n.want:
-            n.lo, n.hi = least, most
-            if least == most or w <= tolerance * n.total / n.leaves:
-                # The nearer side of the bin.
-                n.cut = most if n.want - n.below > n.below + w - n.want else least - 1
-            return
-        n.below += w
-    n.cut = n.hi
+def _refine(n: Node, found, tolerance: float) -> None:
+    """Narrow the node's range to the keys of the bin that holds its median (found), or set its cut."""
+    if found is None:
+        n.cut = n.hi
+        return
+    n.below += found["before"]
+    n.lo, n.hi, w = found["least"], found["most"], found["w"]
+    if n.lo == n.hi or w <= tolerance * n.total / n.leaves:
+        # The nearer side of the bin.
+        n.cut = n.hi if n.want - n.below > n.below + w - n.want else n.lo - 1
 
 
 def kd_leaves(items: DataFrame, shards: int, dims: int, tolerance: float = 0.001) -> DataFrame:
@@ -72,8 +71,8 @@ def kd_leaves(items: DataFrame, shards: int, dims: int, tolerance: float = 0.001
 
     Every level splits all open nodes in the same jobs: one for their widths, and a few histograms,
     each narrowing every median to the keys of one of BINS bins, until that bin weighs less than `tolerance` of a
-    shard or is a single key. Histograms of the open nodes are all that reaches the driver. Each
-    level is written, so that its jobs read one small table.
+    shard or is a single key. The bin is found in Spark, among at most BINS rows a node: one row for
+    each open node reaches the driver. Each level is written, so that its jobs read one small table.
     """
     at, nodes, spans = items.withColumn("node", F.lit(0)), [Node(0, shards)], None
     ends = [f(f"d{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
@@ -89,13 +88,14 @@ def kd_leaves(items: DataFrame, shards: int, dims: int, tolerance: float = 0.001
         while live := [n for n in nodes if n.cut is None]:
             inside = _with(at, [(n.first, n.dim, n.lo, n.hi, n.width) for n in live], ("node", "dim", "lo", "hi", "width")).withColumn("key", _key(dims))
             bins = inside.where("key between lo and hi").groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("weight").alias("w"), F.min("key").alias("least"), F.max("key").alias("most"))
-            seen: dict[int, list[tuple[int, int, int, int]]] = {n.first: [] for n in live}
-            for r in bins.collect():
-                seen[r["node"]].append((r["bin"], r["w"], r["least"], r["most"]))
+            upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
+            placed = _with(bins.withColumn("before", upto - F.col("w")), [(n.first, n.want - n.below) for n in live], ("node", "want"))
+            seen = {r["node"]: r for r in placed.where("before < want and before + w >= want").collect()}
             for n in live:
-                _refine(n, seen[n.first], tolerance)
+                _refine(n, seen.get(n.first), tolerance)
         cut = _with(at, [(n.first, n.dim, n.cut, n.first + n.leaves // 2) for n in nodes], ("node", "dim", "cut", "right"), "left")
-        at = stage(cut.withColumn("node", F.when(_key(dims) > F.col("cut"), F.col("right")).otherwise(F.col("node"))).drop("dim", "cut", "right"), "shard-level")
+        before, at = at, stage(cut.withColumn("node", F.when(_key(dims) > F.col("cut"), F.col("right")).otherwise(F.col("node"))).drop("dim", "cut", "right"), "shard-level")
+        free(before)
         nodes = [x for n in nodes for x in (Node(n.first, n.leaves // 2), Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2))]
     return at
 
