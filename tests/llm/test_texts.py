@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.llm.cases import SF, TEXTS, edge_docs, empty_docs, prose, repeated, table
 from tidemark import llm
 from tidemark.llm import exact_dedup, mixing, secrets, simhash
+from tidemark.llm.common import prefix_sums, stage
 
 SF1 = "/root/testdata/sf0.01"
 
@@ -104,11 +105,27 @@ def test_index_outlives_its_batch(spark):
     again = exact_dedup.DigestIndex(spark, index.path, buckets=4)
     more = spark.createDataFrame([(900, "new text"), (901, "one"), (902, "new  text")], "doc_id long, text string")
     assert [r.doc_id for r in exact_dedup.drop_copies(more, again).collect()] == [900]
-    plan = again.new(spark.createDataFrame([(bytearray(32), 1)], "digest binary, keep_id long"))._jdf.queryExecution().executedPlan().toString()
+    plan = again.new(spark.createDataFrame([(bytearray(32), 1)], "digest binary, keep_id long"), "next")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     again.close()
 
 
+def test_a_batch_that_is_run_again_gives_the_same_rows(spark):
+    docs = edge_docs(spark)
+    index = exact_dedup.open_index(spark, docs, buckets=2)
+    first = spark.createDataFrame([(1, "one"), (2, "new text")], "doc_id long, text string")
+    assert exact_dedup.drop_copies(first, index, batch="a").count() == 2
+    runs = [sorted(r.doc_id for r in exact_dedup.drop_copies(docs, index, batch="b").collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) > 10
+    files = index.read("none").groupBy("digest").count()
+    assert files.where("count > 1").count() == 0 and files.count() == len(runs[0]) + 2
+    index.close()
+    again = exact_dedup.DigestIndex(spark, index.path, buckets=2)
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs, again, batch="b").collect()) == runs[0]
+    assert exact_dedup.drop_copies(docs, again, batch="c").count() == 0
+    again.close()
+
+
 def test_exact_copies_of_edge_cases(spark):
     index = exact_dedup.open_index(spark, repeated(spark), buckets=2)
     got = exact_dedup.drop_copies(repeated(spark), index).toPandas()
@@ -301,19 +318,6 @@ def test_near_copies_by_similarity_of_edge_cases(spark):
     assert simhash.similar_classes(empty_docs(spark)).count() == 0
 
 
-@pytest.mark.parametrize("k,block_rows,plan", [(10, 2048, None), (6, 3, None), (4, 2, [([*range(20)], 2), ([*range(20, 40)], 1), ([*range(40, 64)], -1)])])
-def test_every_wide_pair_is_found(spark, k, block_rows, plan):
-    import random
-
-    r = random.Random(k)
-    fps = [base ^ sum(1 << b for b in r.sample(range(64), r.randrange(k))) for base in (r.getrandbits(64) for _ in range(8)) for _ in range(12)]
-    plan = plan and [(bits, t) for bits, t in plan if t >= 0]
-    nodes = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long").withColumn("grp", F.col("id") % 50)
-    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= k and a % 50 != b % 50}
-    got = simhash.wide_pairs(nodes, k, block_rows, plan).collect()
-    assert len(got) == len(set(got)) and {tuple(x) for x in got} == want
-
-
 def test_thresholds_are_allocated_by_cost():
     costs = [[0, 1, 9, 99], [0, 50, 60, 70], [0, 1, 9, 99]]
     chosen = simhash.allocate(costs, 2)
@@ -378,6 +382,23 @@ def test_mixing_of_edge_cases(spark):
     assert set(once.doc_id) == {r.doc_id for r in edge_docs(spark).collect()} and "clash" in set(once.key)
 
 
+def test_many_passes_are_planned_at_once(spark):
+    docs = spark.createDataFrame([(i, "x" * 4000, "big") for i in range(300)] + [(1000, "y", "small"), (1001, "z", "small")], "doc_id long, text string, source string")
+    placed, found = mixing.plan_mix(docs, mixing.Mix(target_entropy=0.69))
+    got = placed.where("src = 'small'").toPandas()
+    most = {r.src: r.budget for r in found.collect()}["small"]
+    assert len(got) == most > 100_000 and got["pass"].max() == (most - 1) // 2
+    assert sorted(got.start) == list(range(most)) and got.groupby("pass").row_id.nunique().iloc[:-1].eq(2).all()
+
+
+def test_hot_groups_are_dealt_by_their_buckets(spark):
+    docs = spark.range(3000).select(F.lit("hot").alias("src"), F.xxhash64("id").alias("h"), "id", F.lit(1).alias("v"))
+    found = prefix_sums(stage(docs, "test"), ["src"], "h", ["id"], "v", rows_per_bucket=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+    assert sorted((r["rank"], r.before) for r in found.collect()) == [(i, i) for i in range(3000)]
+
+
 def test_the_mix_has_the_uses_that_are_planned(spark):
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     uses = mixing.plan_mix(docs, mixing.Mix())[0].groupBy("row_id").count().toPandas().set_index("row_id")["count"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+#: The folders of staged tables.
+_staged: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). A temporary one only where it is unset and Spark runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -36,7 +42,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _staged[found] = path
+    return found
+
+
+def folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Spark has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more. What a result still reads stays in the shared folder."""
+    for t in tables:
+        if path := _staged.pop(t, None):
+            fs, at = folder(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """One object a worker process, made by make(), until another key takes its place: workers are reused by later stages."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def unit(hashed: Column) -> Column:
@@ -61,7 +94,8 @@ def prefix_sums(df: DataFrame, by: list[str], hashed: str, ties: list[str], valu
         .select(*by, "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("value_before"))
     )
     within = Window.partitionBy(*by, "bucket").orderBy(hashed, *ties)
-    numbered = cut.withColumn("in_rank", F.row_number().over(within) - 1).withColumn("in_sum", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
+    # The join above may leave the rows dealt by `by` alone, which would do for the window too.
+    numbered = cut.repartition(*by, "bucket").withColumn("in_rank", F.row_number().over(within) - 1).withColumn("in_sum", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
     return (
         numbered.join(shifts, [*by, "bucket"])
         .withColumn("rank", (F.col("rows_before") + F.col("in_rank")).cast("long"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, documents, shared_dir, stage
+from .common import BLANKS, documents, folder, free, shared_dir, stage
 
 
 def digest(text: Column) -> Column:
@@ -23,42 +23,51 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest table kept at `path`, in `buckets` buckets, sorted by digest within each file.
+    """A digest table kept at `path`, in `buckets` buckets, sorted by digest within each file, a folder a batch.
 
     Opening a path that already holds files attaches them with the same bucketing, so that an index
-    outlives its session. The number of buckets is fixed when the index is made.
+    outlives its session. The number of buckets is fixed when the index is made. A batch that is
+    run again, as after a lost driver, meets the index as it was before that batch, and replaces
+    what it had written.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digest_index_" + re.sub(r"\W", "_", path)[-40:] + "_" + uuid.uuid4().hex[:8]
+        fs, at = folder(spark, path)
+        fs.mkdirs(at)
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, batch STRING) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, batch STRING) USING parquet PARTITIONED BY (batch) "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
+        spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+    def read(self, but: str) -> DataFrame:
+        """All batches but one; the other one's folder is not read."""
+        return self.spark.table(self.table).where(F.col("batch") != but)
 
-    def new(self, groups: DataFrame) -> DataFrame:
-        """Those groups whose digest the index lacks: a merge anti-join, never a broadcast."""
-        return groups.join(self.read().hint("merge"), "digest", "left_anti")
+    def new(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Those groups whose digest no other batch has: a merge anti-join, never a broadcast."""
+        return groups.join(self.read(batch).hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame, batch: str) -> None:
-        (
-            groups.select("digest", "keep_id", F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.table)
-        )
+        """Write the batch's digests, in place of any that it had."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError(f"a batch is named by letters, digits, _ . -: {batch!r}")
+        rows = groups.select("digest", "keep_id").repartition(self.buckets, "digest")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}') SELECT digest, keep_id FROM {{rows}}", rows=rows)
 
     def close(self) -> None:
         """Forget the table's name; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def match(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str = "batch") -> tuple[DataFrame, DataFrame]:
+def match(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Deduplicate docs within themselves and against the index, then append what is new.
 
+    A batch that is named can be run again and gives the same rows; without a name each call is a
+    batch of its own.
+
     Returns (rows, groups). rows: the id and digest of every input row. groups: one row per digest
     with keep_id (the id in the index, else the smallest id here), group_size (rows here), keep_rows
     (rows here that bear the smallest id) and is_new (false: the index had it already).
@@ -67,6 +76,7 @@ def match(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     others; rows repeated with one id form one group and are all marked by that id; an empty input
     gives empty tables and leaves the index as it was; other columns are ignored.
     """
+    batch = batch or uuid.uuid4().hex
     rows = stage(docs.select(F.col(id_col).alias("row_id"), digest(F.col(text_col)).alias("digest")), "digests")
     per_id = rows.groupBy("digest", "row_id").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("row_id").isNull().alias("last"), F.col("row_id"), F.col("n")))
@@ -74,13 +84,14 @@ def match(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
         per_id.groupBy("digest").agg(first.alias("first"), F.sum("n").alias("group_size")).select("digest", F.col("first.row_id").alias("keep_id"), F.col("first.n").alias("keep_rows"), "group_size"),
         "digest-groups",
     )
-    new = stage(index.new(groups), "digest-new")
-    known = index.read().select("digest", F.col("keep_id").alias("index_id"), F.lit(False).alias("is_new")).hint("merge")
+    new = stage(index.new(groups, batch), "digest-new")
+    known = index.read(batch).select("digest", F.col("keep_id").alias("index_id"), F.lit(False).alias("is_new")).hint("merge")
     decided = stage(
         groups.join(known, "digest", "left").select("digest", F.when(F.col("is_new").isNull(), F.col("keep_id")).otherwise(F.col("index_id")).alias("keep_id"), "keep_rows", "group_size", F.coalesce("is_new", F.lit(True)).alias("is_new")),
         "digest-decided",
     )
     index.append(new, batch)
+    free(groups, new)
     return rows, decided
 
 
@@ -88,12 +99,13 @@ def open_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", pat
     return DigestIndex(spark, path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", docs.schema[id_col].dataType.simpleString(), buckets)
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of docs that stay: of equal texts the row with the smallest id, and none the index had.
 
     Where several rows repeat both that id and that text, one of them stays. All columns are kept.
     """
-    _, groups = match(docs, index, id_col, text_col)
+    rows, groups = match(docs, index, id_col, text_col, batch)
+    free(rows)
     keep = groups.where("is_new").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__n"))
     found = docs.withColumn("__digest", digest(F.col(text_col))).join(keep, "__digest").where(F.col(id_col).eqNullSafe(F.col("__keep")))
     once = found.where("__n = 1")

@@ -94,22 +94,17 @@ def plan_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
     A document's first use is in pass 0. A source's last pass takes the documents whose start in that
     pass's permutation lies before the rest of the budget. start counts the source's tokens before it.
     Null sources form the source "(none)"; null ids are permuted among themselves; repeated rows are
-    rows of their own; an empty input gives empty tables.
+    rows of their own; an empty input gives empty tables. All passes are placed in one job, and the
+    rows of the result are all that grows with their number.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = stage(docs.select(F.col(id_col).alias("row_id"), source_name(F.col(source_col)).alias("src"), estimated_tokens(F.col(text_col)).alias("tokens"), key.alias("key")), "mix-rows")
     found = stage(weights(rows, mix), "mix-weights")
-    most = found.agg(F.max(F.ceil(F.col("budget") / F.col("src_tokens")))).first()[0] or 0
-    uses = None
-    for no in range(int(most)):
-        rest = F.col("budget") - F.col("src_tokens") * no
-        needed = found.where(rest > 0).select("src", "src_tokens", rest.alias("rest"))
-        part = rows.join(needed, "src").select("row_id", "src", "tokens", "key", "src_tokens", "rest", F.xxhash64(F.lit(mix.seed), F.lit(no), "key").alias("h"))
-        part = prefix_sums(stage(part, "mix-pass"), ["src"], "h", ["key", "tokens"], "tokens").where("before < rest")
-        one = part.select("row_id", "src", "tokens", "h", F.lit(no).alias("pass"), (F.col("before") + F.col("src_tokens") * no).alias("start"))
-        uses = one if uses is None else uses.unionByName(one)
-    if uses is None:
-        uses = rows.select("row_id", "src", "tokens", F.lit(0).cast("long").alias("h"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("start"))
+    passes = F.ceil(F.col("budget") / F.col("src_tokens")).cast("int")
+    each = found.select("src", "src_tokens", "budget", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"))
+    needed = each.select("src", "pass", (F.col("src_tokens") * F.col("pass")).alias("passed"), (F.col("budget") - F.col("src_tokens") * F.col("pass")).alias("rest"))
+    part = rows.join(needed, "src").withColumn("h", F.xxhash64(F.lit(mix.seed), "pass", "key"))
+    uses = prefix_sums(stage(part, "mix-uses"), ["src", "pass"], "h", ["key", "tokens"], "tokens").where("before < rest").withColumn("start", F.col("before") + F.col("passed"))
     block = F.floor(F.col("start") / F.greatest(F.col("weight") * mix.block_tokens, F.lit(1.0))).cast("long")
     return uses.join(found.select("src", "weight"), "src").select("row_id", "src", "tokens", "pass", "start", block.alias("block"), "weight"), found
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, kept
 from .toxicity import fold, sample
 
 #: Hashed words take the first WORDS features; each statistic takes BINS more.
@@ -38,7 +40,7 @@ def statistics(text: str, tokens: list[str], metadata: tuple[float, ...]) -> lis
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     hist = np.bincount(raw, minlength=256)
     lines = text.split("\n")
-    distinct = set(tokens)
+    counts = Counter(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) if tokens else np.zeros(1, np.int64)
     ends = hist[ord(".")] + hist[ord("!")] + hist[ord("?")]
     symbols = hist[33:48].sum() + hist[58:65].sum() + hist[91:97].sum() + hist[123:127].sum() - hist[ord(".")] - hist[ord(",")]
@@ -49,11 +51,11 @@ def statistics(text: str, tokens: list[str], metadata: tuple[float, ...]) -> lis
         hist[48:58].sum() / n,
         (hist[32] + hist[10] + hist[9] + hist[13]) / n,
         float(lengths.mean()),
-        len(distinct) / k,
+        len(counts) / k,
         k / (ends + 1),
         float(np.log1p(line_n.mean())),
         float((line_n < 20).mean()),
-        max((tokens.count(t) for t in tokens[:: max(1, k // 8)][:8]), default=0) / k,
+        max(counts.values(), default=0) / k,
         1 - len(set(lines)) / len(lines),
         float((lengths > 15).mean()),
         *[float(np.log1p(max(x, 0.0))) if x == x else -1.0 for x in metadata],
@@ -61,9 +63,9 @@ def statistics(text: str, tokens: list[str], metadata: tuple[float, ...]) -> lis
 
 
 class Featurizer:
-    """Hashes of words, kept per worker."""
+    """Hashes of words; at most `most` of them are kept."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[str, int] = {}
         self.most = most
 
@@ -143,14 +145,12 @@ def fit(rows: list[tuple[str | None, tuple[float, ...]]], labels: list[int], epo
     return model
 
 
-_featurizer = Featurizer()
-
-
-def score_texts(model: Model, texts: list[str | None], metadata: list[tuple[float, ...]]) -> np.ndarray:
+def score_texts(model: Model, texts: list[str | None], metadata: list[tuple[float, ...]], feat: Featurizer | None = None) -> np.ndarray:
     out = np.full(len(texts), model.prior)
     if model.factors is None or not len(texts):
         return out
-    raws = [_featurizer.raw(t, m) for t, m in zip(texts, metadata, strict=True)]
+    feat = feat or Featurizer()
+    raws = [feat.raw(t, m) for t, m in zip(texts, metadata, strict=True)]
     bins = _binned(np.array([r[2] for r in raws]), model.edges)
     one = np.full(bins.shape[1], 1 / np.sqrt(bins.shape[1]))
     z = np.array([_row(model, np.concatenate([r[0], b]), np.concatenate([r[1], one])) for r, b in zip(raws, bins, strict=True)])
@@ -166,17 +166,23 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_chars",
     packed = pickle.dumps(model)
 
     @F.pandas_udf("double")
-    def apply(texts: pd.Series, *columns: pd.Series) -> pd.Series:
-        own = pickle.loads(packed)
-        rows = list(zip(*(c.astype("float64") for c in columns), strict=True)) if columns else [()] * len(texts)
-        texts = list(texts)
-        return pd.Series(np.concatenate([score_texts(own, texts[a : a + 256], rows[a : a + 256]) for a in range(0, len(texts), 256)]) if texts else np.zeros(0))
+    def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        own, feat = kept(("quality", packed), lambda: (pickle.loads(packed), Featurizer()))
+        for column, *others in batches:
+            texts = list(column)
+            rows = list(zip(*(c.astype("float64") for c in others), strict=True)) if others else [()] * len(texts)
+            yield pd.Series(np.concatenate([score_texts(own, texts[a : a + 256], rows[a : a + 256], feat) for a in range(0, len(texts), 256)]) if texts else np.zeros(0))
 
     return docs.withColumn(name, apply(F.col(text_col), *[F.col(c) for c in metadata]))
 
 
 def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_chars",), most_docs: int = 4000) -> Model:
-    """Fit on at most most_docs labelled documents outside the held-out fold (crc32 of the id mod 4 is 2)."""
+    """Fit on at most most_docs labelled documents outside the held-out fold (crc32 of the id mod 4 is 2).
+
+    Labels of unknown ids and null labels are left out; an id labelled twice is good if one label
+    says so; an id with several rows is learnt from the least of them. Without labels of both
+    classes every text gets the share of the one there is, and a half where there is none.
+    """
     own = sample(docs, labels, "quality", fold(F.col("__id"), 4) != 2, most_docs, ["text", *metadata])
     meta = list(zip(*(own[c].astype("float64") for c in metadata), strict=True)) if metadata else [()] * len(own)
     return fit(list(zip(own["text"], meta, strict=True)), list(own["label"]))

@@ -177,7 +177,9 @@ def scan(docs: DataFrame, rules=RULES, text_col: str = "text", name: str = "foun
             out.append([] if not text else [{"kind": k, "start": a, "stop": b} for a, b, k in spans_of(text, rules, wanted)])
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
+    # Null texts have no posting; they are spread by their other columns, so that they share no task.
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumn("__key", F.when(F.col(text_col).isNull(), F.xxhash64(*plain)).otherwise(F.xxhash64(F.col(text_col))))
     joined = keyed.join(found.hint("shuffle_hash"), "__key", "left")
     return joined.withColumn(name, verify(F.col(text_col), F.col("__kinds"))).select(*[c for c in docs.columns if c != name], name)
 

@@ -8,6 +8,7 @@ minimise the estimated number of candidates, by dynamic programming over the par
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 from math import ceil, comb
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, documents, stage
+from .common import BLANKS, documents, free, kept, stage
 
 BITS = 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -231,15 +232,19 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        free(now)
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        free(large)
         seen = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if seen == mark:
             break
         mark = seen
     tops = now.select(F.col("v").alias("id")).distinct().withColumn("label", F.col("id"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(tops)
+    found = stage(now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(tops), "cc-labels")
+    free(now)
+    return found
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, k: int = 2) -> DataFrame:
@@ -248,27 +253,60 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any other;
     a text of fewer words than a shingle is hashed whole; rows with a null id belong to the component
     of their fingerprint, which is null only where no row of it has an id; repeated rows and ids give
-    a row each; an empty input gives an empty result; other columns are ignored.
+    a row each, and an id ties the fingerprints of its rows together where it is the least of both;
+    an empty input gives an empty result; other columns are ignored.
     """
     rows = stage(with_fingerprints(docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("__text")), "__text", words).select("row_id", "fp"), "simhash-rows")
     per_fp = stage(rows.groupBy("fp").agg(F.min("row_id").alias("id")), "simhash-distinct")
     labels = components(near_pairs(per_fp.where("id is not null"), k))
     classes = stage(per_fp.join(labels, "id", "left").select("fp", F.coalesce("label", "id").alias("component_id")), "simhash-classes")
+    free(per_fp, labels)
     return rows.join(classes, "fp").select("row_id", "fp", "component_id")
 
 
 # --- near copies by similarity ---------------------------------------------------------------
 
 
-def shingle_set(text: str | None, words: int = 5) -> list[int]:
-    """Sorted distinct 32-bit hashes of the word shingles, for Jaccard similarity. Fewer words: the whole; none: []."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _ODD[0]
+    x = (x ^ (x >> np.uint64(27))) * _ODD[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the runs of `length` words, from the words' own hashes; of the whole where there are fewer words."""
+    length = min(length, len(words))
+    if not length:
+        return words
+    out = np.full(len(words) - length + 1, np.uint64(length)) * _MIX
+    for i in range(length):
+        out = _scrambled(out ^ words[i : len(words) - length + 1 + i]) + _ODD[i % len(_ODD)]
+    return out
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, A-Z in lower case."""
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return []
-    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
-    return sorted({xxhash.xxh32_intdigest(s) - (1 << 31) for s in shingles})
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def shingle_set(words: np.ndarray, length: int = 5) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles, for Jaccard similarity. Fewer words: the whole; none: []."""
+    return np.unique((shingle_hashes(words, length) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def sign_bits(hashes: np.ndarray) -> int:
+    """The SimHash of hashes, repeats included, as a signed long; 0 for none. Long texts are counted in slices."""
+    if not len(hashes):
+        return 0
+    counts = sum(np.unpackbits(hashes[a : a + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for a in range(0, len(hashes), 65536))
+    return int(np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
 def _listed(nodes: DataFrame, plan: list, most: bool) -> DataFrame:
@@ -282,56 +320,33 @@ def _listed(nodes: DataFrame, plan: list, most: bool) -> DataFrame:
     return out
 
 
-def leader_pairs(nodes: DataFrame, k: int, plan: list, least: int = 32, leaders: int = 4) -> DataFrame:
-    """Pairs (src, dst) within k bits of a few leaders of each key that more than `least` rows list.
+def leader_pairs(nodes: DataFrame, k: int, plan: list, least: int = 8, leaders: int = 3) -> DataFrame:
+    """(src, dst), at most one pair a node (no, fp): its nearest leader, within k bits, of the keys that more than `least` rows list.
 
-    They grow with the rows, not with the square of a group, and tie most of a large group together.
+    Pairs grow with the rows, not with the square of a group, and tie most of a large group together.
     """
-    keys = _listed(nodes.select("id", "fp"), plan, False)
-    lead = [F.min_by(F.struct("id", "fp"), F.xxhash64(F.lit(seed), "id")) for seed in range(leaders)]
+    keys = _listed(nodes.select("no", "fp"), plan, False)
+    lead = [F.min_by(F.struct("no", "fp"), F.xxhash64(F.lit(seed), "no")) for seed in range(leaders)]
     tops = keys.groupBy("part", "key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*lead)).alias("tops")).where(F.col("n") > least)
     tops = tops.select("part", "key", F.explode("tops").alias("top"))
-    near = (F.col("id") != F.col("top.id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("top.fp"))) <= k)
-    return keys.join(tops, ["part", "key"]).where(near).select(F.least("id", "top.id").alias("src"), F.greatest("id", "top.id").alias("dst")).distinct()
-
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("top.fp")))
+    met = keys.join(tops, ["part", "key"]).where((F.col("no") != F.col("top.no")) & (away <= k))
+    best = met.groupBy("no").agg(F.min(F.struct(away.alias("away"), F.col("top.no").alias("to"))).alias("top"))
+    return best.select(F.least("no", "top.to").alias("src"), F.greatest("no", "top.to").alias("dst")).distinct()
 
-def wide_pairs(nodes: DataFrame, k: int, block_rows: int = 2048, plan: list | None = None) -> DataFrame:
-    """All pairs (src, dst) over `nodes` (id, fp, grp; distinct ids) of different grp whose fps lie within k bits, for wider k.
 
-    A pair that agrees to within t bits on a part meets at a value within ceil(t/2) bits of one and
-    floor(t/2) of the other, so each side lists few keys. Keys that many rows list are cut into
-    blocks of about block_rows rows of one side; every row of the other side visits each block.
-    """
-    if plan is None:
-        n, together = bit_statistics(nodes)
-        plan = plan_search(n, together, k)
-    left = _listed(nodes.select(F.col("id").alias("src"), "fp", F.col("grp").alias("grp1")), plan, True).withColumnRenamed("fp", "fp1")
-    right = _listed(nodes.select(F.col("id").alias("dst"), "fp", F.col("grp").alias("grp2")), plan, False).withColumnRenamed("fp", "fp2")
-    hot = right.groupBy("part", "key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
-    hot = stage(hot, "simhash-blocks")
-    blocks = F.coalesce("blocks", F.lit(1))
-    left = left.join(hot, ["part", "key"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
-    right = right.join(hot, ["part", "key"], "left").withColumn("block", F.pmod(F.xxhash64("dst"), blocks).cast("int")).drop("blocks")
-    # Either of a pair can take either side, so one order is enough.
-    near = (F.col("src") < F.col("dst")) & (F.col("grp1") != F.col("grp2")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= k)
-    return left.join(right, ["part", "key", "block"]).where(near).select("src", "dst").distinct()
-
-
-def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Those pairs (src, dst) of ids whose shingle sets have at least this Jaccard similarity."""
-
-    @F.pandas_udf("array<int>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
-
-    used = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).join(used, "id", "left_semi")
-    sets = stage(texts.select("id", shingles("__text").alias("own")), "simhash-shingles")
-    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("own").alias("b")), "dst")
+def similar_pairs(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (src, dst) of nodes (no, own) whose shingle sets have at least this Jaccard similarity; both are staged tables."""
+    used = pairs.select(F.explode(F.array("src", "dst")).alias("no")).distinct()
+    sets = stage(nodes.select("no", "own").join(used, "no", "left_semi"), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("no").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("no").alias("dst"), F.col("own").alias("b")), "dst")
     # A pair whose sizes differ too much cannot reach the similarity, whatever they share.
     sized = both.where(F.least(F.size("a"), F.size("b")) >= F.lit(similarity) * F.greatest(F.size("a"), F.size("b")))
     common = F.size(F.array_intersect("a", "b"))
-    return sized.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("src", "dst").distinct()
+    alike = common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)
+    found = stage(sized.where(alike | (F.size("a") + F.size("b") == 0)).select("src", "dst").distinct(), "simhash-links")
+    free(sets)
+    return found
 
 
 def common_shingles(docs: DataFrame, text_col: str, words: int, read: int = 4000, most: int = 8192) -> np.ndarray:
@@ -342,7 +357,7 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, read: int = 4000
 
     @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+        return pd.Series([shingle_set(word_hashes(t), words) for t in texts], dtype=object)
 
     part = min(1.0, read / max(docs.count(), 1))
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
@@ -351,13 +366,13 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, read: int = 4000
     return np.array(found[::-1], np.int64)
 
 
-def set_sketch(own: list[int], similarity: float, order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+def set_sketch(own: np.ndarray, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
     """(size, parity bits, head) of a shingle set; order: sorted common shingles, and the place of each.
 
     Two sets of this similarity share a shingle of both heads. The parity of shingles by 512 hash
     values differs between two sets in at most as many bits as the sets differ in shingles.
     """
-    x = np.array(own, np.int64)
+    x = own.astype(np.int64)
     bits = np.packbits((np.bincount(x & 511, minlength=512) & 1).astype(np.uint8), bitorder="little").view("<i8")
     common, place = order
     if len(common) and len(x):
@@ -372,40 +387,46 @@ def _may_be_similar(similarity: float) -> Column:
     """No pair of this similarity fails it: by the shingles left after a shared one, and by parity bits. Columns of x and y."""
     both = F.col("x.n") + F.col("y.n")
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(1, 8)), F.bit_count(F.get("x.bits", F.lit(0)).bitwiseXOR(F.get("y.bits", F.lit(0)))))
-    return (left * (1 + similarity) >= both * similarity - 1e-6) & (differ * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+    return (left * (1 + similarity) >= both * similarity - 1e-6) & (_away() * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+
+
+def _away() -> Column:
+    """Differing parity bits of x and y."""
+    return sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(1, 8)), F.bit_count(F.get("x.bits", F.lit(0)).bitwiseXOR(F.get("y.bits", F.lit(0)))))
 
 
 def _as_pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("x.id", "y.id").alias("src"), F.greatest("x.id", "y.id").alias("dst")).distinct()
+    return joined.select(F.least("x.no", "y.no").alias("src"), F.greatest("x.no", "y.no").alias("dst")).distinct()
 
 
-def _mixed_keys(rows: DataFrame) -> DataFrame:
-    """(key, main, total) of keys that rows of several classes hold; main: the class with most of its rows."""
-    per = rows.groupBy("key", "x.cls").agg(F.count("*").alias("n"))
-    tops = per.groupBy("key").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("total"))
-    return tops.where("classes > 1").drop("classes")
+def mixed_keys(held: DataFrame) -> DataFrame:
+    """(key, total) of the keys that rows of several classes hold."""
+    ends = held.groupBy("key").agg(F.count("*").alias("total"), F.min("cls").alias("least"), F.max("cls").alias("most"))
+    return ends.where("least <> most").select("key", "total")
 
 
-def head_leader_pairs(rows: DataFrame, similarity: float, seed: int, least: int = 32, leaders: int = 4) -> DataFrame:
-    """Pairs (src, dst) of a few leaders of each key that more than `least` rows hold: they grow with the rows."""
-    large = stage(_mixed_keys(rows).where(F.col("total") > least).select("key"), "simhash-large")
-    held = rows.join(large, "key")
-    lead = [F.min_by("x", F.xxhash64(F.lit(seed + i), "x.no")) for i in range(leaders)]
-    tops = held.groupBy("key").agg(F.array_distinct(F.array(*lead)).alias("tops")).select("key", F.explode("tops").alias("y"))
-    return _as_pairs(held.join(tops, "key").where((F.col("x.cls") != F.col("y.cls")) & _may_be_similar(similarity)))
+def head_leader_pairs(held: DataFrame, similarity: float, least: int = 8, leaders: int = 3) -> DataFrame:
+    """(src, dst), at most one pair a node: its nearest leader of another class, of the keys that more than `least` rows hold."""
+    large = stage(mixed_keys(held).where(F.col("total") > least).select("key"), "simhash-large")
+    rows = held.join(large, "key").select("key", F.struct("no", "cls", "n", "pos", "bits").alias("x"))
+    lead = [F.min_by("x", F.xxhash64(F.lit(seed), "x.no")) for seed in range(leaders)]
+    tops = rows.groupBy("key").agg(F.array_distinct(F.array(*lead)).alias("tops")).select("key", F.explode("tops").alias("y"))
+    met = rows.join(tops, "key").where((F.col("x.cls") != F.col("y.cls")) & _may_be_similar(similarity))
+    best = met.groupBy(F.col("x.no").alias("no")).agg(F.min(F.struct(_away().alias("away"), F.col("y.no").alias("to"))).alias("top"))
+    return best.select(F.least("no", "top.to").alias("src"), F.greatest("no", "top.to").alias("dst")).distinct()
 
 
-def head_pairs(rows: DataFrame, similarity: float, block_rows: int = 2048) -> DataFrame:
+def head_pairs(held: DataFrame, similarity: float, block_rows: int = 2048) -> DataFrame:
     """All pairs (src, dst) of different classes that share a shingle of their heads and may be similar.
 
     Rows of a key's main class are not set against each other. Keys that many rows hold are cut into
     blocks of about block_rows rows of one side; every row of the other side visits each block.
     """
-    mixed = stage(_mixed_keys(rows).select("key", "main", F.ceil(F.col("total") / block_rows).cast("int").alias("blocks")), "simhash-mixed")
-    held = rows.join(mixed, "key")
-    few = held.where("x.cls <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "x")
-    all_ = held.select("key", F.pmod(F.xxhash64("x.no"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("y"), (F.col("x.cls") == F.col("main")).alias("of_main"))
+    per = held.groupBy("key", "cls").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("total"))
+    mixed = stage(per.where("classes > 1").select("key", "main", F.ceil(F.col("total") / block_rows).cast("int").alias("blocks")), "simhash-mixed")
+    rows = held.join(mixed, "key").select("key", "main", "blocks", F.struct("no", "cls", "n", "pos", "bits").alias("x"))
+    few = rows.where("x.cls <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "x")
+    all_ = rows.select("key", F.pmod(F.xxhash64("x.no"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("y"), (F.col("x.cls") == F.col("main")).alias("of_main"))
     once = F.col("of_main") | (F.col("x.no") < F.col("y.no"))
     return _as_pairs(few.join(all_, ["key", "block"]).where((F.col("x.cls") != F.col("y.cls")) & once & _may_be_similar(similarity)))
 
@@ -413,12 +434,13 @@ def head_pairs(rows: DataFrame, similarity: float, block_rows: int = 2048) -> Da
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketch_words: int = 2, k: int = 10) -> DataFrame:
     """(row_id, component_id) of every row: rows are linked by a Jaccard similarity of their word shingles.
 
-    The search is exact. With the shingles of each text in one order, texts of this similarity share
-    one of the first of both (the head: a fifth of a text and one more, for 0.8). Candidates share
-    such a shingle and pass two tests that no similar pair fails; each is verified on whole shingle
-    sets. Links to leaders come first, those of large buckets of fingerprints of sketch_words-word
-    shingles within k bits and those of shingles that many heads hold, so that a large group of near
-    copies is tied together without all of its pairs; then only pairs of different classes are met.
+    First the pigeonhole search: fingerprints of sketch_words-word shingles probe the keys of parts of
+    unequal thresholds for leaders within k bits, so that a large group of near copies is tied
+    together without all of its pairs. Then what fingerprints miss, exactly: with the shingles of each
+    text in one order, texts of this similarity share one of the first of both (the head: a fifth of a
+    text and one more, for 0.8). Only shingles that heads of several classes hold go on; candidates
+    share one and pass two tests that no similar pair fails. Every link is verified on whole shingle
+    sets, of 32-bit hashes: two texts of a thousand words have one false common shingle in 4000 pairs.
 
     Texts of equal words are one node. Null and empty texts, and texts of white space, are copies of
     each other; fewer words than a shingle count as one shingle; rows with a null id take the
@@ -430,35 +452,57 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = common_shingles(own, "__text", words)
     order = np.sort(found), np.argsort(found)
 
-    @F.pandas_udf("n int, bits array<long>, head array<int>")
+    def sketched(text: str | None) -> tuple:
+        hashed = word_hashes(text)
+        shingles = shingle_set(hashed, words)
+        return sign_bits(shingle_hashes(hashed, sketch_words)), *set_sketch(shingles, similarity, order), shingles
+
+    @F.pandas_udf("fp long, n int, bits array<long>, head array<int>, own array<int>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([set_sketch(shingle_set(t, words), similarity, order) for t in texts], columns=["n", "bits", "head"])
+        kept("simhash", dict)  # nothing of its own: what an earlier stage kept goes
+        return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "head", "own"])
 
-    rows = with_fingerprints(own, "__text", sketch_words).withColumn("sketch", sketch("__text"))
-    rows = stage(rows.select("row_id", "fp", F.unhex(F.md5(words_of)).alias("digest"), "sketch.*"), "simhash-texts")
-    per_text = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "head"))).alias("x")
-    nodes = rows.groupBy("digest").agg(per_text).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.head")
+    rows = stage(own.select("row_id", F.unhex(F.md5(words_of)).alias("digest"), sketch("__text").alias("s")).select("row_id", "digest", "s.*"), "simhash-texts")
+    # One row a text: rows of one digest hold the same, so any will do for what is not the id.
+    each = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "head", "own"))).alias("x")
+    nodes = rows.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.head", "x.own")
     nodes = stage(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
-    heads = nodes.select("no", F.posexplode("head").alias("pos", "key"))
-    held = stage(heads.join(heads.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key"), "simhash-heads")
-
-    def classed(links: DataFrame) -> DataFrame:
-        now = nodes.select("no", "id", "n", "bits").join(components(links), "id", "left").withColumn("cls", F.coalesce("label", "id"))
-        whole = held.join(now, "no").select("key", F.struct("no", "id", "cls", "n", "pos", "bits").alias("x"))
-        return stage(whole, "simhash-classed")
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        return stage(similar_pairs(docs, stage(pairs, label), id_col, text_col, words, similarity), "simhash-links")
-
-    sketched = stage(nodes.groupBy("id").agg(F.min("fp").alias("fp")), "simhash-sketched")
-    n, together = bit_statistics(sketched)
-    links = verified(leader_pairs(sketched, k, plan_search(n, together, k)), "simhash-led")
+    rows = rows.select("row_id", "digest")
+
+    def joined(cls: DataFrame, links: DataFrame) -> DataFrame:
+        """cls (no, cls) after links: only classes that a link ties together are searched for components."""
+        ends = links.join(cls.toDF("src", "a"), "src").join(cls.toDF("dst", "b"), "dst").where("a <> b")
+        label = components(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        new = stage(cls.join(label.toDF("cls", "label"), "cls", "left").select("no", F.coalesce("label", "cls").alias("cls")), "simhash-joined")
+        free(label, links, cls)
+        return new
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        candidates = stage(pairs, "simhash-candidates")
+        links = similar_pairs(nodes, candidates, similarity)
+        free(candidates)
+        return links
+
+    # Rows of one id share its component, whatever their texts.
+    first = nodes.groupBy("id").agg(F.min("no").alias("src"), F.count("*").alias("texts")).where("texts > 1")
+    cls = joined(nodes.select("no", F.col("no").alias("cls")), nodes.select("id", F.col("no").alias("dst")).join(first, "id").where("src <> dst").select("src", "dst"))
+    n, together = bit_statistics(nodes.select("fp"))
+    cls = joined(cls, verified(leader_pairs(nodes, k, plan_search(n, together, k))))
     # Leaders only tie groups together early; head_pairs then meets every pair of what is still apart.
-    for seed in (0, 100):
-        links = links.unionByName(verified(head_leader_pairs(classed(links), similarity, seed), "simhash-head-led"))
-    links = links.unionByName(verified(head_pairs(classed(links), similarity), "simhash-candidates"))
-    classes = stage(nodes.join(components(links), "id", "left").select("digest", F.coalesce("label", "id").alias("component_id")), "simhash-classes")
-    return rows.join(classes, "digest", "left").select("row_id", "component_id")
+    heads = nodes.select("no", "head").join(cls, "no").select("no", "cls", F.posexplode("head").alias("pos", "key"))
+    apart = stage(mixed_keys(heads).select("key"), "simhash-apart")
+    held = stage(heads.drop("cls").join(apart, "key"), "simhash-held")
+    free(apart)
+    for search in (head_leader_pairs, head_pairs):
+        met = stage(held.join(nodes.select("no", "n", "bits"), "no").join(cls, "no"), "simhash-met")
+        links = verified(search(met, similarity))
+        free(met)
+        cls = joined(cls, links)
+    named = nodes.select("no", "digest", "id").join(cls, "no")
+    tops = named.groupBy("cls").agg(F.min("id").alias("component_id"))
+    result = stage(named.join(tops, "cls").select("digest", "component_id"), "simhash-classes")
+    free(cls, held, nodes)
+    return rows.join(result, "digest", "left").select("row_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

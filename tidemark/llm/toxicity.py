@@ -16,6 +16,7 @@ import functools
 import itertools
 import pickle
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, kept
 
 ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4
 #: Letters: 1-26, others share OTHER codes; 0 is the start of a word.
@@ -33,20 +34,26 @@ ALPHABET = 27 + OTHER
 WHOLE, SPELLED = 64, 32
 #: A sentence ends at . ! ? or after so many words.
 LONGEST = 40
+#: Marks around words, none of which is a letter.
+MARKS = ".,;:!?'\"()-"
 # Characters that stand for letters inside words.
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _code(ch: str) -> int:
-    return ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) % OTHER
+def _codes(words: list[str]) -> np.ndarray:
+    """(words, letters + 1) of words of one length: the codes of the start and of each letter."""
+    out = np.zeros((len(words), len(words[0]) + 1), np.int64)
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.int64)
+    out[:, 1:] = np.where((chars >= 97) & (chars <= 122), chars - 96, 27 + chars % OTHER)
+    return out
 
 
 def normal(token: str) -> str:
     """The letters of a token in lower case; look-alikes count as letters only between letters."""
     low = token.lower()
-    if low.isalpha():
-        return low
+    bare = low.strip(MARKS)
+    if bare.isalpha():
+        return bare
     first = next((i for i, c in enumerate(low) if c.isalpha()), len(low))
     last = next((i for i in range(len(low) - 1, -1, -1) if low[i].isalpha()), -1)
     return "".join(c for c in low[first : last + 1].translate(LOOKALIKES) if c.isalpha())
@@ -62,6 +69,19 @@ def _shape(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (DECAY ** (at[:, -1] - at[:, 0] + 1 - ORDER)).astype(np.float32)
 
 
+def _repeating_norms(feats: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    order = np.argsort(feats, axis=1)
+    own = np.take_along_axis(feats, order, 1)
+    run = np.cumsum(weight[order], axis=1, dtype=np.float64)
+    last = np.ones(feats.shape, bool)
+    last[:, :-1] = own[:, 1:] != own[:, :-1]
+    r, c = np.nonzero(last)
+    ends = run[r, c]
+    before = np.concatenate([[0.0], ends[:-1]])
+    before[np.concatenate([[True], r[1:] != r[:-1]])] = 0.0
+    return np.sqrt(np.bincount(r, weights=(ends - before) ** 2, minlength=len(feats)))
+
+
 def subsequences(words: list[str]):
     """Yields (rows, features, weights, norms) by word length: features (rows, triples)."""
     by: dict[int, list[int]] = {}
@@ -74,19 +94,13 @@ def subsequences(words: list[str]):
         step = max(1, 400_000 // len(at))
         for a in range(0, len(rows), step):
             part = rows[a : a + step]
-            codes = np.array([[0, *map(_code, words[i])] for i in part], np.int64)
+            codes = _codes([words[i] for i in part])
             feats = (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]]
-            # Norm: a subsequence that occurs more than once counts with the sum of its weights.
-            order = np.argsort(feats, axis=1)
-            sorted_feats = np.take_along_axis(feats, order, 1)
-            run = np.cumsum(weight[order], axis=1, dtype=np.float64)
-            last = np.ones(feats.shape, bool)
-            last[:, :-1] = sorted_feats[:, 1:] != sorted_feats[:, :-1]
-            r, c = np.nonzero(last)
-            ends = run[r, c]
-            before = np.concatenate([[0.0], ends[:-1]])
-            before[np.concatenate([[True], r[1:] != r[:-1]])] = 0.0
-            norm = np.sqrt(np.bincount(r, weights=(ends - before) ** 2, minlength=len(part)))
+            # Norm: a subsequence that occurs more than once counts with the sum of its weights. None does without a repeated letter.
+            norm = np.full(len(part), np.sqrt((weight.astype(np.float64) ** 2).sum()))
+            again = np.flatnonzero((np.diff(np.sort(codes, axis=1), axis=1) == 0).any(1))
+            if len(again):
+                norm[again] = _repeating_norms(feats[again], weight)
             yield part, feats, weight, norm
 
 
@@ -106,7 +120,7 @@ class Landmarks:
         out = np.zeros((len(words), len(self.words)), np.float32)
         for rows, feats, weight, norm in subsequences(words):
             for a in range(0, len(rows), 512):
-                k = np.einsum("nct,c->nt", self.table[feats[a : a + 512]], weight)
+                k = np.matmul(weight, self.table[feats[a : a + 512]])
                 out[rows[a : a + 512]] = (k / norm[a : a + 512, None]) ** POWER
         return out
 
@@ -156,9 +170,9 @@ class Model:
 
 
 class Scorer:
-    """Values of tokens, kept per worker; texts are scored whole."""
+    """Values of tokens; texts are scored whole. At most `most` tokens are kept, a few ten megabytes."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most = model, most
         self.marks = Landmarks(model.landmarks) if model.landmarks else None
         self.forget()
@@ -307,14 +321,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 4) -> Model:
     lm = Landmarks(marks)
     values, vectors = np.linalg.eigh(lm.likeness(marks).astype(np.float64) + 1e-3 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    # All sentences of toxic documents; of the others every third, to bound the matrix.
-    own = [(i, s) for i, d in enumerate(cut) for j, s in enumerate(d) if y[i] or j % 3 == 0]
+    own = [(i, s) for i, d in enumerate(cut) for s in d]
     words = list(dict.fromkeys(w for _, s in own for w in s))
     like, at = lm.best_likeness(words), {w: i for i, w in enumerate(words)}
-    z = np.ones((len(own), len(marks) + 1))
+    z = np.ones((len(own), len(marks) + 1), np.float32)
     for n, (_, s) in enumerate(own):
-        z[n, :-1] = like[[at[w] for w in s]].sum(0)
-    z[:, :-1] = z[:, :-1] @ root
+        z[n, :-1] = like[[at[w] for w in s]].sum(0) @ root
     doc = np.array([i for i, _ in own])
     del cut, own, like, words, at, known
     toxic = y[doc] > 0
@@ -338,31 +350,28 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 4) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, columns: list[str], id_col: str = "doc_id") -> pd.DataFrame:
-    """Up to `most` labelled rows, by a hash of the id: the bounded sample a classifier is fitted on."""
-    own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("__id").isNotNull() & usable)
-    own = own.dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(most)
-    found = docs.join(F.broadcast(own), docs[id_col] == own["__id"]).select("__id", "label", *columns)
-    return found.toPandas().sort_values("__id", kind="stable").drop_duplicates("__id").reset_index(drop=True)
-
-
-_scorers: dict[bytes, Scorer] = {}
+    """Up to `most` labelled rows, by a hash of the id: the bounded sample a classifier is fitted on. One row an id."""
+    own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isNotNull() & F.col("__id").isNotNull() & usable)
+    own = own.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(most)
+    # Only the columns that are read, so that others of the same names do not clash.
+    docs = docs.select(F.col(id_col).cast("long").alias("__id"), *columns)
+    found = docs.join(F.broadcast(own), "__id").groupBy("__id", "__label").agg(F.min(F.struct(*columns)).alias("__row")).select("__id", F.col("__label").alias("label"), "__row.*")
+    return found.toPandas().sort_values("__id", kind="stable").reset_index(drop=True)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """docs with a score from 0 to 1. Null and empty texts have no words and get the score that implies.
 
-    Texts of any length are scored whole, words of over WHOLE letters by the best of overlapping windows; equal texts get equal scores; an empty input gives an empty
-    result; all columns are kept.
+    Texts of any length are scored whole, words of over WHOLE letters by the best of overlapping
+    windows; equal texts get equal scores; an empty input gives an empty result; all columns are kept.
     """
     packed = pickle.dumps(model)
 
     @F.pandas_udf("double")
-    def apply(texts: pd.Series) -> pd.Series:
-        if packed not in _scorers:
-            _scorers.clear()
-            _scorers[packed] = Scorer(pickle.loads(packed))
-        scorer, texts = _scorers[packed], list(texts)
-        return pd.Series(np.concatenate([scorer.score(texts[a : a + 256]) for a in range(0, len(texts), 256)]) if texts else np.zeros(0))
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = kept(("toxicity", packed), lambda: Scorer(pickle.loads(packed)))
+        for texts in map(list, batches):
+            yield pd.Series(np.concatenate([scorer.score(texts[a : a + 256]) for a in range(0, len(texts), 256)]) if texts else np.zeros(0))
 
     return docs.withColumn(name, apply(F.col(text_col)))
 
@@ -372,7 +381,12 @@ def fold(id_col: Column, modulus: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = 1500) -> Model:
-    """Fit on at most most_docs labelled documents outside the held-out fold (crc32 of the id mod 5 is 0)."""
+    """Fit on all sentences of at most most_docs labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
+
+    Labels of unknown ids and null labels are left out; an id labelled twice is toxic if one label
+    says so; an id with several texts is learnt from the least of them. Without labels of both
+    classes every text gets the share of the one there is, and a half where there is none.
+    """
     own = sample(docs, labels, "toxic", fold(F.col("__id"), 5) != 0, most_docs, ["text"])
     return fit(list(own["text"]), list(own["label"]))
 
