@@ -9,7 +9,7 @@ from tidemark.operators import coupling, graph
 from tidemark.plans.history import CYCLES
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.plans.paths import LAYER
-from tidemark.registry import query
+from tidemark.registry import ORACLE, QUERIES, query
 
 
 def _edges(spark, sf_dir):
@@ -239,4 +239,8 @@ def set_difference(spark, sf_dir):
     return coupling.coupling(bind(spark, sf_dir, "touch2")).select("a", "b").subtract(e)
 
 
+# Names of an earlier version, when the plain names ran over a part of the edges.
+for _name in ("gr_components", "gr_inferred_entries"):
+    query(ORACLE[_name], name=f"{_name}_whole")(QUERIES[_name])
+
 __all__ = ["hidden"]

@@ -76,10 +76,10 @@ def snk_secret(spark, sf_dir):
     return rows.select("fingerprint", "doc_id", "path_id", F.count("*").over(Window.partitionBy("fingerprint")).alias("commits"))
 
 
-@query()
+@query(oracle("doc6", secret_sql() + "SELECT doc_id, path, line_no, rule, fingerprint, preview, round(entropy, 6) AS entropy FROM hits"))
 def src_secrets(spark, sf_dir):
-    """Hits with line numbers, as the history scan reports them."""
-    return _hits(spark, sf_dir)
+    """Hits with their paths and line numbers; src_diff_secrets scans the added lines of patches."""
+    return _hits(spark, sf_dir).select("doc_id", "path", F.col("line_no").cast("long").alias("line_no"), "rule", "fingerprint", "preview", F.round("entropy", 6).alias("entropy"))
 
 
 @query("SELECT doc_id, regexp_replace(coalesce(text, ''), '(?i)((?:password|passwd|secret|token|api_?key)[\"'']?\\s*[:=]\\s*[\"'']?)[A-Za-z0-9+/_.=-]+', '\\1[redacted]', 'g') AS text FROM documents")
