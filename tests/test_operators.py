@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import streaming
 from tidemark.functions import numbers, paths, texts
-from tidemark.operators import coupling, expertise, files, graph, hygiene, onboarding, runs, tables
-from tidemark.sources import code, gitlog, secrets
+from tidemark.operators import baseline, coupling, expertise, files, graph, hygiene, onboarding, runs, tables
+from tidemark.sources import code, diffs, gitlog, secrets
 
 
 def at(minute):
@@ -328,5 +328,54 @@ def test_a_tree_with_binary_and_long_files(spark, tmp_path):
     got = {r.path: r for r in gitlog.read_tree(spark, f"file://{tmp_path}").collect()}
     assert set(got) == {"src/logo.png", "src/big.py", "src/a.py"}
     assert got["src/big.py"].bytes == 1_200_000 and got["src/big.py"].content == "" and got["src/a.py"].content == "import src.big\n" and "PNG" in got["src/logo.png"].content
-    edges = code.import_edges(gitlog.read_tree(spark, f"file://{tmp_path}")) if hasattr(code, "import_edges") else None
-    assert edges is None or edges.count() >= 0
+    edges = code.import_edges(gitlog.read_tree(spark, f"file://{tmp_path}"))
+    assert [(r.src, r.dst) for r in edges.collect()] == [("src/a.py", "src/big.py")]
+
+
+def test_token_buckets_keep_their_state_over_batches(spark, tmp_path):
+    rows = [("a", at(0)) for _ in range(7)] + [("b", at(0))] + [("a", at(0) + dt.timedelta(seconds=24))] * 3
+    late = [("a", at(1) + dt.timedelta(seconds=24))] * 6 + [("a", at(600))] * 60
+    frame = spark.createDataFrame([], "key string, ts timestamp")
+    for i, part in enumerate((rows, late)):
+        spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = streaming.token_bucket(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("key", "ts").agg(F.count("*").alias("n"), F.count_if("allowed").alias("ok")).collect()
+    seen = {(r.key, r.ts): (r.n, r.ok) for r in got}
+    assert seen[("a", at(0))] == (7, 5) and seen[("b", at(0))] == (1, 1)
+    assert seen[("a", at(0) + dt.timedelta(seconds=24))] == (3, 2)  # two fifths of the window: two tokens
+    assert seen[("a", at(1) + dt.timedelta(seconds=24))] == (6, 5) and seen[("a", at(600))] == (60, 5)
+
+
+def test_added_lines_are_numbered_in_the_new_file(spark):
+    patch = "diff --git a/x b/x\n--- a/x.py\n+++ b/x.py\n@@ -3,2 +3,4 @@ def f():\n kept\n+one\n-gone\n+two\n@@ -20 +22,0 @@\n-out\n@@ -30,0 +31 @@\n+three\ndiff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-y\ndiff --git a/vendor/z b/vendor/z\n--- a/vendor/z\n+++ b/vendor/z\n@@ -0,0 +1 @@\n+z\n"
+    got = diffs.added_lines(spark.createDataFrame([("s", patch), ("t", None), ("u", "")], "sha string, patch string"), ["sha"]).collect()
+    assert sorted((r.sha, r.path, r.line_no, r.line) for r in got) == [("s", "x.py", 4, "one"), ("s", "x.py", 5, "two"), ("s", "x.py", 31, "three")]
+
+
+def test_groups_are_named_by_folder_then_word_then_number(spark):
+    rows = [(1, i, f"src/billing/f{i}.py") for i in range(6)] + [(1, 6, "docs/x.md")] + [(2, 10 + i, f"app/src/g{i}.py") for i in range(4)] + [(3, 20 + i, f"d{i}/ledgerView.py") for i in range(3)] + [(4, 30, "z/main.py"), (4, 31, "y/index.py")]
+    rows += [(5, 40 + i, f"other/billing/h{i}.py") for i in range(2)]
+    members = spark.createDataFrame(rows, "subsystem long, path_id long, path string")
+    got = {r.subsystem: (r.label, r.source) for r in onboarding.subsystem_names(members, spark.createDataFrame([(20, "ledgerTotal")], "path_id long, name string")).collect()}
+    assert got == {1: ("billing", "path_prefix"), 2: ("app/src", "path_prefix"), 3: ("ledger", "identifiers"), 4: ("Subsystem 4", "fallback"), 5: ("billing (other)", "path_prefix")}
+
+
+def test_manifests_of_every_kind(spark):
+    tree = [
+        ("setup.py", "from setuptools import setup\nsetup(name='x', version=open('v').read(), entry_points={'console_scripts': ['x=x.cli:main']})\n"), ("pom.xml", "<project><artifactId>a</artifactId><build><mainClass>com.x.Main</mainClass></build></project>"),
+        ("build.gradle", "application { mainClass = 'com.x.App' }"), ("requirements-dev.txt", "a==1\n# c\nb\n"), ("LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person"), ("README.md", "\n# The  title #\ntext"), ("x/broken/package.json", "{"),
+    ]
+    got = {r.path: (r.kind, r.name, r.main, r.id, r.heading) for r in code.manifests(spark.createDataFrame(tree, "path string, content string")).select("path", "kind", *[F.expr(f"try_variant_get(data, '$.{k}', 'string')").alias(a) for k, a in (("name", "name"), ("mainClass", "main"), ("id", "id"), ("heading", "heading"))]).collect()}
+    assert got["setup.py"][:2] == ("setup_py", "x") and got["pom.xml"][2] == "com.x.Main" and got["build.gradle"][2] == "com.x.App" and got["LICENSE"][3] == "MIT" and got["README.md"][4] == "The  title"
+    assert got["requirements-dev.txt"][0] == "requirements" and "x/broken/package.json" not in got
+
+
+def test_widening_needs_enough_repositories(spark):
+    cells = spark.createDataFrame([("py", "small", 6, 1.0), ("py", "large", 9, 2.0), ("js", "small", 2, 3.0), ("go", "small", 12, 4.0)], "language string, bucket string, n_repos long, p50 double")
+    wanted = spark.createDataFrame([(0, "py", "small"), (1, "py", "medium"), (2, "js", "small"), (3, "rb", "small")], "no long, language string, bucket string")
+    got = {r.no: (r.provenance, r.p50) for r in baseline.widened(cells, wanted).collect()}
+    assert got == {0: ("cell", 1.0), 1: ("language", 2.0), 2: ("corpus", 4.0), 3: ("corpus", 4.0)}
+    assert {r.p50 for r in baseline.widened(cells, wanted, 100).collect()} == {None}
+    own = spark.createDataFrame([(5.0, 0.0, 10.0, 20.0), (25.0, 0.0, 10.0, 20.0), (-1.0, 0.0, 10.0, 20.0)], "v double, a double, b double, c double")
+    assert [r[0] for r in own.select(baseline.percentile_of(F.col("v"), ["a", "b", "c"], [0.1, 0.5, 0.9])).collect()] == [pytest.approx(0.3), 0.9, 0.1]

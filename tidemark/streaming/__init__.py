@@ -42,23 +42,27 @@ LIMITED = "key string, ts timestamp, allowed boolean"
 
 
 def token_bucket(requests: DataFrame, short: tuple[int, float] = (5, 60.0), long: tuple[int, float] = (50, 3600.0)) -> DataFrame:
-    """requests (key, ts) -> allowed: two buckets a key, each refilled evenly over its window; both must have a token."""
+    """requests (key, ts) -> allowed: two buckets a key, each refilled evenly over its window; both must have a token.
+
+    A key's requests are taken one Arrow batch at a time, each in order of time, so a hot key never sits
+    in memory whole; a bucket's clock does not go back for a late request.
+    """
 
     def step(key, batches, state: GroupState):
         left = list(state.get) if state.exists else [float(short[0]), 0.0, float(long[0]), 0.0]
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts in rows["ts"]:
-            now = ts.timestamp()
-            for i, (most, width) in ((0, short), (2, long)):
-                if left[i + 1]:
-                    left[i] = min(float(most), left[i] + max(0.0, now - left[i + 1]) * most / width)
-                left[i + 1] = max(now, left[i + 1])
-            ok = left[0] >= 1 and left[2] >= 1
-            if ok:
-                left[0], left[2] = left[0] - 1, left[2] - 1
-            out.append((key[0], ts, ok))
-        state.update(tuple(left))
-        yield pd.DataFrame(out, columns=["key", "ts", "allowed"])
+        for pdf in batches:
+            out = []
+            for ts in pdf["ts"].sort_values(kind="stable"):
+                now = ts.timestamp()
+                for i, (most, width) in ((0, short), (2, long)):
+                    if left[i + 1]:
+                        left[i] = min(float(most), left[i] + max(0.0, now - left[i + 1]) * most / width)
+                    left[i + 1] = max(now, left[i + 1])
+                ok = left[0] >= 1 and left[2] >= 1
+                if ok:
+                    left[0], left[2] = left[0] - 1, left[2] - 1
+                out.append((key[0], ts, ok))
+            state.update(tuple(left))
+            yield pd.DataFrame(out, columns=["key", "ts", "allowed"])
 
     return requests.groupBy("key").applyInPandasWithState(step, LIMITED, "a double, b double, c double, d double", "append", GroupStateTimeout.NoTimeout)
