@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import streaming
 from tidemark.functions import numbers, paths, texts
-from tidemark.operators import baseline, coupling, expertise, files, graph, hygiene, onboarding, runs, tables
+from tidemark.operators import baseline, coupling, expertise, files, folders, graph, hygiene, onboarding, runs, tables
 from tidemark.sources import code, diffs, gitlog, secrets
 
 
@@ -379,3 +379,41 @@ def test_widening_needs_enough_repositories(spark):
     assert {r.p50 for r in baseline.widened(cells, wanted, 100).collect()} == {None}
     own = spark.createDataFrame([(5.0, 0.0, 10.0, 20.0), (25.0, 0.0, 10.0, 20.0), (-1.0, 0.0, 10.0, 20.0)], "v double, a double, b double, c double")
     assert [r[0] for r in own.select(baseline.percentile_of(F.col("v"), ["a", "b", "c"], [0.1, 0.5, 0.9])).collect()] == [pytest.approx(0.3), 0.9, 0.1]
+
+
+def brute_groups(paths_):
+    """Folder groups over all paths at hand."""
+    def key_of(p, depth):
+        seg = p.split("/")
+        return "/".join(seg[:depth]) if len(seg) > depth else "/".join(seg[: depth - 1]) + "/" if depth > 1 else ""
+
+    own = {p: key_of(p, 1) for p in paths_}
+    while True:
+        sizes = {k: sum(v == k for v in own.values()) for k in set(own.values())}
+        if len(sizes) >= folders.MOST_GROUPS:
+            break
+        ways = []
+        for k in sizes:
+            if k and not k.endswith("/"):
+                after = {p: key_of(p, k.count("/") + 2) for p, v in own.items() if v == k}
+                if set(after.values()) != {k + "/"}:
+                    ways.append((-sizes[k], k, after))
+        if not ways or not (len(sizes) < 3 or -min(ways)[0] > len(paths_) / 2):
+            break
+        own |= min(ways)[2]
+    order = sorted(sizes, key=lambda k: (-sizes[k], k))
+    kept = order if len(order) <= 16 else order[:15]
+    return {p: v if v in kept else folders.OTHER for p, v in own.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_folder_groups(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    made = {"/".join(r.choice("abcdefghijklmnopqrstuvw"[: 2 + 7 * (seed % 3)]) for _ in range(r.randrange(0, 4 + seed))) + ("/" if r.random() < 0.9 else "") + f"f{i}.py" for i in range(120)}
+    made = sorted({p.lstrip("/") for p in made} | ({f"deep/one/two/x{i}.py" for i in range(400)} if seed % 2 else set()))
+    frame = spark.createDataFrame(list(enumerate(made)), "path_id long, path string")
+    got = {made[r.path_id]: r.grp for r in folders.folder_groups(frame).collect()}
+    assert got == brute_groups(made)
+    assert folders.folder_groups(frame.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
-from tidemark.operators import coupling, graph
+from tidemark.operators import coupling, folders, graph
 from tidemark.plans.history import CYCLES
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.plans.paths import LAYER
@@ -173,24 +173,15 @@ FOLDERS = """, p AS (SELECT path_id, string_split(path, '/')[1] AS a, array_to_s
 
 @query(oracle("file7", FOLDERS + "SELECT grp, count(*) AS files FROM g GROUP BY 1"))
 def gr_folders(spark, sf_dir):
-    """Top folders, split once more where one holds over half of the files or there are fewer than three."""
-    parts = F.split("path", "/")
-    rows = bind(spark, sf_dir, "file7").select("path_id", parts[0].alias("a"), F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(2))), "/").alias("b"))
-    tops = rows.groupBy("a").agg(F.count("*").alias("n"))
-    total = tops.agg(F.sum("n").alias("total"), F.count("*").alias("groups"))
-    split = (F.col("n") > 0.5 * F.col("total")) | (F.col("groups") < 3)
-    return rows.join(tops, "a").crossJoin(F.broadcast(total)).groupBy(F.when(split, F.col("b")).otherwise(F.col("a")).alias("grp")).agg(F.count("*").alias("files"))
+    """Files by folder; no folder dominates here, so the SQL needs one split at most."""
+    return folders.folder_groups(bind(spark, sf_dir, "file7")).groupBy("grp").agg(F.count("*").alias("files"))
 
 
 @query(oracle("file7", FOLDERS + "SELECT grp, count(*) AS files, sum(loc)::BIGINT AS loc, sum(churn_weighted) AS churn, sum(commit_count)::BIGINT AS commits FROM g JOIN file7 USING (path_id) GROUP BY 1"))
 def dg_payload(spark, sf_dir):
-    """Size and activity of each group; files are grouped by gr_folders' rule."""
-    parts = F.split("path", "/")
-    files = bind(spark, sf_dir, "file7").withColumn("a", parts[0]).withColumn("b", F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(2))), "/"))
-    tops = files.groupBy("a").agg(F.count("*").alias("n"))
-    total = tops.agg(F.sum("n").alias("total"), F.count("*").alias("groups"))
-    split = (F.col("n") > 0.5 * F.col("total")) | (F.col("groups") < 3)
-    own = files.join(tops, "a").crossJoin(F.broadcast(total)).withColumn("grp", F.when(split, F.col("b")).otherwise(F.col("a")))
+    """Size and activity of each group of gr_folders."""
+    files = bind(spark, sf_dir, "file7")
+    own = files.join(folders.folder_groups(files), "path_id")
     return own.groupBy("grp").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("churn_weighted").alias("churn"), F.sum("commit_count").alias("commits"))
 
 
