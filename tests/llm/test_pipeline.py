@@ -3,10 +3,8 @@
 import itertools
 import re
 
-import pytest
-
 import corpus_pipeline
-from tests.llm.cases import SF, edge_docs, empty_docs, repeated
+from tests.llm.cases import SF, empty_docs, repeated
 from tests.llm.test_ids import check_pieces
 from tests.llm.test_texts import brute_sets, norm
 from tidemark.llm import mixing, toxicity
@@ -74,9 +72,8 @@ def test_every_stage_keeps_what_brute_force_keeps(spark, tmp_path):
     assert seen["exact dedup"][1] < seen["exact dedup"][0] < len(copies) + len(near) + docs.count()
 
 
-@pytest.mark.parametrize("make", [edge_docs, repeated])
-def test_stages_take_edge_cases(spark, tmp_path, make):
-    sizes = [(name, len(before), len(after)) for name, before, after in stages(spark, tables(spark, make(spark), tmp_path))]
+def test_stages_take_edge_cases(spark, tmp_path):
+    sizes = [(name, len(before), len(after)) for name, before, after in stages(spark, tables(spark, repeated(spark), tmp_path))]
     assert [n for n, *_ in sizes] == [n for n, _ in corpus_pipeline.STAGES] and all(after for *_, after in sizes)
 
 

@@ -255,12 +255,11 @@ def test_one_document_of_each_group_of_near_copies_stays(spark):
     assert kept == {d for d, c in got.items() if d == c}
 
 
-@pytest.mark.parametrize("length", [9, 24, 120, 600])
-def test_similar_pairs_of_every_kind_are_linked(spark, length):
-    """Recall against brute force on all pairs, by kind of edit and length; the filter on fingerprints lost some of each."""
+def test_similar_pairs_of_every_kind_are_linked(spark):
+    """Recall against brute force on all pairs, by kind of edit and length; a filter on fingerprints alone loses some of each."""
     import random
 
-    r = random.Random(length)
+    r = random.Random(9)
     kinds = defaultdict(list)
 
     def add(kind, *texts):
@@ -269,7 +268,7 @@ def test_similar_pairs_of_every_kind_are_linked(spark, length):
 
     made: list[str] = []
     fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
-    for n in range(25):
+    for n, length in itertools.product(range(25), (9, 24, 120, 600)):
         a, block = fresh(length), fresh(20)
         add("repeated", a + block * 5, a + block * (10 + n % 20))
         add("appended", a, a + fresh(max(1, length // 5)))
@@ -284,7 +283,7 @@ def test_similar_pairs_of_every_kind_are_linked(spark, length):
         if (n := len(sets[a] & sets[b])) and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
             top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
     assert {i: top[i] for i in got} == got
-    assert sum(got[a] == got[b] for a, b in kinds["repeated"]) > 12
+    assert sum(got[a] == got[b] for a, b in kinds["repeated"]) > 48
 
 
 def test_large_group_of_near_copies_is_met_through_leaders_and_blocks(spark):

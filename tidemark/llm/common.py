@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -61,6 +62,16 @@ def free(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove shuffle files that nothing reads any more.
+
+    It learns of them when the driver's JVM collects garbage, by itself every half an hour; an operator
+    that shuffles all rows several times asks for it between its steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _kept: dict = {}
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, documents, free, kept, stage
+from .common import BLANKS, documents, forget_shuffles, free, kept, stage
 
 BITS = 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -431,7 +431,7 @@ def head_pairs(held: DataFrame, similarity: float, block_rows: int = 2048) -> Da
     return _as_pairs(few.join(all_, ["key", "block"]).where((F.col("x.cls") != F.col("y.cls")) & once & _may_be_similar(similarity)))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketch_words: int = 2, k: int = 10) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sketch_words: int = 2, k: int = 8) -> DataFrame:
     """(row_id, component_id) of every row: rows are linked by a Jaccard similarity of their word shingles.
 
     First the pigeonhole search: fingerprints of sketch_words-word shingles probe the keys of parts of
@@ -462,12 +462,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kept("simhash", dict)  # nothing of its own: what an earlier stage kept goes
         return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "head", "own"])
 
-    rows = stage(own.select("row_id", F.unhex(F.md5(words_of)).alias("digest"), sketch("__text").alias("s")).select("row_id", "digest", "s.*"), "simhash-texts")
+    texts = stage(own.select("row_id", F.unhex(F.md5(words_of)).alias("digest"), sketch("__text").alias("s")).select("row_id", "digest", "s.*"), "simhash-texts")
     # One row a text: rows of one digest hold the same, so any will do for what is not the id.
     each = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "head", "own"))).alias("x")
-    nodes = rows.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.head", "x.own")
+    nodes = texts.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.head", "x.own")
     nodes = stage(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
-    rows = rows.select("row_id", "digest")
+    rows = stage(texts.select("row_id", "digest"), "simhash-rows")
+    free(texts)
+    forget_shuffles(docs.sparkSession)
 
     def joined(cls: DataFrame, links: DataFrame) -> DataFrame:
         """cls (no, cls) after links: only classes that a link ties together are searched for components."""
@@ -481,6 +483,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         candidates = stage(pairs, "simhash-candidates")
         links = similar_pairs(nodes, candidates, similarity)
         free(candidates)
+        forget_shuffles(docs.sparkSession)
         return links
 
     # Rows of one id share its component, whatever their texts.
@@ -493,6 +496,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = stage(mixed_keys(heads).select("key"), "simhash-apart")
     held = stage(heads.drop("cls").join(apart, "key"), "simhash-held")
     free(apart)
+    forget_shuffles(docs.sparkSession)
     for search in (head_leader_pairs, head_pairs):
         met = stage(held.join(nodes.select("no", "n", "bits"), "no").join(cls, "no"), "simhash-met")
         links = verified(search(met, similarity))
