@@ -206,3 +206,60 @@ def test_descending_documents_go_to_the_cheapest_sequence_with_room():
     assert sum(n for _, _, n, _, _ in got) == 20 and {s for *_, s, _ in got} == {0, 1}
     assert [(i, s) for i, _, _, s, _ in got[:3]] == [(0, 0), (1, 1), (2, 1)]
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+# Code lengths of the DC tables of Annex K; the AC table is a small one of the test's own.
+DC_LUMA = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
+DC_CHROMA = (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12)))
+AC_OWN = (bytes([0, 2, 1, 1] + [0] * 12), bytes([0x00, 0x01, 0x12, 0xF0]))
+
+
+def foreign_image(width, height, dc, sampling, restart=0, quant=16):
+    """A baseline JPEG of several components, written bit by bit: dc[component] lists the DC of its blocks in coding order."""
+    codes = {}
+    for name, (counts, symbols) in {"luma": DC_LUMA, "chroma": DC_CHROMA, "ac": AC_OWN}.items():
+        code, at = 0, 0
+        for n, count in enumerate(counts, 1):
+            for _ in range(count):
+                codes[name, symbols[at]] = f"{code:0{n}b}"
+                code, at = code + 1, at + 1
+            code <<= 1
+    amplitude = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
+    pack = lambda b: bytes(int(b[i : i + 8].ljust(8, "1"), 2) for i in range(0, len(b), 8)).replace(b"\xff", b"\xff\x00")
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    mcus = -(-width // (8 * most_h)) * -(-height // (8 * most_v))
+    data, bits, before, at = b"", "", [0] * len(dc), [0] * len(dc)
+    for m in range(mcus):
+        if restart and m and m % restart == 0:
+            data, bits, before = data + pack(bits) + bytes([0xFF, 0xD0 + (m // restart - 1) % 8]), "", [0] * len(dc)
+        for c, (h, v) in enumerate(sampling):
+            for _ in range(h * v):
+                value = dc[c][at[c]]
+                diff, before[c], at[c] = value - before[c], value, at[c] + 1
+                bits += codes["chroma" if c else "luma", abs(diff).bit_length()] + amplitude(diff)
+                # Some blocks have coefficients, behind runs of one and of sixteen zeros.
+                bits += (codes["ac", 0x01] + "1" + codes["ac", 0x12] + "10" + codes["ac", 0xF0] + codes["ac", 0x01] + "0" if at[c] % 3 == 0 else "") + codes["ac", 0x00]
+    part = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(dc)]) + b"".join(bytes([c + 1, h << 4 | v, c > 0]) for c, (h, v) in enumerate(sampling))
+    order = bytes([len(dc)]) + b"".join(bytes([c + 1, (c > 0) << 4]) for c in range(len(dc))) + bytes([0, 63, 0])
+    tables = part(0xDB, bytes([0]) + bytes([quant] * 64) + bytes([1]) + bytes([99] * 64)) + part(0xC4, bytes([0]) + b"".join(DC_LUMA) + bytes([1]) + b"".join(DC_CHROMA) + bytes([16]) + b"".join(AC_OWN))
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + tables + part(0xC0, frame) + (part(0xDD, restart.to_bytes(2, "big")) if restart else b"") + part(0xDA, order) + data + pack(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 1, 2])
+@pytest.mark.parametrize("sampling", [[(2, 2), (1, 1), (1, 1)], [(1, 1), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1)]])
+def test_images_of_other_writers(sampling, restart):
+    import random
+
+    r = random.Random(len(sampling) + restart)
+    width, height = 40, 24
+    h, v = sampling[0]
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    dc = [[r.randrange(-60, 61) for _ in range(across * down * a * b)] for a, b in sampling]
+    found = jpeg.read_batch([foreign_image(width, height, dc, sampling, restart), None])[0]
+    want = np.zeros((down * v, across * h), np.int64)
+    for i, value in enumerate(dc[0]):
+        m, block = divmod(i, h * v)
+        want[m // across * v + block // h, m % across * h + block % h] = np.clip((value * 16 + 4) // 8 + 128, 0, 255)
+    assert (found["width"], found["height"], found["error"], found["payload"]) == (width, height, None, None)
+    assert found["thumb"].tolist() == want.tolist()
