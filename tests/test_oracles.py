@@ -22,7 +22,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5)
+        return None if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     return v
