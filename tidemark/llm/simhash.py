@@ -335,17 +335,32 @@ def leader_pairs(nodes: DataFrame, k: int, plan: list, least: int = 8, leaders:
     return best.select(F.least("no", "top.to").alias("src"), F.greatest("no", "top.to").alias("dst")).distinct()
 
 
+def _parity_away(a: str, b: str) -> Column:
+    """Differing parity bits of two arrays of powers of two of longs; the longer one is folded to the shorter."""
+    k = F.least(F.size(a), F.size(b))
+    xor = lambda u, v: u.bitwiseXOR(v)
+    folded = lambda c: F.when(F.size(c) > k, F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, k + 1, k), xor)).otherwise(F.col(c))
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, x: total + x)
+
+
 def similar_pairs(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (src, dst) of nodes (no, own) whose shingle sets have at least this Jaccard similarity; both are staged tables."""
-    used = pairs.select(F.explode(F.array("src", "dst")).alias("no")).distinct()
+    """Those pairs (src, dst) of nodes (no, n, fine, own) whose shingle sets have at least this Jaccard similarity; both are staged tables.
+
+    Sets whose fine parity bits differ in more than two sets of this similarity can differ go first, so
+    that whole sets only travel for pairs that are alike or nearly so.
+    """
+    one = lambda end, x: nodes.select(F.col("no").alias(end), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"fine{x}"))
+    sized = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
+    # Arrays are a power of two long, so sizes within this ratio are one fold apart at most.
+    near = _parity_away("finea", "fineb") * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6
+    likely = stage(pairs.join(one("src", "a"), "src").join(one("dst", "b"), "dst").where(sized).where(near).select("src", "dst"), "simhash-likely")
+    used = stage(likely.select(F.explode(F.array("src", "dst")).alias("no")).distinct(), "simhash-used")
     sets = stage(nodes.select("no", "own").join(used, "no", "left_semi"), "simhash-shingles")
-    both = pairs.join(sets.select(F.col("no").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("no").alias("dst"), F.col("own").alias("b")), "dst")
-    # A pair whose sizes differ too much cannot reach the similarity, whatever they share.
-    sized = both.where(F.least(F.size("a"), F.size("b")) >= F.lit(similarity) * F.greatest(F.size("a"), F.size("b")))
+    both = likely.join(sets.select(F.col("no").alias("src"), F.col("own").alias("a")), "src").join(sets.select(F.col("no").alias("dst"), F.col("own").alias("b")), "dst")
     common = F.size(F.array_intersect("a", "b"))
     alike = common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)
-    found = stage(sized.where(alike | (F.size("a") + F.size("b") == 0)).select("src", "dst").distinct(), "simhash-links")
-    free(sets)
+    found = stage(both.where(alike | (F.size("a") + F.size("b") == 0)).select("src", "dst").distinct(), "simhash-links")
+    free(likely, used, sets)
     return found
 
 
@@ -366,21 +381,27 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, read: int = 4000
     return np.array(found[::-1], np.int64)
 
 
-def set_sketch(own: np.ndarray, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(size, parity bits, head) of a shingle set; order: sorted common shingles, and the place of each.
+def parity_bits(x: np.ndarray, width: int) -> np.ndarray:
+    """For each of `width` values of the low bits of x, whether an odd number of x has it."""
+    return np.packbits((np.bincount(x & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def set_sketch(own: np.ndarray, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(size, parity bits, fine parity bits, head) of a shingle set; order: sorted common shingles, and the place of each.
 
     Two sets of this similarity share a shingle of both heads. The parity of shingles by 512 hash
-    values differs between two sets in at most as many bits as the sets differ in shingles.
+    values differs between two sets in at most as many bits as the sets differ in shingles; the fine
+    bits are by as many values as the set has shingles, or up to twice, 512 at least.
     """
     x = own.astype(np.int64)
-    bits = np.packbits((np.bincount(x & 511, minlength=512) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    bits, fine = parity_bits(x, 512), parity_bits(x, max(512, 1 << (len(x) - 1).bit_length() if len(x) else 0))
     common, place = order
     if len(common) and len(x):
         at = np.minimum(np.searchsorted(common, x), len(common) - 1)
         hit = common[at] == x
         x = np.concatenate([x[~hit], x[hit][np.argsort(place[at[hit]], kind="stable")]])
     most = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
-    return len(x), bits, x[:most].astype(np.int32)
+    return len(x), bits, fine, x[:most].astype(np.int32)
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -457,15 +478,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shingles = shingle_set(hashed, words)
         return sign_bits(shingle_hashes(hashed, sketch_words)), *set_sketch(shingles, similarity, order), shingles
 
-    @F.pandas_udf("fp long, n int, bits array<long>, head array<int>, own array<int>")
+    @F.pandas_udf("fp long, n int, bits array<long>, fine array<long>, head array<int>, own array<int>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         kept("simhash", dict)  # nothing of its own: what an earlier stage kept goes
-        return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "head", "own"])
+        return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "fine", "head", "own"])
 
     texts = stage(own.select("row_id", F.unhex(F.md5(words_of)).alias("digest"), sketch("__text").alias("s")).select("row_id", "digest", "s.*"), "simhash-texts")
     # One row a text: rows of one digest hold the same, so any will do for what is not the id.
-    each = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "head", "own"))).alias("x")
-    nodes = texts.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.head", "x.own")
+    each = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "fine", "head", "own"))).alias("x")
+    nodes = texts.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.fine", "x.head", "x.own")
     nodes = stage(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
     rows = stage(texts.select("row_id", "digest"), "simhash-rows")
     free(texts)
@@ -473,6 +494,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def joined(cls: DataFrame, links: DataFrame) -> DataFrame:
         """cls (no, cls) after links: only classes that a link ties together are searched for components."""
+        if links.isEmpty():
+            return cls
         ends = links.join(cls.toDF("src", "a"), "src").join(cls.toDF("dst", "b"), "dst").where("a <> b")
         label = components(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         new = stage(cls.join(label.toDF("cls", "label"), "cls", "left").select("no", F.coalesce("label", "cls").alias("cls")), "simhash-joined")
@@ -497,7 +520,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = stage(heads.drop("cls").join(apart, "key"), "simhash-held")
     free(apart)
     forget_shuffles(docs.sparkSession)
-    for search in (head_leader_pairs, head_pairs):
+    for search in () if held.isEmpty() else (head_leader_pairs, head_pairs):
         met = stage(held.join(nodes.select("no", "n", "bits"), "no").join(cls, "no"), "simhash-met")
         links = verified(search(met, similarity))
         free(met)
