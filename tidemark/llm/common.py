@@ -72,17 +72,6 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-_kept: dict = {}
-
-
-def kept(key, make):
-    """One object a worker process, made by make(), until another key takes its place: workers are reused by later stages."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = make()
-    return _kept[key]
-
-
 def unit(hashed: Column) -> Column:
     """A 64-bit hash as a double in [0, 1]; keeps the order of the hash's signed value."""
     return (hashed.cast("double") + F.lit(float(2**63))) / F.lit(float(2**64))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, kept
+from .common import documents
 from .toxicity import fold, sample
 
 #: Hashed words take the first WORDS features; each statistic takes BINS more.
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_chars",
 
     @F.pandas_udf("double")
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        own, feat = kept(("quality", packed), lambda: (pickle.loads(packed), Featurizer()))
+        own, feat = pickle.loads(packed), Featurizer()  # live as long as their task
         for column, *others in batches:
             texts = list(column)
             rows = list(zip(*(c.astype("float64") for c in others), strict=True)) if others else [()] * len(texts)

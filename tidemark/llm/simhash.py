@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, documents, forget_shuffles, free, kept, stage
+from .common import BLANKS, documents, forget_shuffles, free, stage
 
 BITS = 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -480,7 +480,6 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("fp long, n int, bits array<long>, fine array<long>, head array<int>, own array<int>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        kept("simhash", dict)  # nothing of its own: what an earlier stage kept goes
         return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "fine", "head", "own"])
 
     texts = stage(own.select("row_id", F.unhex(F.md5(words_of)).alias("digest"), sketch("__text").alias("s")).select("row_id", "digest", "s.*"), "simhash-texts")

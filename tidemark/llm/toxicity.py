@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, kept
+from .common import documents
 
 ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4
 #: Letters: 1-26, others share OTHER codes; 0 is the start of a word.
@@ -172,7 +172,7 @@ class Model:
 class Scorer:
     """Values of tokens; texts are scored whole. At most `most` tokens are kept, a few ten megabytes."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.marks = Landmarks(model.landmarks) if model.landmarks else None
         self.forget()
@@ -369,7 +369,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
 
     @F.pandas_udf("double")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = kept(("toxicity", packed), lambda: Scorer(pickle.loads(packed)))
+        scorer = Scorer(pickle.loads(packed))  # lives as long as its task
         for texts in map(list, batches):
             yield pd.Series(np.concatenate([scorer.score(texts[a : a + 256]) for a in range(0, len(texts), 256)]) if texts else np.zeros(0))
 
