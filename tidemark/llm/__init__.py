@@ -13,6 +13,9 @@ MODULES = (
     "quality",
     "mixing",
     "simhash",
+    "fim",
+    "host_rules",
+    "filter_audit",
 )
 
 

@@ -102,3 +102,17 @@ def prefix_sums(df: DataFrame, by: list[str], hashed: str, ties: list[str], valu
         .withColumn("before", (F.col("value_before") + F.col("in_sum")).cast("long"))
         .drop("bucket", "rows_before", "value_before", "in_rank", "in_sum")
     )
+
+
+def meet_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner", heavy: int = 256) -> DataFrame:
+    """rows joined with groups, one row a key, on a key that is never null. `size` is the rows of a group and may be in the result.
+
+    Groups of more than one row in `heavy` are fewer than `heavy`: they are broadcast, so that no task
+    takes a hot group's rows; the others meet by a shuffle. Both should be staged tables.
+    """
+    total = rows.count()
+    hot = groups.where(F.col(size) * heavy > total)
+    first = rows.join(F.broadcast(hot), key, "left")
+    hit = first.where(F.col(size).isNotNull())
+    rest = first.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) * heavy <= total), key, how)
+    return hit.unionByName(rest)
