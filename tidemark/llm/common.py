@@ -115,4 +115,4 @@ def meet_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     first = rows.join(F.broadcast(hot), key, "left")
     hit = first.where(F.col(size).isNotNull())
     rest = first.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) * heavy <= total), key, how)
-    return hit.unionByName(rest)
+    return hit.unionByName(rest).select(*rows.columns, *[c for c in groups.columns if c != key])
