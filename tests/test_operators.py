@@ -74,14 +74,6 @@ def test_components_and_levels(spark):
     assert {r.grp: r.level for r in graph.group_levels(links).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
-def test_communities_find_two_cliques(spark):
-    rows = [(a, b, 1.0) for s in (0, 10) for a in range(s, s + 5) for b in range(a + 1, s + 5)] + [(0, 10, 0.1)]
-    w = spark.createDataFrame(rows, "src long, dst long, weight double")
-    got = {r.id: r.community for r in graph.communities(w).collect()}
-    assert got == {i: 0 for i in range(5)} | {i: 10 for i in range(10, 15)}
-    assert graph.modularity(w, graph.communities(w)).first()[0] > 0.4
-
-
 def test_log_is_read_from_text(spark, tmp_path):
     text = "\x1eaaa\x1fAnn\x1fa@b.c\x1f2024-01-02T03:04:05+518:00\x1ffix | it 🙂\x1fline one\nline two\x1f\n\n3\t1\tsrc\\a.py\n-\t-\timg.png\n1\t1\tnode_modules/x.js\n\x1ebbb\x1fBob\x1fb@b.c\x1f2024-01-03T00:00:00+01:00\x1fRevert x\x1f\x1f\n"
     (tmp_path / "log.txt").write_text(text)
@@ -221,31 +213,6 @@ def test_percentile_of_groups_of_any_size(spark):
     assert files.percentile(rows.where("v < 0"), "v", 0.5).count() == 0
 
 
-def brute_cycles(edges, longest):
-    out = set()
-    nxt = {}
-    for a, b in edges:
-        nxt.setdefault(a, set()).add(b)
-
-    def walk(path):
-        for b in nxt.get(path[-1], ()):
-            if b == path[0] and len(path) > 1:
-                out.add(tuple(path))
-            elif b > path[0] and b not in path and len(path) < longest:
-                walk([*path, b])
-
-    for a in nxt:
-        walk([a])
-    return out
-
-
-def test_cycles_of_up_to_ten_files(spark):
-    ring = [(i, (i + 1) % 10) for i in range(10)]
-    more = [(3, 1), (7, 2), (20, 21), (21, 20), (30, 31), (40, 41), (11, 12), *[(50 + i, 50 + (i + 1) % 11) for i in range(11)]]
-    got = {tuple(r.members) for r in graph.cycles(spark.createDataFrame(ring + more, "src long, dst long")).collect()}
-    assert got == brute_cycles(ring + more, 10) and max(map(len, got)) == 10 and not any(50 in c for c in got)
-
-
 def test_levels_and_paths_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
     assert graph.shortest_path(edges, F.lit(0).cast("long"), F.lit(40).cast("long")).first().path == list(range(41))

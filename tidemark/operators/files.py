@@ -55,7 +55,7 @@ def health(files: DataFrame, risks: DataFrame, cycles: DataFrame, hidden: DataFr
     """100 less 40 x the share of high-risk live files, 6 a cycle (30 at most) and 3 a hidden pair (30 at most)."""
     n = files.where("not is_deleted").agg(F.count("*").alias("files"))
     high = risks.agg(F.count_if(F.col("risk_score") >= 0.60).alias("high"))
-    one = n.crossJoin(high).crossJoin(cycles.agg(F.count("*").alias("cycle_count"))).crossJoin(hidden.agg(F.count("*").alias("hidden_count")))
+    one = n.crossJoin(high).crossJoin(cycles).crossJoin(hidden.agg(F.count("*").alias("hidden_count")))
     ratio = F.when(F.col("files") == 0, 0.0).otherwise(F.col("high") / F.col("files"))
     score = 100 - F.least(F.lit(100.0), 40 * ratio) - F.least(F.lit(30.0), 6.0 * F.col("cycle_count")) - F.least(F.lit(30.0), 3.0 * F.col("hidden_count"))
     return one.select(F.greatest(F.lit(0.0), score).alias("score"), ratio.alias("high_risk_ratio"), "cycle_count", "hidden_count")

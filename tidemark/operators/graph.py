@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +53,12 @@ def layering(edges: DataFrame) -> DataFrame:
     return own.withColumn("kind", kind).where("kind is not null")
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int = 6, reverse: bool = False) -> DataFrame:
-    """(id, hops) of everything within `depth` edges of the starts (hops 0): one join and anti-join a level."""
+def bfs(edges: DataFrame, starts: DataFrame, depth: int | None = 6, reverse: bool = False) -> DataFrame:
+    """(id, hops) of everything within `depth` edges of the starts (hops 0; None: however far): one join and anti-join a level."""
     step = edges.select(F.col("dst").alias("at"), F.col("src").alias("id")) if reverse else edges.select(F.col("src").alias("at"), F.col("dst").alias("id"))
     front = saved(starts.select("id").distinct().withColumn("hops", F.lit(0)))
     seen = front
-    for hops in range(1, depth + 1):
+    for hops in itertools.count(1) if depth is None else range(1, depth + 1):
         nxt = step.join(front.select(F.col("id").alias("at")), "at", "left_semi").select("id").distinct().join(seen.select("id"), "id", "left_anti")
         front = saved(nxt.withColumn("hops", F.lit(hops)))
         if front.isEmpty():
@@ -82,33 +84,6 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
     return edges.sparkSession.createDataFrame([], f"path array<{edges.schema['src'].dataType.simpleString()}>, direction string")
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left when ends without an edge in, or without one out, are cut off again and again: every cycle is in it."""
-    own, n = saved(edges.where("src <> dst").select("src", "dst").distinct()), -1
-    while (m := own.count()) != n:
-        n = m
-        own = saved(own.join(own.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(own.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-    return own
-
-
-def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
-    """All simple cycles of up to `longest` ids, each once, from its smallest id: (members, size)."""
-    core = cyclic_core(edges)
-    walks = core.where("dst > src").select(F.array("src", "dst").alias("members"))
-    found = None
-    for size in range(2, longest + 1):
-        head, tail = F.col("members")[0], F.element_at("members", -1)
-        closed = walks.withColumn("h", head).withColumn("t", tail).join(core.select(F.col("src").alias("t"), F.col("dst").alias("h")), ["t", "h"], "left_semi").select("members", F.lit(size).alias("size"))
-        found = closed if found is None else found.unionByName(closed)
-        if size == longest:
-            break
-        longer = walks.withColumn("src", tail).join(core, "src").where((F.col("dst") > head) & ~F.array_contains("members", F.col("dst")))
-        walks = saved(longer.select(F.concat("members", F.array("dst")).alias("members")))
-        if walks.isEmpty():
-            break
-    return found
-
-
 def top_cycles(found: DataFrame, most: int = 50) -> DataFrame:
     return found.orderBy(F.desc("size"), "members").limit(most)
 
@@ -160,36 +135,6 @@ def graph_weights(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.unionByName(two).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def communities(weighted: DataFrame, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
-    """(id, community): local moving for modularity, all nodes of one parity of a hash at a time.
-
-    In each half-round a node goes to the neighbouring community of greatest gain (ties: the smallest
-    label). Only half of the nodes move at once, which keeps neighbours from swapping for ever; it ends
-    when neither half moves. The same input gives the same result.
-    """
-    both = saved(weighted.select("src", "dst", "weight").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    strength = saved(both.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id"))
-    total = strength.agg(F.sum("k")).first()[0] or 1.0
-    own = saved(strength.withColumn("community", F.col("id")))
-    for no in range(rounds):
-        moved = 0
-        for half in (0, 1):
-            sums = own.groupBy("community").agg(F.sum("k").alias("sum_k"))
-            links = both.join(own.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-            stay = own.select(F.col("id").alias("src"), "community").withColumn("w", F.lit(0.0))
-            options = links.unionByName(stay).groupBy("src", "community").agg(F.sum("w").alias("w")).join(sums, "community").join(own.select(F.col("id").alias("src"), "k", F.col("community").alias("now")), "src")
-            others = F.col("sum_k") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - resolution * F.col("k") * others / F.lit(total), 9)
-            best = options.withColumn("gain", gain).groupBy("src").agg(F.max(F.struct("gain", (F.col("community") == F.col("now")).alias("same"), (-F.xxhash64("community")).alias("h"), "community"))["community"].alias("to"))
-            nxt = saved(own.join(best.withColumnRenamed("src", "id"), "id").select("id", "k", F.when(F.pmod(F.xxhash64("id", F.lit(no)), F.lit(2)) == half, F.col("to")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
-            moved += nxt.where("community <> old").count()
-            own = nxt.drop("old")
-        if not moved:
-            break
-    names = own.groupBy("community").agg(F.min("id").alias("name"))
-    return own.join(names, "community").select("id", F.col("name").alias("community"))
-
-
 def modularity(weighted: DataFrame, members: DataFrame) -> DataFrame:
     """One row: the weighted modularity of a partition (id, community); 0 without edges."""
     a, b = members.select(F.col("id").alias("src"), F.col("community").alias("ca")), members.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
@@ -226,10 +171,9 @@ def merge_small(weighted: DataFrame, members: DataFrame, least: int = 3, most: i
     moved = sizes.where(F.col("n") < least).join(best.withColumnRenamed("ca", "community"), "community", "left")
     moved = moved.select("community", F.coalesce(F.col("to").cast("string"), F.lit("Unclustered")).alias("label"))
     named = members.join(moved, "community", "left").select("id", F.coalesce("label", F.col("community").cast("string")).alias("label"))
-    order = Window.orderBy(F.desc("n"), "label")
-    top = named.where("label <> 'Unclustered'").groupBy("label").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order))
-    # Window over labels, of which there are as many as communities of full size.
-    return named.join(top, "label", "left").select("id", F.when(F.col("r") > most, "Other").otherwise(F.col("label")).alias("subsystem"))
+    largest = named.where("label <> 'Unclustered'").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most)
+    own = named.join(F.broadcast(largest.select("label", F.lit(True).alias("kept"))), "label", "left")
+    return own.select("id", F.when(F.col("kept") | (F.col("label") == "Unclustered"), F.col("label")).otherwise("Other").alias("subsystem"))
 
 
 def group_edges(edges: DataFrame, owner: DataFrame) -> DataFrame:

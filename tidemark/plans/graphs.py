@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
-from tidemark.operators import coupling, folders, graph
+from tidemark.operators import communities, coupling, cycles, folders, graph
 from tidemark.plans.history import CYCLES
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.plans.paths import LAYER
-from tidemark.registry import ORACLE, QUERIES, query
+from tidemark.registry import query
 
 
 def _edges(spark, sf_dir):
@@ -36,7 +36,7 @@ def gr_layering(spark, sf_dir):
     return graph.layering(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def bfs_sql(step: str, start: str, depth: int) -> str:
+def bfs_sql(step: str, start: str, depth: int | str) -> str:
     return f", b AS (SELECT id, 0 AS hops FROM ({start}) UNION SELECT e.id, hops + 1 FROM b JOIN ({step}) e ON e.at = b.id WHERE hops < {depth}) SELECT id, min(hops) AS hops FROM b GROUP BY 1"
 
 
@@ -46,9 +46,10 @@ def gr_bfs_reverse(spark, sf_dir):
     return graph.bfs(_edges(spark, sf_dir), spark.createDataFrame([(7,)], "id long"), 6, reverse=True)
 
 
-@query(oracle("edge4", bfs_sql("SELECT src AS at, dst AS id FROM edge4", "SELECT 1::BIGINT AS id UNION ALL SELECT 2::BIGINT", 8)))
+@query(oracle("edge4", bfs_sql("SELECT src AS at, dst AS id FROM edge4", "SELECT 1::BIGINT AS id UNION ALL SELECT 2::BIGINT", "(SELECT count(DISTINCT src) FROM edge4)")))
 def gr_bfs_layers(spark, sf_dir):
-    return graph.bfs(_edges(spark, sf_dir), spark.createDataFrame([(1,), (2,)], "id long"), 8)
+    """Hops from files 1 and 2, however far; the SQL stops at as many hops as there are files."""
+    return graph.bfs(_edges(spark, sf_dir), spark.createDataFrame([(1,), (2,)], "id long"), None)
 
 
 @query(oracle("edge4", bfs_sql("SELECT src AS at, dst AS id FROM edge4", "SELECT 1::BIGINT AS id", 12).replace("SELECT id, min(hops) AS hops FROM b GROUP BY 1", "SELECT min(hops) + 1 AS files FROM b WHERE id = 9")))
@@ -63,10 +64,17 @@ def gr_components(spark, sf_dir):
     return graph.connected_components(_edges(spark, sf_dir))
 
 
-@query(oracle("edge4", CYCLES + "SELECT * FROM c"))
+@query(oracle("edge4", CYCLES + "SELECT * FROM c ORDER BY size DESC, members LIMIT 50"))
 def gr_cycles(spark, sf_dir):
-    """Simple cycles of up to ten files."""
-    return graph.cycles(_edges(spark, sf_dir))
+    """The fifty longest simple cycles of up to ten files."""
+    return cycles.best_cycles(_edges(spark, sf_dir))
+
+
+@query(oracle("edge4", """, r AS (SELECT src AS a, dst AS b FROM edge4 UNION SELECT r.a, e.dst FROM r JOIN edge4 e ON r.b = e.src)
+    SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1"""))
+def gr_strong_components(spark, sf_dir):
+    """Files on a cycle with the smallest file of their strong component."""
+    return cycles.strong_components(_edges(spark, sf_dir))
 
 
 ARCH = CYCLES + f""", t AS (SELECT * FROM c ORDER BY size DESC, members LIMIT 50),
@@ -82,7 +90,7 @@ def fnd_arch(spark, sf_dir):
     names = bind(spark, sf_dir, "file7").select("path_id", "path")
     e = _edges(spark, sf_dir).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
     bad = graph.layering(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("src").alias("from_id"), F.col("dst").alias("to_id"))).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind")
-    return graph.architecture_findings(graph.cycles(_edges(spark, sf_dir)), bad)
+    return graph.architecture_findings(cycles.best_cycles(_edges(spark, sf_dir)), bad)
 
 
 def _weights(spark, sf_dir):
@@ -139,13 +147,20 @@ def eng_subsystem_findings(spark, sf_dir):
 
 @query()
 def gr_louvain(spark, sf_dir):
-    return graph.communities(_weights(spark, sf_dir))
+    return communities.communities(_weights(spark, sf_dir))
+
+
+@query()
+def gr_louvain_levels(spark, sf_dir):
+    """How many communities each level has, and their modularity."""
+    _, levels = communities.community_levels(_weights(spark, sf_dir))
+    return levels.withColumn("modularity", F.round("modularity", 9))
 
 
 @query()
 def gr_merge_cap(spark, sf_dir):
     w = graph.saved(_weights(spark, sf_dir))
-    return graph.merge_small(w, graph.communities(w))
+    return graph.merge_small(w, communities.communities(w))
 
 
 @query(oracle("edge4", """, k AS (SELECT DISTINCT src % 12 AS a, dst % 12 AS b FROM edge4 WHERE src % 12 <> dst % 12), r AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
@@ -230,8 +245,4 @@ def set_difference(spark, sf_dir):
     return coupling.coupling(bind(spark, sf_dir, "touch2")).select("a", "b").subtract(e)
 
 
-# Names of an earlier version, when the plain names ran over a part of the edges.
-for _name in ("gr_components", "gr_inferred_entries"):
-    query(ORACLE[_name], name=f"{_name}_whole")(QUERIES[_name])
-
 __all__ = ["hidden"]

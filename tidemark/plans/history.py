@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
 from tidemark.functions import numbers
-from tidemark.operators import coupling, files, graph, hygiene, tables
+from tidemark.operators import coupling, cycles, files, hygiene, tables
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.registry import query
 
@@ -74,10 +74,10 @@ CYCLES = """, w AS (SELECT [src, dst] AS members FROM edge4 WHERE dst > src UNIO
 
 
 @query(oracle("touch2 file7 edge4", RISK + CYCLES + f""", {HIDDEN_ROWS}, h AS (SELECT count(*) FILTER (WHERE round(risk_score, 9) >= 0.6) / count(*)::DOUBLE AS ratio FROM risk),
-    k AS (SELECT count(*) AS n FROM c), d AS (SELECT count(*) AS n FROM hidden)
+    k AS (SELECT least(count(*), 50) AS n FROM c), d AS (SELECT count(*) AS n FROM hidden)
     SELECT round(greatest(0.0, 100 - least(100.0, 40 * ratio) - least(30.0, 6.0 * k.n) - least(30.0, 3.0 * d.n)), 6)::DOUBLE AS score, round(ratio, 6) AS high_risk_ratio, k.n AS cycle_count, d.n AS hidden_count FROM h, k, d"""))
 def agg_health(spark, sf_dir):
-    got = files.health(bind(spark, sf_dir, "file7"), risks(spark, sf_dir), graph.cycles(bind(spark, sf_dir, "edge4")), hidden(spark, sf_dir))
+    got = files.health(bind(spark, sf_dir, "file7"), risks(spark, sf_dir), cycles.count_cycles(bind(spark, sf_dir, "edge4")), hidden(spark, sf_dir))
     return got.select(F.round("score", 6).alias("score"), F.round("high_risk_ratio", 6).alias("high_risk_ratio"), "cycle_count", "hidden_count")
 
 

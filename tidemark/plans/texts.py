@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
 from tidemark.functions import numbers, paths
-from tidemark.operators import coupling, expertise, graph, onboarding
+from tidemark.operators import coupling, cycles, expertise, graph, onboarding
 from tidemark.plans.graphs import WEIGHTS, pagerank_sql
 from tidemark.plans.history import CYCLES, HIDDEN_ROWS, RISK, agg_churn_conc, risks
 from tidemark.plans.links import coupling_sql, hidden
@@ -216,11 +216,11 @@ def pp_manifest(spark, sf_dir):
 PASSPORT = DOA + CONTRIB + TRUCK + f""", newest AS (SELECT max(ts) AS last FROM commit1), conc AS (SELECT sum(churn_weighted) FILTER (WHERE r <= ceil(0.1 * n)) / sum(churn_weighted) AS churn_concentration FROM (SELECT churn_weighted, row_number() OVER (ORDER BY churn_weighted DESC, path_id) AS r, count(*) OVER () AS n FROM file7)),
     sizes AS (SELECT count(*) AS files, sum(loc)::BIGINT AS loc, count(DISTINCT module) AS subsystems, median(complexity) AS median_complexity, count(*) FILTER (WHERE {IS_TEST}) > 0 AS has_tests,
         (CASE WHEN bool_or(starts_with(n, 'readme')) THEN 0.5 ELSE 0 END + CASE WHEN bool_or(starts_with(n, 'readme') AND loc > 100) THEN 0.25 ELSE 0 END + CASE WHEN bool_or(starts_with(lower(path), 'docs/') OR starts_with(n, 'contributing')) THEN 0.25 ELSE 0 END)::DOUBLE AS doc_score FROM (SELECT *, lower({NAME}) AS n FROM file7)),
-    cyc AS (SELECT count(*) AS cycle_count FROM c), hid AS (SELECT count(*) AS hidden_count FROM hidden), tf AS (SELECT count(*) AS truck_factor FROM truck),
+    cyc AS (SELECT least(count(*), 50) AS cycle_count FROM c), hid AS (SELECT count(*) AS hidden_count FROM hidden), tf AS (SELECT count(*) AS truck_factor FROM truck),
     pe AS (SELECT src % 5 AS x, dst % 5 AS y FROM edge4), coh AS (SELECT g, coalesce(i / (i + o), 0) AS cohesion FROM (SELECT DISTINCT src % 5 AS g FROM edge4) LEFT JOIN (SELECT z, sum(i) AS i, sum(o) AS o FROM (SELECT x AS z, 1 AS i, 0 AS o FROM pe WHERE x = y UNION ALL SELECT x, 0, 1 FROM pe WHERE x <> y UNION ALL SELECT y, 0, 1 FROM pe WHERE x <> y) GROUP BY 1) ON z = g),
     loose AS (SELECT min(g) AS loose_label, arg_min(cohesion, g) AS loose_cohesion FROM coh WHERE cohesion < 0.4), depth AS (SELECT max(hops)::BIGINT AS depth FROM (SELECT min(hops) AS hops FROM lay GROUP BY id)),
     one AS (SELECT *, date_diff('second', last, TIMESTAMP '1999-01-01') / 86400.0::DOUBLE AS idle_days FROM sizes, conc, cyc, hid, tf, loose, newest, depth)"""
-LAY = ", lay AS (SELECT id, 0 AS hops FROM (SELECT path_id AS id FROM file7 WHERE path_id % 10 = 0 AND path_id IN (SELECT src FROM edge4)) UNION SELECT e.dst, hops + 1 FROM lay JOIN edge4 e ON e.src = lay.id WHERE hops < 30)"
+LAY = ", lay AS (SELECT id, 0 AS hops FROM (SELECT path_id AS id FROM file7 WHERE path_id % 10 = 0 AND path_id IN (SELECT src FROM edge4)) UNION SELECT e.dst, hops + 1 FROM lay JOIN edge4 e ON e.src = lay.id WHERE hops < (SELECT count(DISTINCT src) FROM edge4))"
 PASSPORT_SQL = "touch1 touch2 commit1 file7 edge4"
 # How subsystem counts, complexity and depth stand among other repositories: (value, percentile).
 CURVES = {"subsystems": [(1.0, 0.1), (10.0, 0.5), (100.0, 0.9)], "median_complexity": [(1.0, 0.1), (20.0, 0.5), (60.0, 0.9)], "depth": [(1.0, 0.1), (4.0, 0.5), (16.0, 0.9)]}
@@ -240,7 +240,7 @@ def _passport(spark, sf_dir):
     starts = files.where("path_id % 10 = 0").select(F.col("path_id").alias("id")).join(edges.select(F.col("src").alias("id")), "id", "left_semi")
     parts = [
         sizes, onboarding.doc_score(files), expertise.truck_factor(top, people).agg(F.count("*").alias("truck_factor")), agg_churn_conc(spark, sf_dir).withColumnRenamed("share", "churn_concentration"), orphan, loose,
-        graph.cycles(edges).agg(F.count("*").alias("cycle_count")), hidden(spark, sf_dir).agg(F.count("*").alias("hidden_count")), graph.bfs(edges, starts, 30).agg(F.max("hops").cast("long").alias("depth")),
+        cycles.count_cycles(edges), hidden(spark, sf_dir).agg(F.count("*").alias("hidden_count")), graph.bfs(edges, starts, None).agg(F.max("hops").cast("long").alias("depth")),
         commits.agg((F.timestamp_diff("SECOND", F.max("ts"), F.lit("1999-01-01").cast("timestamp_ntz")) / 86400.0).alias("idle_days")),
     ]
     one = parts[0]
