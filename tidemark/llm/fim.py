@@ -67,16 +67,19 @@ def choose(docs: DataFrame, fim: Fim, id_col: str, text_col: str) -> DataFrame:
 def offsets(rows: DataFrame, unit: str = CODE_POINT, run: int = RUN) -> DataFrame:
     """k1, k2, first_at, second_at: the code points before each cut, one row a key with a cut after its first unit.
 
-    Only the texts of runs with a cut travel; of the others their lengths do. Repeated rows become one
-    before they are shuffled.
+    Only the texts of runs with a cut travel; of the others their lengths do, as one array a text.
+    Repeated rows become one before they are shuffled.
     """
     tile = tiles(unit)
     cut = rows.where("second > 0")
-    in_run = lambda c: F.floor((c - 1) / run).cast("int")
-    found = F.posexplode(F.regexp_extract_all("text", F.lit(f"{tile}{{1,{run}}}+"), F.lit(0))).alias("run_no", "part")
-    runs = cut.select(*KEY, "first", "second", found).where(F.col("run_no") <= in_run(F.col("second")))
-    held = F.when((F.col("run_no") == in_run(F.col("second"))) | ((F.col("first") > 0) & (F.col("run_no") == in_run(F.col("first")))), F.col("part"))
-    runs = runs.select(*KEY, "run_no", count_units(F.col("part"), unit).cast("int").alias("units"), F.char_length("part").alias("chars"), held.alias("part")).distinct()
+    in_run = lambda c: F.floor((F.col(c) - 1) / run).cast("int")
+    parts = F.slice(F.regexp_extract_all("text", F.lit(f"{tile}{{1,{run}}}+"), F.lit(0)), F.lit(1), in_run("second") + 1)
+    sizes = F.transform("parts", lambda x: F.struct(count_units(x, unit).cast("int").alias("units"), F.char_length(x).alias("chars")))
+    held = F.struct(sizes.alias("sizes"), F.when(F.col("first") > 0, in_run("first")).alias("a"), F.get("parts", in_run("first")).alias("a_part"), in_run("second").alias("b"), F.get("parts", in_run("second")).alias("b_part"))
+    once = cut.withColumn("parts", parts).groupBy(*KEY).agg(F.max(held).alias("x"))
+    runs = once.select(*KEY, "x.a", "x.a_part", "x.b", "x.b_part", F.posexplode("x.sizes").alias("run_no", "size"))
+    part = F.when(F.col("run_no") == F.col("b"), F.col("b_part")).when(F.col("run_no") == F.col("a"), F.col("a_part"))
+    runs = runs.select(*KEY, "run_no", part.alias("part"), "size.units", "size.chars")
     earlier = Window.partitionBy(*KEY).orderBy("run_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = runs.select(
         *KEY, "part", "units", (F.sum("units").over(earlier) - F.col("units")).alias("units_before"), (F.sum("chars").over(earlier) - F.col("chars")).alias("chars_before")
@@ -99,10 +102,12 @@ def fill_in_middle(docs: DataFrame, fim: Fim = Fim(), id_col: str = "doc_id", te
     an empty input gives an empty result; other columns are ignored.
     """
     rows = choose(docs, fim, id_col, text_col)
-    both = rows.join(offsets(rows, fim.unit, run), KEY, "left")
     plain = F.col("form") == "plain"
+    # Only texts with cuts are shuffled.
+    both = rows.where(~plain).join(offsets(rows, fim.unit, run), KEY, "left")
     first, second = (F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("first_at", "second_at"))
-    both = both.select("row_id", "n", "form", "text", F.when(~plain, first).alias("a"), F.when(~plain, second).alias("b"))
+    none = F.lit(None).cast("int")
+    both = both.select("row_id", "n", "form", "text", first.alias("a"), second.alias("b")).unionByName(rows.where(plain).select("row_id", "n", "form", "text", none.alias("a"), none.alias("b")))
     text = F.col("text")
     prefix, middle, suffix = F.substring(text, F.lit(1), F.col("a")), F.substring(text, F.col("a") + 1, F.col("b") - F.col("a")), F.substring(text, F.col("b") + 1, F.char_length(text))
     output = (
