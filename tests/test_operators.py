@@ -98,6 +98,7 @@ TREE = {
     "requirements.txt": "Flask==2.0 # web\nrequests>=1\n-r other.txt\n",
     "pyproject.toml": '[project]\nname="p"\ndependencies=["numpy == 1.2", "pandas"]\n[project.scripts]\nrun="pkg.a:main"\n',
     "package-lock.json": '{"packages": {"": {"dependencies": {"a": "1"}}, "node_modules/a": {"version": "1.0.0"}, "node_modules/a/node_modules/b": {"version": "2.0.0"}}}',
+    "tsconfig.json": '{"compilerOptions": {"paths": {"@lib/*": ["lib/*"]}}}',
     "pom.xml": '<project xmlns="http://m"><properties><v>3.1</v></properties><dependencies><dependency><groupId>g</groupId><artifactId>x</artifactId><version>${v}</version></dependency></dependencies></project>',
 }
 
@@ -108,7 +109,7 @@ def tree(spark):
 
 
 def test_imports(tree):
-    got = {(r.src, r.dst) for r in code.import_edges(tree, (("@lib/", "lib/"),)).collect()}
+    got = {(r.src, r.dst) for r in code.import_edges(tree).collect()}
     assert got == {
         ("pkg/a.py", "pkg/b.py"), ("pkg/b.py", "pkg/__init__.py"), ("web/main.ts", "web/util/index.ts"), ("web/main.ts", "lib/core.ts"),
         ("src/com/ex/App.java", "src/com/ex/dep/One.java"), ("src/com/ex/App.java", "src/com/ex/dep/Two.java"),

@@ -61,6 +61,22 @@ BINDINGS = {
     "tree9": """SELECT p_partkey AS k, concat('m', CAST(p_partkey AS STRING), '/', CASE p_partkey % 4 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json' WHEN 2 THEN 'Procfile' ELSE 'README.md' END) AS path,
         CASE p_partkey % 4 WHEN 0 THEN concat('# pins', chr(10), 'Lib-', CAST(p_size AS STRING), '==1.', CAST(p_size AS STRING), chr(10), 'other', CAST(p_size % 5 AS STRING), '>=2', chr(10))
           WHEN 1 THEN concat('{{"name": "n', CAST(p_partkey AS STRING), '", "main": "index.js"}}') WHEN 2 THEN concat('web: python app', CAST(p_partkey AS STRING), '.py', chr(10)) ELSE concat('# Title', chr(10), 'text', chr(10)) END AS content FROM {part}""",
+    # Scripts below two configurations, the inner of which extends a third; what they import lies in two folders.
+    "tree12": """SELECT p_partkey AS k, p_size * 3 AS j, CASE p_partkey % 2 WHEN 0 THEN concat('apps/web/src/f', CAST(p_partkey AS STRING), '.ts') ELSE concat('apps/api/f', CAST(p_partkey AS STRING), '.ts') END AS path,
+        concat('import {{ a }} from ', chr(39), '@lib/m', CAST(p_size * 3 AS STRING), chr(39), chr(10), 'import react from ', chr(39), 'react', chr(39), chr(10), 'const b = import(', chr(39), '@lib/m', CAST(p_size * 3 + 1 AS STRING), chr(39), ')', chr(10)) AS content FROM {part}
+        UNION ALL SELECT p_partkey, 0, concat('shared/m', CAST(p_partkey AS STRING), '.ts'), 'export const a = 1' FROM {part}
+        UNION ALL SELECT p_partkey, 0, concat('apps/web/lib/m', CAST(p_partkey AS STRING), '/index.ts'), 'export const a = 2' FROM {part} WHERE p_partkey % 6 < 3
+        UNION ALL SELECT p_partkey, 0, 'tsconfig.json', '{{"compilerOptions": {{ // all
+ "baseUrl": ".", "paths": {{"@lib/*": ["shared/*",]}}, }} }}' FROM {part} WHERE p_partkey = 1
+        UNION ALL SELECT p_partkey, 0, 'apps/web/tsconfig.json', '{{"extends": "./conf/tsconfig.base", /* own */ "compilerOptions": {{"strict": true}}}}' FROM {part} WHERE p_partkey = 1
+        UNION ALL SELECT p_partkey, 0, 'apps/web/conf/tsconfig.base.json', '{{"compilerOptions": {{"paths": {{"@lib/*": ["../lib/*", "../../../shared/*"]}}}}}}' FROM {part} WHERE p_partkey = 1""",
+    # Three kinds of manifest; requirement files include a file that includes them again, and constraints.
+    "tree13": """SELECT p_partkey AS k, p_size AS s, CASE p_partkey % 5 WHEN 0 THEN concat('p', CAST(p_partkey AS STRING), '/requirements.txt') WHEN 1 THEN concat('p', CAST(p_partkey - 1 AS STRING), '/deps/base.txt')
+          WHEN 2 THEN concat('p', CAST(p_partkey - 2 AS STRING), '/deps/pins.txt') WHEN 3 THEN concat('p', CAST(p_partkey AS STRING), '/pyproject.toml') ELSE concat('p', CAST(p_partkey AS STRING), '/package-lock.json') END AS path,
+        CASE p_partkey % 5 WHEN 0 THEN concat('Lib-', CAST(p_size AS STRING), '==1.', CAST(p_size AS STRING), '  # own', chr(10), '-r deps/base.txt', chr(10), '-c ./deps/pins.txt', chr(10))
+          WHEN 1 THEN concat('shared', chr(10), 'other>=2', chr(10), '--requirement ../requirements.txt', chr(10)) WHEN 2 THEN concat('shared==3.', CAST(p_size AS STRING), chr(10), 'unused==1', chr(10))
+          WHEN 3 THEN concat('[tool.poetry.dependencies]', chr(10), 'python = "^3.9"', chr(10), 'alpha = "1.', CAST(p_size AS STRING), '"', chr(10), 'beta = "^2.0"', chr(10))
+          ELSE concat('{{"lockfileVersion": 3, "packages": {{"": {{"dependencies": {{"left": "1"}}}}, "node_modules/left": {{"version": "4.', CAST(p_size AS STRING), '"}}, "node_modules/left/node_modules/deep": {{"version": "5.0"}}}}}}') END AS content FROM {part}""",
     # A patch for each order: a file with two hunks, and one below an ignored folder.
     "patch10": """SELECT o_orderkey AS sha, concat('diff --git a/x b/x', chr(10), '--- a/src/f', CAST(o_custkey % 50 AS STRING), '.py', chr(10), '+++ b/src/f', CAST(o_custkey % 50 AS STRING), '.py', chr(10),
         '@@ -1,2 +', CAST(o_orderkey % 90 + 1 AS STRING), ',3 @@ def f():', chr(10), '+token = ', chr(39), 'ghp_', CAST(o_orderkey + 100000 AS STRING), 'abcdefghijklmnopqrstuvwxyzABCD', chr(39), chr(10), '-gone', chr(10), ' kept', chr(10), '+second', chr(10),

@@ -36,6 +36,25 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"^(.+)\.[^.]+$", "$1")
 
 
+def folder(path: Column) -> Column:
+    """The parent folder; '' at the top."""
+    seg = segments(path)
+    return F.array_join(F.slice(seg, F.lit(1), F.size(seg) - 1), "/")
+
+
+def ancestors(at: Column) -> Column:
+    """A folder and all above it, from '' down."""
+    seg = F.filter(segments(at), lambda s: s != "")
+    return F.transform(F.sequence(F.lit(0), F.size(seg)), lambda k: F.array_join(F.slice(seg, F.lit(1), k), "/"))
+
+
+def normal(path: Column) -> Column:
+    """A relative path without empty parts, '.' and '..'; '..' at the top stays."""
+    up = lambda kept: (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+    step = lambda kept, s: F.when(s.isin("", "."), kept).when((s == "..") & F.coalesce(up(kept), F.lit(False)), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(s)))
+    return F.array_join(F.aggregate(segments(path), F.array().cast("array<string>"), step), "/")
+
+
 def language(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(F.element_at(table, extension(path)), F.lit("other"))

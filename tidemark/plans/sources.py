@@ -36,6 +36,16 @@ def src_imports_js(spark, sf_dir):
     return _imports(spark, sf_dir, "javascript")
 
 
+@query(oracle("tree12", """, c AS (SELECT * FROM (VALUES ('', 1, 'shared/'), ('apps/web', 1, 'apps/web/lib/'), ('apps/web', 2, 'shared/')) AS c(folder, rank, target)),
+    f AS (SELECT path AS src, j, 'static' AS kind FROM tree12 WHERE j > 0 UNION ALL SELECT path, j + 1, 'dynamic' FROM tree12 WHERE j > 0),
+    deepest AS (SELECT f.*, arg_max(folder, length(folder)) OVER (PARTITION BY src, kind) AS near, folder, rank, target FROM f JOIN c ON folder = '' OR starts_with(src, folder || '/')),
+    tried AS (SELECT src, kind, rank, path AS dst FROM deepest JOIN tree12 ON path IN (target || 'm' || deepest.j || '.ts', target || 'm' || deepest.j || '/index.ts') WHERE folder = near)
+    SELECT src, arg_min(dst, rank) AS dst, kind FROM tried GROUP BY src, kind"""))
+def src_imports_alias(spark, sf_dir):
+    """Imports by name: each file by the aliases of the nearest configuration, one of which extends another."""
+    return code.import_edges(_tree(spark, sf_dir, "tree12")).select("src", "dst", "kind")
+
+
 @query(oracle("tree8", IMPORTS + "SELECT src, dst FROM imports WHERE language = 'java'"))
 def src_imports_java(spark, sf_dir):
     return _imports(spark, sf_dir, "java")
@@ -74,10 +84,17 @@ def src_manifests(spark, sf_dir):
     return found.select("path", "kind", F.when(F.col("kind") == "package_json", field("$.name")).when(F.col("kind") == "procfile", field("$.processes.web")).when(F.col("kind") == "readme", field("$.heading")).alias("detail"))
 
 
-@query(oracle("tree9", """, r AS (SELECT k, regexp_extract(content, 'Lib-([0-9]+)', 1) AS s, regexp_extract(content, 'other([0-9])', 1) AS o, path FROM tree9 WHERE k % 4 = 0)
-    SELECT path, 'PyPI' AS ecosystem, 'lib-' || s AS package, '1.' || s AS version, true AS is_direct FROM r UNION ALL SELECT path, 'PyPI', 'other' || o, NULL, true FROM r"""))
+@query(oracle("tree13", """, r AS (SELECT a.path, a.s, b.path AS base, c.s AS pin FROM tree13 a LEFT JOIN tree13 b ON b.k = a.k + 1 LEFT JOIN tree13 c ON c.k = a.k + 2 WHERE a.k % 5 = 0)
+    SELECT path, 'PyPI' AS ecosystem, 'lib-' || s AS package, '1.' || s AS version, true AS is_direct, path AS declared_in FROM r
+    UNION ALL SELECT path, 'PyPI', 'shared', '3.' || pin, true, base FROM r WHERE base IS NOT NULL
+    UNION ALL SELECT path, 'PyPI', 'other', NULL, true, base FROM r WHERE base IS NOT NULL
+    UNION ALL SELECT path, 'PyPI', 'alpha', '1.' || s, true, path FROM tree13 WHERE k % 5 = 3
+    UNION ALL SELECT path, 'PyPI', 'beta', NULL, true, path FROM tree13 WHERE k % 5 = 3
+    UNION ALL SELECT path, 'npm', 'left', '4.' || s, true, path FROM tree13 WHERE k % 5 = 4
+    UNION ALL SELECT path, 'npm', 'deep', '5.0', false, path FROM tree13 WHERE k % 5 = 4"""))
 def src_declared_deps(spark, sf_dir):
-    return code.declared_dependencies(_tree(spark, sf_dir, "tree9"))
+    """Requirement files with what they include, Poetry tables, lock files."""
+    return code.declared_dependencies(_tree(spark, sf_dir, "tree13"))
 
 
 @query(oracle("tree8", IMPORTS + "SELECT src AS path, count(*) AS imports FROM imports WHERE src NOT IN (SELECT dst FROM imports) GROUP BY 1"))

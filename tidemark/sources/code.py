@@ -13,9 +13,12 @@ import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import saved
+from tidemark.sources import aliases, requirements
+
 BRANCHES = {
     "python": r"\b(?:if|elif|for|while|except|and|or|assert|case)\b|\bif\b",
     "other": r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.?:])",
@@ -57,20 +60,38 @@ def python_candidates(path: str, text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def js_candidates(path: str, text: str, aliases: tuple[tuple[str, str], ...] = ()) -> list[tuple[int, int, str]]:
+def js_specifiers(path: str, text: str) -> list[tuple[int, str, str, bool]]:
+    """(import number, kind, path or name, whether it is a name): relative paths from the tree's top, without the ending that may be missing."""
     out = []
     for n, m in enumerate(JS_IMPORT.finditer(text)):
-        spec = next(x for x in m.groups() if x)
-        base = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec)) if spec.startswith(".") else next((to + spec[len(a) :] for a, to in aliases if spec.startswith(a)), None)
-        if base is None:
-            continue
-        tried = [base, *[base + e for e in JS_ENDINGS], *[f"{base}/index{e}" for e in JS_ENDINGS]]
-        if base.endswith((".js", ".jsx", ".mjs")):
-            tried += [re.sub(r"\.m?jsx?$", e, base) for e in (".ts", ".tsx", ".mts")]
-        out += [(n, i, p) for i, p in enumerate(tried)]
+        spec, kind = next(x for x in m.groups() if x), "dynamic" if m[3] else "static"
+        if spec.startswith("."):
+            out.append((n, kind, posixpath.normpath(posixpath.join(posixpath.dirname(path), spec)), False))
+        elif spec.startswith("/"):
+            out.append((n, kind, posixpath.normpath(spec.lstrip("/")), False))
+        else:
+            out.append((n, kind, spec, True))
     return out
 
 
+def js_tried(base: Column) -> Column:
+    """The files that a path without its ending may name, the first that exists counts."""
+    ends = F.array(*[F.lit(e) for e in ["", *JS_ENDINGS, *[f"/index{e}" for e in JS_ENDINGS]]])
+    swaps = F.when(base.rlike(r"\.(m?js|jsx)$"), F.transform(F.array(*[F.lit(e) for e in (".ts", ".tsx", ".mts")]), lambda e: F.concat(F.regexp_replace(base, r"\.m?jsx?$", ""), e)))
+    return F.concat(F.transform(ends, lambda e: F.concat(base, e)), F.coalesce(swaps, F.array().cast("array<string>")))
+
+
+def script_imports(tree: DataFrame) -> DataFrame:
+    """(src, import_no, kind, priority, target): relative imports, and names by the aliases of the nearest configuration."""
+    scripts = tree.where(F.lower("path").rlike(r"\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$"))
+    found = parsed(scripts, js_specifiers, ["import_no", "kind", "spec", "is_name"], "import_no int, kind string, spec string, is_name boolean").withColumnRenamed("path", "src")
+    configs = aliases.configurations(parsed(tree.where(F.col("path").rlike(r"(^|/)(ts|js)config[^/]*\.json$")), aliases.config_of, ["extends", "base", "paths"], "extends string, base string, paths string"))
+    named = aliases.aliased(found.where("is_name"), configs).select("src", "import_no", "kind", "base", "rank")
+    both = found.where("not is_name").select("src", "import_no", "kind", F.col("spec").alias("base"), F.lit(0).alias("rank")).unionByName(named)
+    each = both.select("src", "import_no", "kind", "rank", F.posexplode(js_tried(F.col("base"))).alias("no", "target"))
+    return each.select("src", "import_no", "kind", (F.col("rank") * 100 + F.col("no")).alias("priority"), "target")
+
+
 def java_candidates(text: str) -> list[tuple[int, int, str]]:
     """Class imports as path endings; a wildcard as its folder with '/*'."""
     out = []
@@ -80,46 +101,42 @@ def java_candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def import_candidates(tree: DataFrame, aliases: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """tree (path, content) -> src, language, import_no, priority, target."""
+def import_candidates(tree: DataFrame) -> DataFrame:
+    """tree (path, content) -> src, language, import_no, kind, priority, target."""
 
     def parse(batches):
         for pdf in batches:
             out = []
             for path, text in zip(pdf["path"], pdf["content"].fillna(""), strict=True):
-                if path.endswith(".py"):
-                    lang, found = "python", python_candidates(path, text)
-                elif path.endswith((".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts")):
-                    lang, found = "javascript", js_candidates(path, text, aliases)
-                elif path.endswith(".java"):
-                    lang, found = "java", java_candidates(text)
-                else:
-                    continue
+                lang, found = ("python", python_candidates(path, text)) if path.endswith(".py") else ("java", java_candidates(text))
                 out += [(path, lang, n, i, t) for n, i, t in found]
             yield pd.DataFrame(out, columns=["src", "language", "import_no", "priority", "target"])
 
-    return tree.select("path", "content").mapInPandas(parse, "src string, language string, import_no int, priority int, target string")
+    others = tree.where(F.col("path").rlike(r"\.(py|java)$")).select("path", "content").mapInPandas(parse, "src string, language string, import_no int, priority int, target string")
+    return others.withColumn("kind", F.lit("static")).unionByName(script_imports(tree).withColumn("language", F.lit("javascript")))
 
 
-def import_edges(tree: DataFrame, aliases: tuple[tuple[str, str], ...] = (), wildcard: int = 50) -> DataFrame:
-    """(src, dst, language) once each, without edges to the file itself; what is not in the tree is dropped.
+def import_edges(tree: DataFrame, wildcard: int = 50) -> DataFrame:
+    """(src, dst, language, kind) once each, without edges to the file itself; what is not in the tree is dropped.
 
-    Java classes are found by any ending of a path at a folder's edge; a wildcard reaches the first
-    `wildcard` files of its folder in order.
+    kind (static or dynamic) is that of the first import of dst in src. Java classes are found by any
+    ending of a path at a folder's edge; a wildcard reaches the first `wildcard` files of its folder in
+    order.
     """
-    found = import_candidates(tree, aliases)
+    found = import_candidates(tree)
     here = tree.select(F.col("path").alias("dst"))
     exact = found.where("language <> 'java'").join(here.withColumn("target", F.col("dst")), "target")
-    best = exact.groupBy("src", "language", "import_no").agg(F.min_by("dst", "priority").alias("dst"))
+    best = exact.groupBy("src", "language", "import_no", "kind").agg(F.min_by("dst", "priority").alias("dst"))
     parts = F.split("dst", "/")
     java = here.where(F.col("dst").endswith(".java"))
     ends = java.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))).alias("target"))
-    classes = found.where("language = 'java' and not endswith(target, '/*')").join(ends, "target").groupBy("src", "language", "import_no").agg(F.min("dst").alias("dst"))
+    classes = found.where("language = 'java' and not endswith(target, '/*')").join(ends, "target").groupBy("src", "language", "import_no", "kind").agg(F.min("dst").alias("dst"))
     folders = ends.select("dst", F.concat(F.regexp_replace("target", "/[^/]*$", ""), F.lit("/*")).alias("target")).where("target <> '/*' and contains(target, '/')").distinct()
     w = Window.partitionBy("src", "import_no").orderBy("dst")
-    wild = found.where("endswith(target, '/*')").join(folders, "target").withColumn("r", F.row_number().over(w)).where(F.col("r") <= wildcard)
-    rows = best.select("src", "dst", "language").unionByName(classes.select("src", "dst", "language")).unionByName(wild.select("src", "dst", "language"))
-    return rows.where("src <> dst").dropDuplicates(["src", "dst"])
+    wild = found.where("language = 'java' and endswith(target, '/*')").join(folders, "target").withColumn("r", F.row_number().over(w)).where(F.col("r") <= wildcard)
+    own = ["src", "dst", "language", "import_no", "kind"]
+    rows = best.select(*own).unionByName(classes.select(*own)).unionByName(wild.select(*own))
+    return rows.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("import_no", "language", "kind")).alias("x")).select("src", "dst", "x.language", "x.kind")
 
 
 JS_SYMBOL = re.compile(r"^(\s*)(export\s+(?:default\s+)?)?(?:abstract\s+|async\s+|declare\s+)*(class|function|interface|type|enum|const)\s+([A-Za-z_$][\w$]*)", re.M)
@@ -195,18 +212,33 @@ def complexity(tree: DataFrame) -> DataFrame:
 
 
 PINNED = re.compile(r"^([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*(?:==\s*([A-Za-z0-9.!+_-]+))?")
+EXACT = re.compile(r"^={0,3}\s*(\d[\w.+!-]*)$")
+
+
+def poetry_of(table: dict) -> list[tuple[str, str | None]]:
+    """(package, version if pinned) of a Poetry table: a bare number pins, a caret, tilde, range or source does not; python itself is none."""
+    out = []
+    for name, spec in table.items():
+        wanted = spec.get("version") if isinstance(spec, dict) else spec
+        pin = EXACT.match(wanted.strip()) if isinstance(wanted, str) else None
+        if name.lower() != "python":
+            out.append((name.lower(), pin[1] if pin else None))
+    return out
 
 
 def declared_of(path: str, text: str) -> list[tuple[str, str, str | None, bool]]:
-    """(ecosystem, package, version if pinned, is_direct); a manifest that does not parse declares nothing."""
+    """(ecosystem, package, version if pinned, is_direct); a manifest that does not parse declares nothing.
+
+    Requirement files are read by `requirements`, as they include others.
+    """
     name = posixpath.basename(path)
     try:
-        if re.fullmatch(r"requirements.*\.txt", name):
-            lines = [s.split(" #")[0].split(";")[0].strip() for s in text.splitlines()]
-            return [("PyPI", m[1].lower(), m[2], True) for s in lines if s and s[0] not in "#-" and (m := PINNED.match(s))]
         if name == "pyproject.toml":
-            found = tomllib.loads(text).get("project", {}).get("dependencies", [])
-            return [("PyPI", m[1].lower(), m[2], True) for s in found if (m := PINNED.match(s.replace(" ", "")))]
+            data = tomllib.loads(text)
+            rows = [("PyPI", m[1].lower(), m[2], True) for s in data.get("project", {}).get("dependencies", []) if (m := PINNED.match(s.split(";")[0].replace(" ", "")))]
+            poetry = data.get("tool", {}).get("poetry", {})
+            tables = [poetry.get("dependencies", {}), poetry.get("dev-dependencies", {}), *(g.get("dependencies", {}) for g in poetry.get("group", {}).values())]
+            return rows + [("PyPI", n, v, True) for t in tables for n, v in poetry_of(t)]
         if name == "package-lock.json":
             lock = json.loads(text)
             if "packages" in lock:  # versions 2 and 3
@@ -241,7 +273,12 @@ def declared_of(path: str, text: str) -> list[tuple[str, str, str | None, bool]]
 
 
 def declared_dependencies(tree: DataFrame) -> DataFrame:
-    return parsed(tree, declared_of, ["ecosystem", "package", "version", "is_direct"], "ecosystem string, package string, version string, is_direct boolean")
+    """(path, ecosystem, package, version, is_direct, declared_in) of every manifest; declared_in differs from path where a requirement file includes another."""
+    others = parsed(tree.where(~F.col("path").endswith(".txt")), declared_of, ["ecosystem", "package", "version", "is_direct"], "ecosystem string, package string, version string, is_direct boolean")
+    lines = saved(parsed(tree.where(F.col("path").endswith(".txt")), requirements.lines_of, ["line", "kind", "name", "version"], "line int, kind string, name string, version string"))
+    roots = tree.where(F.col("path").rlike(r"(^|/)requirements[^/]*\.txt$")).select("path")
+    pip = requirements.required(lines, roots)
+    return others.withColumn("declared_in", F.col("path")).unionByName(pip.select("path", F.lit("PyPI").alias("ecosystem"), "package", "version", F.lit(True).alias("is_direct"), "declared_in"))
 
 
 def unique_dependencies(declared: DataFrame) -> DataFrame:
