@@ -1,5 +1,7 @@
 """The toxicity classifier looks at all letters of a text."""
 
+import itertools
+import math
 import random
 
 import pytest
@@ -29,7 +31,7 @@ def clean_run(letters, seed=2):
 
 
 @pytest.mark.parametrize("insult", INSULTS)
-@pytest.mark.parametrize("letters", [70, 500, 5000])
+@pytest.mark.parametrize("letters", [500, 5000, 200_000])
 def test_an_insult_at_the_end_of_a_long_token_is_seen(scorer, letters, insult):
     run = clean_run(letters)
     clean, toxic = scorer.score([run, run + insult])
@@ -44,19 +46,79 @@ def test_an_insult_among_joined_words_is_seen(scorer, joint):
     assert clean < 0.5 <= toxic
 
 
-@pytest.mark.parametrize("before", [28, 30, 60])
-def test_an_insult_spelled_across_a_step_of_letters_is_seen(scorer, before):
-    run = clean_run(before)
-    clean, toxic = scorer.score([" ".join(run + run[:7]), " ".join(run + INSULTS[0])])
-    assert clean < 0.5 <= toxic
-
-
-def test_every_part_as_long_as_a_landmark_lies_in_a_window():
-    marks = toxicity.Landmarks(["abc", "abcdefg", "abcdefghijk"])
-    word = "".join(chr(0x4E00 + i) for i in range(333))
-    found = list(marks.windows(word))
-    assert all(any(word[a : a + 11] in w for w in found) for a in range(333 - 10))
-    assert set(marks.windows("ab")) == {"ab"}
+@pytest.mark.parametrize("insult", INSULTS)
+def test_an_insult_is_seen_behind_any_number_of_letters(scorer, insult):
+    """Behind them, before them, and spelled letter by letter; the same letters without it are clean."""
+    for n in range(1, 71):
+        run, rest = clean_run(n, n), clean_run(9, n + 100)
+        clean = scorer.score([run + rest, " ".join(run + rest)])
+        toxic = scorer.score([run + insult, run + insult + rest, insult + run, " ".join(run + insult), " ".join(run + insult + rest)])
+        assert (clean < 0.5).all() and (toxic >= 0.5).all(), n
+
+
+def test_windows_lack_at_most_one_kind_of_letter():
+    words = ["grobnak", "xxgrobnakyy", "meadowgrobnka", "g", "robnakgro", "\u4e00" * 20 + "grobnek", "grob-nak", "ggrroobbnnaakk"]
+    marks = toxicity.Landmarks(["grobnak", "scum", "abc"])
+    want = set()
+    for i, w in enumerate(words):
+        for mark in ("grobnak", "scum"):
+            for n in (len(mark), len(mark) + 1):
+                if n < len(w):
+                    want |= {(i, w[a : a + n]) for a in range(len(w) - n + 1) if len(set(mark) - set(w[a : a + n])) <= 1}
+    assert set(marks.windows(words)) == want
+
+
+def plain_score(model, text):
+    """The score by plain loops: a word at a time, every window, no caches."""
+    marks = toxicity.Landmarks(model.landmarks)
+    near = [w for w, b in zip(model.landmarks, model.beta) if b > 0 and len(w) > toxicity.ORDER]
+
+    def value(word):
+        parts = {word}
+        for mark in near:
+            for n in (len(mark), len(mark) + 1):
+                parts |= {word[a : a + n] for a in range(len(word) - n + 1) if n < len(word) and len(set(mark) - set(word[a : a + n])) <= 1}
+        return max(float(marks.likeness([p])[0] @ model.beta) for p in parts)
+
+    tokens = (text or "").split()
+    words = [toxicity.normal(t) for t in tokens]
+    values = [value(w) for w in words]
+    if sum(len(w) == 1 for w in words) >= 4:
+        for lone, own in itertools.groupby(range(len(words)), lambda i: len(words[i]) == 1):
+            own = list(own)
+            if lone and len(own) >= 4:
+                values[own[0]] += value("".join(words[i] for i in own))
+    sentences, at = [], []
+    for i, t in enumerate(tokens):
+        at.append(i)
+        if t[-1] in ".!?" or len(at) == toxicity.LONGEST:
+            sentences.append(at)
+            at = []
+    sentences += [at] if at else []
+    margins = [sum(values[i] for i in own) + model.bias for own in sentences] or [model.bias]
+    flagged = sum(m > 0 for m in margins) if tokens else 0
+    n = max(len(tokens), 1)
+    x = [max(margins), math.log1p(flagged), flagged / len(margins), sum(max(v + model.bias, 0) for v in values) / n, math.log1p(len(tokens))]
+    z = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.logit)) + model.logit[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_are_those_of_plain_loops(scorer):
+    r = random.Random(9)
+    texts = [None, "", clean_run(30) + INSULTS[1], " ".join(clean_run(9)), "a b c d e. f g h i " + " ".join(INSULTS[2])]
+    texts += ["".join(r.choice([*CLEAN, *INSULTS, "x"]) + r.choice([" ", " ", "-", ". ", "! "]) for _ in range(r.randrange(1, 90))) for _ in range(60)]
+    assert scorer.score(texts) == pytest.approx([plain_score(scorer.model, t) for t in texts], abs=1e-4)
+
+
+def test_a_scorer_forgets(scorer):
+    """Whatever the texts: no more than `most` and one batch of tokens are kept."""
+    small = toxicity.Scorer(scorer.model, most=500)
+    texts = [" ".join(f"{w}{i}{n}" for w in CLEAN) for i in range(30) for n in range(4)] + [" ".join(f"lake{i}" for i in range(3000)) + " " + INSULTS[0]]
+    found = []
+    for _ in small.looked_up(texts, batch=200):
+        found.append(len(small.known))
+    assert max(found) <= 700
+    assert small.score(texts) == pytest.approx(scorer.score(texts), abs=1e-5)
 
 
 def test_texts_without_words(scorer):

@@ -48,6 +48,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df lacks, in any case of letters: each as asked for, or with a number behind it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        found = next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 def folder(spark: SparkSession, path: str) -> tuple:
     """The file system of a path, and the path, as Spark has them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

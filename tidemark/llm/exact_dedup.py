@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, documents, folder, free, shared_dir, stage
+from .common import BLANKS, documents, folder, free, fresh, shared_dir, stage
 
 
 def digest(text: Column) -> Column:
@@ -106,10 +106,11 @@ def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     rows, groups = match(docs, index, id_col, text_col, batch)
     free(rows)
-    keep = groups.where("is_new").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__n"))
-    found = docs.withColumn("__digest", digest(F.col(text_col))).join(keep, "__digest").where(F.col(id_col).eqNullSafe(F.col("__keep")))
-    once = found.where("__n = 1")
-    repeated = found.where("__n > 1").dropDuplicates(["__digest"])
+    own, first, n = fresh(docs, "digest", "keep_id", "keep_rows")
+    keep = groups.where("is_new").select(F.col("digest").alias(own), F.col("keep_id").alias(first), F.col("keep_rows").alias(n))
+    found = docs.withColumn(own, digest(F.col(text_col))).join(keep, own).where(F.col(id_col).eqNullSafe(F.col(first)))
+    once = found.where(F.col(n) == 1)
+    repeated = found.where(F.col(n) > 1).dropDuplicates([own])
     return once.unionByName(repeated).select(*docs.columns)
 
 

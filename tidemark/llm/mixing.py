@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prefix_sums, stage
+from .common import documents, fresh, prefix_sums, stage
 
 #: Exponents tried in one job: four halvings of the interval at a time.
 STEPS = 16
@@ -88,17 +88,40 @@ def weights(rows: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs with a column that tells rows of one id apart, and its name.
+
+    Where every row has an id of its own it is 0; else docs are written once with a number for each row,
+    so that all that is derived from them agrees.
+    """
+    (no,) = fresh(docs, "no")
+    repeated = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    if repeated.isEmpty():
+        return docs.withColumn(no, F.lit(0).cast("long")), no
+    return stage(docs.withColumn(no, F.monotonically_increasing_id()), "mix-numbered"), no
+
+
+def row_key(id_col: str, no: str) -> Column:
+    """What a row's place in a permutation is drawn from."""
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(no))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, no: str) -> DataFrame:
+    key = row_key(id_col, no).alias("key")
+    return stage(docs.select(F.col(id_col).alias("row_id"), source_name(F.col(source_col)).alias("src"), estimated_tokens(F.col(text_col)).alias("tokens"), key), "mix-rows")
+
+
 def plan_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(placed, weights). placed: row_id, src, tokens, pass, start, block for every use of a document.
 
     A document's first use is in pass 0. A source's last pass takes the documents whose start in that
     pass's permutation lies before the rest of the budget. start counts the source's tokens before it.
-    Null sources form the source "(none)"; null ids are permuted among themselves; repeated rows are
-    rows of their own; an empty input gives empty tables. All passes are placed in one job, and the
-    rows of the result are all that grows with their number.
+    Null sources form the source "(none)"; rows that repeat an id, or have none, are documents of their
+    own with places of their own; an empty input gives empty tables. All passes are placed in one job,
+    and the rows of the result are all that grows with their number.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = stage(docs.select(F.col(id_col).alias("row_id"), source_name(F.col(source_col)).alias("src"), estimated_tokens(F.col(text_col)).alias("tokens"), key.alias("key")), "mix-rows")
+    own, no = numbered(docs, id_col)
+    rows = sized(own, id_col, text_col, source_col, no)
     found = stage(weights(rows, mix), "mix-weights")
     passes = F.ceil(F.col("budget") / F.col("src_tokens")).cast("int")
     each = found.select("src", "src_tokens", "budget", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"))
@@ -110,21 +133,24 @@ def plan_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, with all their columns: each once, and again for each further pass.
+    """The documents of the mix that plan_mix plans, with all their columns: each once, and again for each further pass.
 
     How often a document is used is decided row by row: the last pass of a source takes the documents
-    whose hash lies below that source's cut, so the texts themselves are never shuffled.
+    up to that source's cut, a hash and the row's key, so the texts themselves are not shuffled where
+    Spark broadcasts the plan, one row a source, by its own limit of size; beyond that it deals both
+    sides by source and splits the hot ones.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = stage(docs.select(F.col(id_col).alias("row_id"), source_name(F.col(source_col)).alias("src"), estimated_tokens(F.col(text_col)).alias("tokens"), key.alias("key")), "mix-rows")
+    own, no = numbered(docs, id_col)
+    rows = sized(own, id_col, text_col, source_col, no)
     found = stage(weights(rows, mix).withColumn("full", F.floor(F.col("budget") / F.col("src_tokens")).cast("int")), "mix-weights")
     last = rows.join(found.select("src", "full", (F.col("budget") - F.col("full") * F.col("src_tokens")).alias("rest")), "src")
     last = stage(last.select("src", "tokens", "key", "rest", F.xxhash64(F.lit(mix.seed), "full", "key").alias("h")), "mix-last")
-    cuts = prefix_sums(last, ["src"], "h", ["key", "tokens"], "tokens").where("before < rest").groupBy("src").agg(F.max("h").alias("cut"))
-    plan = stage(found.join(cuts, "src", "left").select(F.col("src").alias("__src"), F.col("full").alias("__full"), F.col("cut").alias("__cut")), "mix-plan")
-    h = F.xxhash64(F.lit(mix.seed), F.col("__full"), key)
-    times = F.col("__full") + F.when(h <= F.col("__cut"), 1).otherwise(0)
-    return docs.withColumn("__src", source_name(F.col(source_col))).join(plan, "__src").withColumn("__use", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    cuts = prefix_sums(last, ["src"], "h", ["key", "tokens"], "tokens").where("before < rest").groupBy("src").agg(F.max(F.struct("h", "key")).alias("cut"))
+    src, full, cut, use = fresh(own, "src", "full", "cut", "use")
+    plan = stage(found.join(cuts, "src", "left").select(F.col("src").alias(src), F.col("full").alias(full), F.col("cut").alias(cut)), "mix-plan")
+    place = F.struct(F.xxhash64(F.lit(mix.seed), F.col(full), row_key(id_col, no)).alias("h"), row_key(id_col, no).alias("key"))
+    times = F.col(full) + F.when(place <= F.col(cut), 1).otherwise(0)
+    return own.withColumn(src, source_name(F.col(source_col))).join(plan, src).withColumn(use, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

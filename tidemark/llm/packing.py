@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id
     A document's ids are those of its whole text followed by end_id, so that null and empty texts
     give one id; every id is in one piece. Null ids are kept; repeated rows are documents of their
     own; texts of any length are cut into full sequences, dealt apart; an empty input gives an empty
-    result; other columns are ignored. group_bytes bounds the text of a group, and so its ids.
+    result; other columns are ignored. group_bytes is the mean text of a group, and so bounds its ids:
+    pieces are dealt by a hash, and rows that repeat an id and a text by how often a task has met them.
     """
     texts = docs.select(F.col(id_col).cast("string").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
@@ -82,21 +84,26 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id
 
     def encode(batches):
         enc = encoder(path)
+        # How often this task has met a row: repeated rows are dealt apart. Equal rows are interchangeable, so
+        # a task that is run again gives the same pieces whatever the order of its rows.
+        met: Counter[tuple] = Counter()
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 out = []
                 for rid, text in zip(part["row_id"], part["text"], strict=True):
                     ids = np.append(enc.encode(text), enc.dtype.type(end_id))
+                    row = rid, zlib.crc32(ids.tobytes())
+                    met[row] += 1
                     for no, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         # A full piece needs no partner: only its checksum travels.
                         data = own.tobytes() if len(own) < capacity else zlib.crc32(own.astype("<u4")).to_bytes(4, "little")
-                        out.append((rid, no, start, len(ids), data, len(own)))
-                yield pd.DataFrame(out, columns=["row_id", "no", "start", "doc_tokens", "ids", "length"])
+                        out.append((rid, met[row], no, start, len(ids), data, len(own)))
+                yield pd.DataFrame(out, columns=["row_id", "copy", "no", "start", "doc_tokens", "ids", "length"])
 
-    pieces = texts.mapInPandas(encode, "row_id string, no int, start long, doc_tokens long, ids binary, length long")
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("row_id", "no", F.crc32("ids")), F.lit(groups)).cast("int"))
+    pieces = texts.mapInPandas(encode, "row_id string, copy long, no int, start long, doc_tokens long, ids binary, length long")
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("row_id", "copy", "no", F.crc32("ids")), F.lit(groups)).cast("int"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row_id", "no", "doc_tokens"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, fresh, stage
 
 
 @dataclass(frozen=True)
@@ -160,14 +160,15 @@ def scan(docs: DataFrame, rules=RULES, text_col: str = "text", name: str = "foun
 
     Null texts count as empty and have no spans; whole texts are searched, whatever their length;
     repeated rows and equal texts share a posting and are each reported; an empty input gives an
-    empty result; all columns are kept.
+    empty result; all columns are kept, but for one that bears the result's name.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     always = {k for k, q in queries.items() if q == ANY}
     indexed = {k: q for k, q in queries.items() if k not in always}
     trigrams = sorted({t for q in indexed.values() for c in q for t in c})
     found = stage(candidates(build_index(docs, trigrams, text_col), indexed), "secret-candidates")
-    found = found.select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
+    key, kinds = fresh(docs, "key", "kinds")
+    found = found.select(F.col("key").alias(key), F.col("kinds").alias(kinds))
 
     @F.pandas_udf("array<struct<kind:string,start:int,stop:int>>")
     def verify(texts: pd.Series, kinds: pd.Series) -> pd.Series:
@@ -179,9 +180,9 @@ def scan(docs: DataFrame, rules=RULES, text_col: str = "text", name: str = "foun
 
     # Null texts have no posting; they are spread by their other columns, so that they share no task.
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    keyed = docs.withColumn("__key", F.when(F.col(text_col).isNull(), F.xxhash64(*plain)).otherwise(F.xxhash64(F.col(text_col))))
-    joined = keyed.join(found.hint("shuffle_hash"), "__key", "left")
-    return joined.withColumn(name, verify(F.col(text_col), F.col("__kinds"))).select(*[c for c in docs.columns if c != name], name)
+    keyed = docs.withColumn(key, F.when(F.col(text_col).isNull(), F.xxhash64(*plain)).otherwise(F.xxhash64(F.col(text_col))))
+    joined = keyed.join(found.hint("shuffle_hash"), key, "left")
+    return joined.withColumn(name, verify(F.col(text_col), F.col(kinds))).select(*[c for c in docs.columns if c != name], name)
 
 
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

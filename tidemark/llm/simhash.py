@@ -537,8 +537,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay, as no id can name them the copy of another.
     """
     classes = similar_classes(docs, id_col, text_col, words, similarity)
-    gone = classes.where("row_id <> component_id").select(F.col("row_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = classes.where("row_id <> component_id").select(F.col("row_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4
 #: Letters: 1-26, others share OTHER codes; 0 is the start of a word.
 OTHER = 9
 ALPHABET = 27 + OTHER
-#: Words of more letters than WHOLE, and spelled runs of more than SPELLED, are looked at in windows.
-WHOLE, SPELLED = 64, 32
+#: Letters of words that are compared at once.
+PIECE = 1 << 16
 #: A sentence ends at . ! ? or after so many words.
 LONGEST = 40
 #: Marks around words, none of which is a letter.
@@ -106,10 +106,22 @@ def subsequences(words: list[str]):
 
 @dataclass
 class Landmarks:
+    """near: the landmarks that windows are looked for (None: all)."""
+
     words: list[str]
+    near: list[str] | None = None
     table: np.ndarray = field(init=False)  # (features, landmarks)
+    masks: dict[int, set[int]] = field(init=False)  # by length of window: the letters of landmarks
+    longest: int = field(init=False)
 
     def __post_init__(self):
+        own = [w for w in (self.words if self.near is None else self.near) if len(w) > ORDER]
+        self.longest = max(map(len, own), default=ORDER) + 1
+        self.masks = {}
+        for w in own:
+            mask = np.bitwise_or.reduce(np.left_shift(1, _codes([w])[0, 1:]))
+            for n in (len(w), len(w) + 1):
+                self.masks.setdefault(n, set()).add(mask)
         self.table = np.zeros((ALPHABET**ORDER, len(self.words)), np.float32)
         for rows, feats, weight, norm in subsequences(self.words):
             for i, f, n in zip(rows, feats, norm, strict=True):
@@ -124,35 +136,53 @@ class Landmarks:
                 out[rows[a : a + 512]] = (k / norm[a : a + 512, None]) ** POWER
         return out
 
-    def windows(self, word: str):
-        """Windows over all letters of a long word, of each length that landmarks have and one letter more.
+    def windows(self, words: list[str]) -> Iterator[tuple[int, str]]:
+        """(number of the word, part): the parts of words that may be near a landmark, of its length or one letter more.
 
-        Any part as long as some landmark lies whole in one; a longer window would dilute it.
+        Every letter of a word starts one; it counts where it lacks at most one kind of the landmark's
+        letters, which two comparisons of bit sets tell for all words of one length at once.
         """
-        for n in sorted({*map(len, self.words)}):
-            yield from (word[a : a + n + 1] for a in range(0, max(len(word) - n + 1, 1), 2))
-
-    def over_windows(self, words: list[str], reduce, rows: int = 16384):
-        """Yields (word, reduce(likeness)) for batches of the windows of each word, so memory stays bounded."""
-        for w in words:
-            for own in itertools.batched(self.windows(w), rows):
-                yield w, reduce(self.likeness(list(dict.fromkeys(own))))
+        by: dict[int, list[tuple[int, str]]] = {}
+        for i, w in enumerate(words):
+            for a in range(0, len(w), PIECE):
+                own = w[a : a + PIECE + self.longest]
+                by.setdefault(len(own), []).append((i, own))
+        for size, own in by.items():
+            step = max(1, PIECE // size)
+            for a in range(0, len(own), step):
+                part = own[a : a + step]
+                bits = np.left_shift(1, _codes([w for _, w in part])[:, 1:])
+                for n, masks in self.masks.items():
+                    if n >= size:
+                        continue
+                    held = bits[:, : size - n + 1].copy()
+                    for j in range(1, n):
+                        held |= bits[:, j : size - n + 1 + j]
+                    near = np.zeros(held.shape, bool)
+                    for mask in masks:
+                        near |= np.bitwise_count(mask & ~held) <= 1
+                    for r, c in np.argwhere(near):
+                        yield part[r][0], part[r][1][c : c + n]
+
+    def over_windows(self, words: list[str], reduce) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of a word, reduce(likeness) of one of its windows); each distinct window of a batch is evaluated once."""
+        for batch in itertools.batched(self.windows(words), 1 << 14):
+            known = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in batch))}
+            got = reduce(self.likeness(list(known)))
+            yield from ((i, got[known[p]]) for i, p in batch)
 
     def best_likeness(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks): for long words, the best likeness over their windows."""
-        out, at = np.zeros((len(words), len(self.words)), np.float32), {w: i for i, w in enumerate(words)}
-        short = [w for w in at if len(w) <= WHOLE]
-        out[[at[w] for w in short]] = self.likeness(short)
-        for w, best in self.over_windows([w for w in at if len(w) > WHOLE], lambda x: x.max(0)):
-            out[at[w]] = np.maximum(out[at[w]], best)
+        """(words, landmarks): the best likeness of each word or of its windows."""
+        out = self.likeness(words)
+        for i, like in self.over_windows(words, lambda x: x):
+            np.maximum(out[i], like, out=out[i])
         return out
 
-    def values(self, words: list[str], beta: np.ndarray, whole: int = WHOLE) -> dict[str, float]:
-        """The value of each distinct word; of a long one, the best value of its windows."""
-        short = [w for w in words if len(w) <= whole]
-        out = dict(zip(short, self.likeness(short) @ beta, strict=True))
-        for w, best in self.over_windows([w for w in words if len(w) > whole], lambda x: float((x @ beta).max())):
-            out[w] = max(out.get(w, best), best)
+    def values(self, words: list[str], beta: np.ndarray) -> np.ndarray:
+        """The value of each word: its own, or that of its best window where that is more."""
+        out = self.likeness(words) @ beta
+        for i, value in self.over_windows(words, lambda x: x @ beta):
+            out[i] = max(out[i], value)
         return out
 
 
@@ -174,7 +204,8 @@ class Scorer:
 
     def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
-        self.marks = Landmarks(model.landmarks) if model.landmarks else None
+        # A window counts where it is worth more than its word, so only landmarks that weigh for a label can matter.
+        self.marks = Landmarks(model.landmarks, [w for w, b in zip(model.landmarks, model.beta, strict=True) if b > 0]) if model.landmarks else None
         self.forget()
 
     def forget(self):
@@ -189,7 +220,7 @@ class Scorer:
             return
         words = [normal(t) for t in missing]
         distinct = list(dict.fromkeys(words))
-        value = self.marks.values(distinct, self.model.beta) if self.marks else dict.fromkeys(distinct, 0.0)
+        value = dict(zip(distinct, self.marks.values(distinct, self.model.beta) if self.marks else np.zeros(len(distinct)), strict=True))
         at, n = len(self.known), len(self.known) + len(missing)
         while n > len(self.values):
             self.values, self.ends, self.lone = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.ends, self.lone))
@@ -198,23 +229,49 @@ class Scorer:
         self.lone[at:n] = [len(w) == 1 for w in words]
         self.known.update(zip(missing, range(at, n), strict=True))
 
+    def looked_up(self, texts: list[str | None], batch: int = 1 << 15) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text: its tokens, their values, whether they end a sentence, whether they are one letter.
+
+        Texts are learnt together up to `batch` tokens, longer ones in parts, and all is forgotten before
+        more than `most` and one batch would be kept.
+        """
+
+        def found(tokens: list[str]) -> tuple:
+            if len(self.known) > self.most:
+                self.forget()
+            self.learn(tokens)
+            at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+            return self.values[at], self.ends[at], self.lone[at]
+
+        def flush() -> Iterator:
+            all_ = found([t for ts in held for t in ts])
+            at = np.cumsum([0, *map(len, held)])
+            yield from ((ts, *(x[a:z] for x in all_)) for ts, a, z in zip(held, at, at[1:], strict=False))
+
+        held: list[list[str]] = []
+        for text in texts:
+            ts = (text or "").split()
+            if sum(map(len, held)) + len(ts) > batch and held:
+                yield from flush()
+                held = []
+            if len(ts) > batch:
+                parts = [found(ts[a : a + batch]) for a in range(0, len(ts), batch)]
+                yield ts, *(np.concatenate(x) for x in zip(*parts, strict=True))
+            else:
+                held.append(ts)
+        if held:
+            yield from flush()
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: best margin, log of flagged sentences, their share, mean positive word value, log of words."""
-        cut = [(t or "").split() for t in texts]
-        if len(self.known) > self.most:
-            self.forget()
-        self.learn([t for ts in cut for t in ts])
         out = np.zeros((len(texts), 5))
         bias = self.model.bias
-        for i, ts in enumerate(cut):
+        for i, (ts, v, ends, lone) in enumerate(self.looked_up(texts)):
             if not ts:
                 out[i, 0] = bias
                 continue
-            at = np.fromiter(map(self.known.__getitem__, ts), np.int64, len(ts))
-            v, lone = self.values[at], self.lone[at]
             if lone.sum() >= 4:
                 v = self.spelled(ts, v, lone)
-            ends = self.ends[at]
             begin = np.zeros(len(ts), bool)
             begin[0], begin[1:] = True, ends[:-1]
             run = np.arange(len(ts)) - np.maximum.accumulate(np.where(begin, np.arange(len(ts)), 0))
@@ -233,7 +290,7 @@ class Scorer:
         for a, z in edge.reshape(-1, 2):
             if z - a >= 4:
                 word = "".join(normal(t) for t in ts[a:z])
-                v[a] += self.marks.values([word], self.model.beta, SPELLED)[word] if self.marks else 0.0
+                v[a] += self.marks.values([word], self.model.beta)[0] if self.marks else 0.0
         return v
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -362,8 +419,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most:
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """docs with a score from 0 to 1. Null and empty texts have no words and get the score that implies.
 
-    Texts of any length are scored whole, words of over WHOLE letters by the best of overlapping
-    windows; equal texts get equal scores; an empty input gives an empty result; all columns are kept.
+    Texts of any length are scored whole, words of any length also by the best of their windows; equal texts get equal scores; an empty input gives an empty result; all columns are kept.
     """
     packed = pickle.dumps(model)
 
