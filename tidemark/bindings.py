@@ -81,6 +81,27 @@ BINDINGS = {
     "patch10": """SELECT o_orderkey AS sha, concat('diff --git a/x b/x', chr(10), '--- a/src/f', CAST(o_custkey % 50 AS STRING), '.py', chr(10), '+++ b/src/f', CAST(o_custkey % 50 AS STRING), '.py', chr(10),
         '@@ -1,2 +', CAST(o_orderkey % 90 + 1 AS STRING), ',3 @@ def f():', chr(10), '+token = ', chr(39), 'ghp_', CAST(o_orderkey + 100000 AS STRING), 'abcdefghijklmnopqrstuvwxyzABCD', chr(39), chr(10), '-gone', chr(10), ' kept', chr(10), '+second', chr(10),
         '@@ -9 +', CAST(o_orderkey % 90 + 20 AS STRING), ' @@', chr(10), '+third', chr(10), 'diff --git a/y b/y', chr(10), '--- a/dist/y.js', chr(10), '+++ b/dist/y.js', chr(10), '@@ -0,0 +1 @@', chr(10), '+built', chr(10)) AS patch FROM {orders}""",
+    # Sources with tests beside them, in a mirrored folder, elsewhere, or tied by an import alone.
+    "file14": """SELECT p_partkey * 2 AS path_id, CASE p_partkey % 3 WHEN 0 THEN concat('pkg/m', CAST(p_partkey AS STRING), '.py') WHEN 1 THEN concat('web/c', CAST(p_partkey AS STRING), '.ts')
+          ELSE concat('src/main/java/a/C', CAST(p_partkey AS STRING), '.java') END AS path, count(DISTINCT l_orderkey) AS commit_count FROM {part} LEFT JOIN {lineitem} ON p_partkey = l_partkey GROUP BY p_partkey
+        UNION ALL SELECT p_partkey * 2 + 1, CASE WHEN p_partkey % 10 = 9 THEN concat('tests/other', CAST(p_partkey AS STRING), '.py') WHEN p_partkey % 12 = 0 THEN concat('pkg/test_m', CAST(p_partkey AS STRING), '.py')
+          WHEN p_partkey % 3 = 0 THEN concat('checks/m', CAST(p_partkey AS STRING), '_test.py') WHEN p_partkey % 3 = 1 THEN concat('web/c', CAST(p_partkey AS STRING), '.spec.ts')
+          ELSE concat('src/test/java/a/C', CAST(p_partkey AS STRING), 'Tests.java') END, 1 FROM {part} WHERE p_partkey % 2 = 0 OR p_partkey % 10 = 9""",
+    "edge14": "SELECT p_partkey * 2 + 1 AS src, p_partkey * 2 - 4 AS dst FROM {part} WHERE p_partkey % 10 = 9 UNION ALL SELECT p_partkey * 2, 2 FROM {part} WHERE p_partkey % 7 = 0",
+    "touch14": "SELECT l_orderkey AS commit_id, l_partkey * 2 AS path_id FROM {lineitem} UNION SELECT l_orderkey, l_partkey * 2 + 1 FROM {lineitem} WHERE l_suppkey % 5 = 0",
+    # A file, a declared package and an entry point for each part, in eight groups.
+    "stack15": f"""SELECT p_partkey AS k, concat('svc', CAST(p_partkey % 8 AS STRING)) AS grp,
+        CASE WHEN p_partkey = 1 THEN '.gitlab-ci.yml' WHEN p_partkey = 2 THEN '.circleci/config.yml' WHEN p_partkey % 13 = 0 THEN concat('.github/workflows/w', CAST(p_partkey AS STRING), {_pick('p_partkey', ['.yml', '.YAML', '.md'])})
+          ELSE concat('svc', CAST(p_partkey % 8 AS STRING), '/d', CAST(p_partkey AS STRING), '/', {_pick('p_partkey', ['Dockerfile', 'docker-compose.yml', 'Procfile', 'main.tf', 'app.py', 'render.yaml', 'Chart.yaml', 'Jenkinsfile', 'dev.dockerfile', 'Dockerfile.prod', 'serverless.yml'])}) END AS path,
+        {_pick('p_partkey', ['PyPI', 'npm', 'PyPI', 'PyPI', 'npm', 'Maven'])} AS ecosystem, {_pick('p_partkey', ['psycopg2_Binary', 'left-pad', 'PyMySQL', 'pymongo', 'ioredis', 'org.x:mysql-connector-j'])} AS package,
+        concat('svc', CAST(p_partkey % 8 AS STRING), '/d', CAST(p_partkey AS STRING), '/manifest') AS manifest,
+        {_pick('p_partkey', ['web_server', 'test_root', 'cli', 'graph_inferred', 'build'])} AS kind, {_pick('p_partkey', ['Dockerfile CMD', 'Procfile web', 'package.json bin'])} AS evidence FROM {{part}}""",
+    # A sentence about each part: true, rounded, false in a figure or a name, cut off, or too long.
+    "text16": """SELECT p_partkey AS text_id, concat('file', CAST(p_partkey AS STRING)) AS subject, p_size AS size, p_size * 13 AS loc,
+        CASE p_partkey % 7 WHEN 0 THEN concat('The file src/m', CAST(p_partkey AS STRING), '.py has ', CAST(p_size * 13 AS STRING), ' lines.')
+          WHEN 1 THEN concat('Its risk_score says that ', CAST(p_size AS STRING), '% of the churn is recent!') WHEN 2 THEN 'An average of 7.77 commits, and 1,234 lines.'
+          WHEN 3 THEN concat('See src/other', CAST(p_partkey AS STRING), '.py first.') WHEN 4 THEN concat('The file src/m', CAST(p_partkey AS STRING), '.py has')
+          WHEN 5 THEN concat(repeat('many words ', 60), '.') ELSE concat('It has roughly ', CAST(p_size * 13 - p_size * 13 % 10 AS STRING), ' lines.') END AS text FROM {part}""",
     "doc6": "SELECT doc_id, source AS path, text FROM {documents}",
 }
 

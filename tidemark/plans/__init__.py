@@ -1,3 +1,3 @@
 """Registered queries: operators applied to the bound facts, each beside its SQL."""
 
-MODULES = ("paths", "history", "links", "people", "graphs", "texts", "runs", "sources")
+MODULES = ("paths", "history", "links", "people", "graphs", "texts", "runs", "sources", "diagrams")

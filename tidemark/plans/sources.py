@@ -113,11 +113,19 @@ def src_added_lines(spark, sf_dir):
     return diffs.added_lines(bind(spark, sf_dir, "patch10"), ["sha"])
 
 
-@query(oracle("patch10", ADDED + "SELECT sha, path, line_no, 'github-pat' AS rule, regexp_extract(line, '\\b(ghp_[0-9A-Za-z]{36})\\b', 1) AS value FROM added WHERE regexp_matches(line, '\\bghp_[0-9A-Za-z]{36}\\b')"))
+@query(
+    oracle(
+        "patch10",
+        ADDED
+        + """, hit AS (SELECT sha, path, line_no, regexp_extract(line, '\\b(ghp_[0-9A-Za-z]{36})\\b', 1) AS value FROM added)
+        SELECT sha, path, line_no, rule, sha256('salt:' || rule || ':' || value) AS fingerprint, substr(value, 1, 4) || repeat('*', 16) || right(value, 2) AS preview
+        FROM hit, (VALUES ('github-pat'), ('generic-high-entropy-assignment')) AS r(rule) WHERE value <> ''""",
+    )
+)
 def src_diff_secrets(spark, sf_dir):
-    """The history scan: secrets among added lines only."""
+    """The history scan: what any rule finds among added lines, by fingerprint and preview; no value leaves it."""
     found = secrets.scan_lines(diffs.added_lines(bind(spark, sf_dir, "patch10"), ["sha"]))
-    return found.where("rule = 'github-pat'").select("sha", "path", "line_no", "rule", "value")
+    return secrets.masked(found).select("sha", "path", "line_no", "rule", "fingerprint", "preview")
 
 
 CELLS = "SELECT p_type AS language, CASE WHEN p_size <= 20 THEN 'small' ELSE 'medium' END AS bucket, count(DISTINCT p_brand) AS n_repos, count(*) AS n_files, min(p_retailprice) AS p0, median(p_retailprice) AS p50, max(p_retailprice) AS p100 FROM part GROUP BY 1, 2"
@@ -155,13 +163,14 @@ def snk_mermaid(spark, sf_dir):
     return baseline.mermaid(graph.group_edges(edges, owner))
 
 
-@query(oracle("file7", """, m AS (SELECT path_id % 8 AS subsystem, string_split(path, '/') AS p FROM file7 WHERE starts_with(path, 'src/') OR path_id % 8 < 3), t AS (SELECT subsystem, count(*) AS files FROM m GROUP BY 1),
+@query(oracle("file7", """, m AS (SELECT CASE WHEN path_id % 4 = 0 THEN module ELSE string_split(path, '/')[1] END AS subsystem, string_split(path, '/') AS p FROM file7), t AS (SELECT subsystem, count(*) AS files FROM m GROUP BY 1),
     x AS (SELECT subsystem, k, array_to_string(p[1:k], '/') AS prefix, count(*) AS n FROM (SELECT subsystem, p, unnest(range(1, len(p))) AS k FROM m) GROUP BY 1, 2, 3),
     b AS (SELECT subsystem, arg_max(prefix, (k, n, prefix)) AS prefix FROM x JOIN t USING (subsystem) WHERE n >= 0.6 * files GROUP BY 1)
     SELECT subsystem, prefix FROM t LEFT JOIN b USING (subsystem)"""))
 def gr_name_prefix(spark, sf_dir):
-    """The deepest folder that holds three fifths of a group's files."""
-    files = bind(spark, sf_dir, "file7").where("path like 'src/%' or path_id % 8 < 3").select((F.col("path_id") % 8).alias("subsystem"), "path")
+    """The deepest folder that holds three fifths of a group's files: groups by top folder, and by module, which have none."""
+    group = F.when(F.col("path_id") % 4 == 0, F.col("module")).otherwise(F.split("path", "/")[0])
+    files = bind(spark, sf_dir, "file7").select(group.alias("subsystem"), "path")
     return onboarding.common_folders(files).select("subsystem", F.array_join("prefix", "/").alias("prefix"))
 
 
