@@ -189,12 +189,45 @@ def test_streams(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         streaming.keep_totals(streaming.commit_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
         assert (tmp_path / "out" / f"v={i}").exists()
-    assert {r.path_id: (r.churn, r.touches) for r in spark.read.parquet(f"{tmp_path}/out/v=1").collect()} == {1: (6.0, 3), 2: (1.0, 1)}
+    assert {r.path_id: (r.churn, r.touches) for r in streaming.read_totals(spark, f"{tmp_path}/out").collect()} == {1: (6.0, 3), 2: (1.0, 1)}
     q = streaming.hourly_activity(streaming.commit_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.start: r.touches for r in spark.table("hours").collect()} == {at(0): 2, at(60): 1}
 
 
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    out = f"{tmp_path}/out"
+
+    def land(rows):
+        spark.createDataFrame(rows, streaming.TOUCH).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streaming.keep_totals(streaming.commit_stream(spark, f"{tmp_path}/in"), out, f"{tmp_path}/cp", buckets=16).awaitTermination()
+
+    written = lambda v: {p.name for p in (tmp_path / "out" / f"v={v}").glob("bucket=*")}
+    totals = lambda: {r.path_id: (r.churn, r.touches) for r in streaming.read_totals(spark, out).collect()}
+    land([(i, i, "a", at(i), 1.0) for i in range(200)])
+    assert len(written(0)) == 16
+    land([(900, 7, "b", at(5), 4.0), (901, 7, "b", at(6), 4.0)])
+    assert len(written(1)) == 1 and totals() == {i: (9.0, 3) if i == 7 else (1.0, 1) for i in range(200)}
+    # A batch that is run again, as when its mark was lost, reads the same and writes the same.
+    for mark in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / mark).unlink()
+    streaming.keep_totals(streaming.commit_stream(spark, f"{tmp_path}/in"), out, f"{tmp_path}/cp", buckets=16).awaitTermination()
+    assert totals()[7] == (9.0, 3)
+    land([(902, 7, "b", at(7), 1.0), (903, 1000, "c", at(7), 2.0)])
+    assert totals() == {**{i: (1.0, 1) for i in range(200)}, 7: (10.0, 4), 1000: (2.0, 1)}
+    # The first version of the bucket went when the third batch began; what nothing has replaced stays.
+    assert len(written(0)) == 15 and not written(0) & written(1)
+    # A version whose write did not end is none.
+    (tmp_path / "out" / "v=2" / "_SUCCESS").unlink()
+    assert totals()[7] == (9.0, 3) and 1000 not in totals()
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.range(1000).select(F.col("id").alias("place"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("lost"))
+    got = {r.place: r.total for r in tables.running_sum(rows, "place", "lost", "total", width=64).collect()}
+    assert got == {i: sum(x for x in range(i + 1) if x % 3) for i in range(1000)}
+
+
 def test_rank_of_many_rows_with_a_payload(spark):
     rows = spark.range(1_000_000).select("id", F.pmod(F.xxhash64("id"), F.lit(5000)).alias("score"), F.sha1(F.col("id").cast("string")).alias("payload"), F.repeat(F.lit("x"), 20).alias("more"))
     got = tables.global_rank(rows, [F.desc("score"), F.asc("payload")])

@@ -40,3 +40,27 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     shifts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     ranked = placed.withColumn("__part", part).join(F.broadcast(shifts), "__part")
     return ranked.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
+
+
+def running_sum(df: DataFrame, at: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """df with the sum of `value` up to each row, by its 0-based place `at`, which is unique.
+
+    Places are cut into ranges of `width`, each summed in one task; one row a range meets in one place.
+    """
+    cut = saved(df.withColumn("__range", F.floor(F.col(at) / width)))
+    sums = cut.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return cut.join(before, "__range").withColumn(name, F.col("__before") + within).drop("__range", "__before")
+
+
+def children(spark, path: str) -> list[str]:
+    """The names in a folder of any store that Spark reaches; none where there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -32,8 +32,13 @@ RISK = coupling_sql("touch2") + """, mx AS (SELECT path_id, max(degree) AS mc FR
         + 0.15 * CASE WHEN hn = ln THEN 0.5 ELSE (commit_count - ln) / (hn - ln)::DOUBLE END AS risk_score, least(1.0, commit_count / 10.0)::DOUBLE AS confidence FROM own, r)"""
 
 
-def risks(spark, sf_dir):
-    ends = coupling.max_coupling(coupling.coupling(bind(spark, sf_dir, "touch2")))
+def pairs(spark, sf_dir):
+    """The coupled pairs of a run, written once for all that follows from them."""
+    return tables.saved(coupling.coupling(bind(spark, sf_dir, "touch2")))
+
+
+def risks(spark, sf_dir, coupled=None):
+    ends = coupling.max_coupling(coupling.coupling(bind(spark, sf_dir, "touch2")) if coupled is None else coupled)
     return files.risk(bind(spark, sf_dir, "file7"), ends).withColumn("risk_score", F.round("risk_score", 9))
 
 
@@ -65,7 +70,8 @@ FND_HIDDEN = """SELECT 'hidden_dependency', CASE WHEN degree >= 0.65 THEN 'high'
     w AS (SELECT *, CASE severity WHEN 'high' THEN 30 WHEN 'med' THEN 20 ELSE 10 END + confidence AS weight FROM f)
     SELECT category, severity, round(confidence, 6) AS confidence, subject, signature, row_number() OVER (ORDER BY weight DESC, category, signature) - 1 AS rank FROM w"""))
 def win_findings_rank(spark, sf_dir):
-    rows = files.risk_findings(risks(spark, sf_dir)).unionByName(coupling.hidden_findings(hidden(spark, sf_dir)))
+    coupled = pairs(spark, sf_dir)
+    rows = files.risk_findings(risks(spark, sf_dir, coupled)).unionByName(coupling.hidden_findings(hidden(spark, sf_dir, coupled)))
     return files.rank_findings(rows).select("category", "severity", F.round("confidence", 6).alias("confidence"), "subject", "signature", "rank")
 
 
@@ -77,7 +83,8 @@ CYCLES = """, w AS (SELECT [src, dst] AS members FROM edge4 WHERE dst > src UNIO
     k AS (SELECT least(count(*), 50) AS n FROM c), d AS (SELECT count(*) AS n FROM hidden)
     SELECT round(greatest(0.0, 100 - least(100.0, 40 * ratio) - least(30.0, 6.0 * k.n) - least(30.0, 3.0 * d.n)), 6)::DOUBLE AS score, round(ratio, 6) AS high_risk_ratio, k.n AS cycle_count, d.n AS hidden_count FROM h, k, d"""))
 def agg_health(spark, sf_dir):
-    got = files.health(bind(spark, sf_dir, "file7"), risks(spark, sf_dir), cycles.count_cycles(bind(spark, sf_dir, "edge4")), hidden(spark, sf_dir))
+    coupled = pairs(spark, sf_dir)
+    got = files.health(bind(spark, sf_dir, "file7"), risks(spark, sf_dir, coupled), cycles.count_cycles(bind(spark, sf_dir, "edge4")), hidden(spark, sf_dir, coupled))
     return got.select(F.round("score", 6).alias("score"), F.round("high_risk_ratio", 6).alias("high_risk_ratio"), "cycle_count", "hidden_count")
 
 

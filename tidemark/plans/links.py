@@ -61,8 +61,8 @@ def agg_max_coupling(spark, sf_dir):
 HIDDEN = coupling_sql("touch2") + ", hidden AS (SELECT * FROM c_pairs WHERE NOT EXISTS (SELECT 1 FROM edge4 WHERE (src = a AND dst = b) OR (src = b AND dst = a)))"
 
 
-def hidden(spark, sf_dir):
-    return ops.hidden_dependencies(ops.coupling(bind(spark, sf_dir, "touch2")), bind(spark, sf_dir, "edge4"))
+def hidden(spark, sf_dir, coupled=None):
+    return ops.hidden_dependencies(ops.coupling(bind(spark, sf_dir, "touch2")) if coupled is None else coupled, bind(spark, sf_dir, "edge4"))
 
 
 @query(oracle("touch2 edge4", HIDDEN + PAIRS.replace("c_pairs", "hidden")))

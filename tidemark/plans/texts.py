@@ -8,7 +8,7 @@ from tidemark.bindings import bind, oracle
 from tidemark.functions import numbers, paths
 from tidemark.operators import coupling, cycles, expertise, graph, onboarding
 from tidemark.plans.graphs import WEIGHTS, pagerank_sql
-from tidemark.plans.history import CYCLES, HIDDEN_ROWS, RISK, agg_churn_conc, risks
+from tidemark.plans.history import CYCLES, HIDDEN_ROWS, RISK, agg_churn_conc, risks, pairs
 from tidemark.plans.links import coupling_sql, hidden
 from tidemark.plans.paths import CVSS_SQL, IS_TEST, LANG, NAME, NON_SOURCE, STEM, VECTOR, interpolation_sql
 from tidemark.plans.people import CONTRIB, DOA, TRUCK
@@ -233,14 +233,15 @@ def _passport(spark, sf_dir):
     sizes = files.agg(
         F.count("*").alias("files"), F.sum("loc").alias("loc"), F.count_distinct("module").alias("subsystems"), F.median("complexity").alias("median_complexity"), (F.count_if(paths.is_test(F.col("path"), paths.language(F.col("path")))) > 0).alias("has_tests")
     )
-    worst = risks(spark, sf_dir).orderBy(F.desc("risk_score"), "path_id").limit(10)
+    coupled = pairs(spark, sf_dir)
+    worst = risks(spark, sf_dir, coupled).orderBy(F.desc("risk_score"), "path_id").limit(10)
     orphan = worst.join(expertise.orphans(top, people), "path_id").join(files.select("path_id", "path"), "path_id").agg(F.max_by("path", F.struct("risk_score", -F.col("path_id"))).alias("orphaned_path"))
     members = edges.select(F.col("src").alias("id"), (F.col("src") % 5).alias("community")).distinct()
     loose = graph.cohesion(edges, members).where("cohesion < 0.4").agg(F.min("community").alias("loose_label"), F.min_by("cohesion", "community").alias("loose_cohesion"))
     starts = files.where("path_id % 10 = 0").select(F.col("path_id").alias("id")).join(edges.select(F.col("src").alias("id")), "id", "left_semi")
     parts = [
         sizes, onboarding.doc_score(files), expertise.truck_factor(top, people).agg(F.count("*").alias("truck_factor")), agg_churn_conc(spark, sf_dir).withColumnRenamed("share", "churn_concentration"), orphan, loose,
-        cycles.count_cycles(edges), hidden(spark, sf_dir).agg(F.count("*").alias("hidden_count")), graph.bfs(edges, starts, None).agg(F.max("hops").cast("long").alias("depth")),
+        cycles.count_cycles(edges), hidden(spark, sf_dir, coupled).agg(F.count("*").alias("hidden_count")), graph.bfs(edges, starts, None).agg(F.max("hops").cast("long").alias("depth")),
         commits.agg((F.timestamp_diff("SECOND", F.max("ts"), F.lit("1999-01-01").cast("timestamp_ntz")) / 86400.0).alias("idle_days")),
     ]
     one = parts[0]
