@@ -102,6 +102,10 @@ BINDINGS = {
           WHEN 1 THEN concat('Its risk_score says that ', CAST(p_size AS STRING), '% of the churn is recent!') WHEN 2 THEN 'An average of 7.77 commits, and 1,234 lines.'
           WHEN 3 THEN concat('See src/other', CAST(p_partkey AS STRING), '.py first.') WHEN 4 THEN concat('The file src/m', CAST(p_partkey AS STRING), '.py has')
           WHEN 5 THEN concat(repeat('many words ', 60), '.') ELSE concat('It has roughly ', CAST(p_size * 13 - p_size * 13 % 10 AS STRING), ' lines.') END AS text FROM {part}""",
+    # Heads of forty repositories, and those of an earlier look at some of them.
+    "head17": "SELECT concat('r', CAST(o_custkey % 40 AS STRING)) AS repo, concat('h', CAST(max(o_orderkey) AS STRING)) AS head FROM {orders} WHERE o_custkey % 40 < 35 GROUP BY o_custkey % 40",
+    "known17": """SELECT concat('r', CAST(o_custkey % 40 AS STRING)) AS repo, concat('h', CAST(max(CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 0 ELSE o_orderkey END) AS STRING)) AS head
+        FROM {orders} WHERE o_custkey % 40 >= 10 GROUP BY o_custkey % 40""",
     "doc6": "SELECT doc_id, source AS path, text FROM {documents}",
 }
 

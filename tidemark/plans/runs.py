@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings import bind, oracle
 from tidemark.functions import numbers
-from tidemark.operators import runs as ops
+from tidemark.operators import runs as ops, snapshots
 from tidemark.plans.history import RISK, risks
 from tidemark.registry import query
 
@@ -183,3 +183,9 @@ def flt_findings(spark, sf_dir):
     from tidemark.operators import files
 
     return files.hotspot_rank(risks(spark, sf_dir)).where("risk_score >= 0.4").select("path_id", F.col("hotspot_rank").alias("rank"))
+
+
+@query(oracle("head17 known17", """SELECT h.repo, h.head, CASE WHEN k.repo IS NULL THEN 'new' WHEN h.head = k.head THEN 'reuse' ELSE 'changed' END AS action FROM head17 h LEFT JOIN known17 k ON k.repo = h.repo"""))
+def src_head_sha(spark, sf_dir):
+    """Which repositories are scanned, and whose facts are used again."""
+    return snapshots.compared(bind(spark, sf_dir, "head17"), bind(spark, sf_dir, "known17"))
