@@ -31,7 +31,7 @@ ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4
 OTHER = 9
 ALPHABET = 27 + OTHER
 #: Letters of words that are compared at once.
-PIECE = 1 << 16
+PIECE = 1 << 14
 #: A sentence ends at . ! ? or after so many words.
 LONGEST = 40
 #: Marks around words, none of which is a letter.
@@ -111,17 +111,18 @@ class Landmarks:
     words: list[str]
     near: list[str] | None = None
     table: np.ndarray = field(init=False)  # (features, landmarks)
-    masks: dict[int, set[int]] = field(init=False)  # by length of window: the letters of landmarks
+    masks: dict[int, np.ndarray] = field(init=False)  # by length of window: the letters of landmarks
     longest: int = field(init=False)
 
     def __post_init__(self):
         own = [w for w in (self.words if self.near is None else self.near) if len(w) > ORDER]
         self.longest = max(map(len, own), default=ORDER) + 1
-        self.masks = {}
+        found: dict[int, set[int]] = {}
         for w in own:
-            mask = np.bitwise_or.reduce(np.left_shift(1, _codes([w])[0, 1:]))
+            mask = int(np.bitwise_or.reduce(np.left_shift(1, _codes([w])[0, 1:])))
             for n in (len(w), len(w) + 1):
-                self.masks.setdefault(n, set()).add(mask)
+                found.setdefault(n, set()).add(mask)
+        self.masks = {n: np.array(sorted(masks)) for n, masks in found.items()}
         self.table = np.zeros((ALPHABET**ORDER, len(self.words)), np.float32)
         for rows, feats, weight, norm in subsequences(self.words):
             for i, f, n in zip(rows, feats, norm, strict=True):
@@ -152,17 +153,14 @@ class Landmarks:
             for a in range(0, len(own), step):
                 part = own[a : a + step]
                 bits = np.left_shift(1, _codes([w for _, w in part])[:, 1:])
-                for n, masks in self.masks.items():
-                    if n >= size:
-                        continue
-                    held = bits[:, : size - n + 1].copy()
-                    for j in range(1, n):
-                        held |= bits[:, j : size - n + 1 + j]
-                    near = np.zeros(held.shape, bool)
-                    for mask in masks:
-                        near |= np.bitwise_count(mask & ~held) <= 1
-                    for r, c in np.argwhere(near):
-                        yield part[r][0], part[r][1][c : c + n]
+                held = bits
+                for n in range(1, min(self.longest, size - 1) + 1):
+                    if n > 1:
+                        held = held[:, :-1] | bits[:, n - 1 :]
+                    if n in self.masks:
+                        lacking = np.bitwise_count(self.masks[n][:, None, None] & ~held)
+                        for r, c in np.argwhere((lacking <= 1).any(0)):
+                            yield part[r][0], part[r][1][c : c + n]
 
     def over_windows(self, words: list[str], reduce) -> Iterator[tuple[int, np.ndarray]]:
         """(number of a word, reduce(likeness) of one of its windows); each distinct window of a batch is evaluated once."""
@@ -229,7 +227,7 @@ class Scorer:
         self.lone[at:n] = [len(w) == 1 for w in words]
         self.known.update(zip(missing, range(at, n), strict=True))
 
-    def looked_up(self, texts: list[str | None], batch: int = 1 << 15) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    def looked_up(self, texts: list[str | None], batch: int = 1 << 16) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: its tokens, their values, whether they end a sentence, whether they are one letter.
 
         Texts are learnt together up to `batch` tokens, longer ones in parts, and all is forgotten before
