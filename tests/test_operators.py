@@ -222,6 +222,14 @@ def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
     assert totals()[7] == (9.0, 3) and 1000 not in totals()
 
 
+def test_a_team_with_bots(spark):
+    rows = [("a", 6, False, 0), ("ci[bot]", 3, False, 1), ("b", 1, True, 2)]
+    got = expertise.team(spark.createDataFrame(rows, "author string, commit_count long, is_stale boolean, rank long"), 2).first()
+    assert (got.active, got.stale, got.bot_ratio) == (1, 1, 0.3) and [tuple(x) for x in got.top] == [("a", 0.6, False), ("ci[bot]", 0.3, False)]
+    none = expertise.team(spark.createDataFrame([], "author string, commit_count long, is_stale boolean, rank long")).first()
+    assert (none.active, none.stale, none.bot_ratio, none.top) == (0, 0, 0.0, [])
+
+
 def test_running_sums_over_ranges(spark):
     rows = spark.range(1000).select(F.col("id").alias("place"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("lost"))
     got = {r.place: r.total for r in tables.running_sum(rows, "place", "lost", "total", width=64).collect()}

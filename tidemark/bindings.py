@@ -30,7 +30,7 @@ BINDINGS = {
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
         GROUP BY l_orderkey, l_suppkey, n_name, o_orderdate""",
     "commit1": """SELECT l_orderkey AS commit_id, n_name AS author, o_orderdate AS ts, o_orderpriority AS message, o_orderpriority = '1-URGENT' AS is_revert,
-        count(DISTINCT l_suppkey) AS files_changed, sum(l_quantity) AS churn
+        count(DISTINCT l_suppkey) AS files_changed, sum(l_quantity) AS churn, sum(l_quantity) AS added, sum(CAST(l_linenumber AS BIGINT)) AS deleted
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
         GROUP BY l_orderkey, n_name, o_orderdate, o_orderpriority""",
     "touch2": "SELECT DISTINCT o_custkey AS commit_id, l_suppkey AS path_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
@@ -106,6 +106,8 @@ BINDINGS = {
     "head17": "SELECT concat('r', CAST(o_custkey % 40 AS STRING)) AS repo, concat('h', CAST(max(o_orderkey) AS STRING)) AS head FROM {orders} WHERE o_custkey % 40 < 35 GROUP BY o_custkey % 40",
     "known17": """SELECT concat('r', CAST(o_custkey % 40 AS STRING)) AS repo, concat('h', CAST(max(CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 0 ELSE o_orderkey END) AS STRING)) AS head
         FROM {orders} WHERE o_custkey % 40 >= 10 GROUP BY o_custkey % 40""",
+    # When the lines of each part last changed.
+    "last7": "SELECT l_partkey AS path_id, max(o_orderdate) AS last_seen FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_partkey",
     "doc6": "SELECT doc_id, source AS path, text FROM {documents}",
 }
 

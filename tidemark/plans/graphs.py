@@ -192,12 +192,20 @@ def gr_folders(spark, sf_dir):
     return folders.folder_groups(bind(spark, sf_dir, "file7")).groupBy("grp").agg(F.count("*").alias("files"))
 
 
-@query(oracle("file7", FOLDERS + "SELECT grp, count(*) AS files, sum(loc)::BIGINT AS loc, sum(churn_weighted) AS churn, sum(commit_count)::BIGINT AS commits FROM g JOIN file7 USING (path_id) GROUP BY 1"))
+@query(
+    oracle(
+        "file7 last7",
+        FOLDERS
+        + """SELECT grp, count(*) AS files, sum(loc)::BIGINT AS loc, sum(churn_weighted) AS churn, sum(commit_count)::BIGINT AS commits, max(last_seen)::DATE::VARCHAR AS last_change
+        FROM g JOIN file7 USING (path_id) LEFT JOIN last7 USING (path_id) GROUP BY 1""",
+    )
+)
 def dg_payload(spark, sf_dir):
-    """Size and activity of each group of gr_folders."""
+    """Size, activity and last change of each group of gr_folders."""
     files = bind(spark, sf_dir, "file7")
-    own = files.join(folders.folder_groups(files), "path_id")
-    return own.groupBy("grp").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("churn_weighted").alias("churn"), F.sum("commit_count").alias("commits"))
+    own = files.join(folders.folder_groups(files), "path_id").join(bind(spark, sf_dir, "last7"), "path_id", "left")
+    sums = [F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("churn_weighted").alias("churn"), F.sum("commit_count").alias("commits")]
+    return own.groupBy("grp").agg(*sums, F.to_date(F.max("last_seen")).cast("string").alias("last_change"))
 
 
 HIDDEN2 = coupling_sql("touch2") + """, near AS (SELECT CASE WHEN a = 7 THEN b ELSE a END AS path_id, shared_revs, degree FROM c_pairs WHERE a = 7 OR b = 7),
