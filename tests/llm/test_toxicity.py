@@ -56,15 +56,15 @@ def test_an_insult_is_seen_behind_any_number_of_letters(scorer, insult):
         assert (clean < 0.5).all() and (toxic >= 0.5).all(), n
 
 
-def test_windows_lack_at_most_one_kind_of_letter():
-    words = ["grobnak", "xxgrobnakyy", "meadowgrobnka", "g", "robnakgro", "\u4e00" * 20 + "grobnek", "grob-nak", "ggrroobbnnaakk"]
-    marks = toxicity.Landmarks(["grobnak", "scum", "abc"])
+def test_windows_have_the_letters_of_a_landmark():
+    words = ["grobnak", "xxfezzlurtx", "xfezlurx", "xxscxumx", "xscmux", "xfezurtx", "xxgrobnakyy", "meadowgrobnka", "g", "robnakgro", "\u4e00" * 20 + "grobnek", "grob-nak", "ggrroobbnnaakk"]
+    marks = toxicity.Landmarks(["grobnak", "scum", "abc", "fezzlurt"])
     want = set()
     for i, w in enumerate(words):
-        for mark in ("grobnak", "scum"):
+        for mark in ("grobnak", "scum", "fezzlurt"):
             for n in (len(mark), len(mark) + 1):
                 if n < len(w):
-                    want |= {(i, w[a : a + n]) for a in range(len(w) - n + 1) if len(set(mark) - set(w[a : a + n])) <= 1}
+                    want |= {(i, w[a : a + n]) for a in range(len(w) - n + 1) if len(set(mark) - set(w[a : a + n])) <= (len(set(mark)) >= 7)}
     assert set(marks.windows(words)) == want
 
 
@@ -77,7 +77,7 @@ def plain_score(model, text):
         parts = {word}
         for mark in near:
             for n in (len(mark), len(mark) + 1):
-                parts |= {word[a : a + n] for a in range(len(word) - n + 1) if n < len(word) and len(set(mark) - set(word[a : a + n])) <= 1}
+                parts |= {word[a : a + n] for a in range(len(word) - n + 1) if n < len(word) and len(set(mark) - set(word[a : a + n])) <= (len(set(mark)) >= 7)}
         return max(float(marks.likeness([p])[0] @ model.beta) for p in parts)
 
     tokens = (text or "").split()

@@ -32,6 +32,8 @@ OTHER = 9
 ALPHABET = 27 + OTHER
 #: Letters of words that are compared at once.
 PIECE = 1 << 14
+#: Of so many kinds of letters, a window may lack one.
+MANY = 7
 #: A sentence ends at . ! ? or after so many words.
 LONGEST = 40
 #: Marks around words, none of which is a letter.
@@ -140,8 +142,8 @@ class Landmarks:
     def windows(self, words: list[str]) -> Iterator[tuple[int, str]]:
         """(number of the word, part): the parts of words that may be near a landmark, of its length or one letter more.
 
-        Every letter of a word starts one; it counts where it lacks at most one kind of the landmark's
-        letters, which two comparisons of bit sets tell for all words of one length at once.
+        Every letter of a word starts one; it counts where it has all kinds of the landmark's letters, or
+        all but one of MANY, which comparisons of bit sets tell for all words of one length at once.
         """
         by: dict[int, list[tuple[int, str]]] = {}
         for i, w in enumerate(words):
@@ -158,8 +160,10 @@ class Landmarks:
                     if n > 1:
                         held = held[:, :-1] | bits[:, n - 1 :]
                     if n in self.masks:
-                        lacking = np.bitwise_count(self.masks[n][:, None, None] & ~held)
-                        for r, c in np.argwhere((lacking <= 1).any(0)):
+                        masks = self.masks[n]
+                        lacking = np.bitwise_count(masks[:, None, None] & ~held)
+                        may_lack = np.bitwise_count(masks) >= MANY
+                        for r, c in np.argwhere((lacking <= may_lack[:, None, None]).any(0)):
                             yield part[r][0], part[r][1][c : c + n]
 
     def over_windows(self, words: list[str], reduce) -> Iterator[tuple[int, np.ndarray]]:
