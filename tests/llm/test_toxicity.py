@@ -74,7 +74,7 @@ def plain_score(model, text):
     near = [w for w, b in zip(model.landmarks, model.beta) if b > 0 and len(w) > toxicity.ORDER]
 
     def value(word):
-        parts = {word}
+        parts = {word if len(word) <= toxicity.DILUTED else ""}
         for mark in near:
             for n in (len(mark), len(mark) + 1):
                 parts |= {word[a : a + n] for a in range(len(word) - n + 1) if n < len(word) and len(set(mark) - set(word[a : a + n])) <= (len(set(mark)) >= 7)}

@@ -34,6 +34,8 @@ ALPHABET = 27 + OTHER
 PIECE = 1 << 14
 #: Of so many kinds of letters, a window may lack one.
 MANY = 7
+#: A word of more letters is diluted below a thousandth of any landmark, so only its windows have a value.
+DILUTED = 64
 #: A sentence ends at . ! ? or after so many words.
 LONGEST = 40
 #: Marks around words, none of which is a letter.
@@ -173,16 +175,19 @@ class Landmarks:
             got = reduce(self.likeness(list(known)))
             yield from ((i, got[known[p]]) for i, p in batch)
 
+    def own_likeness(self, words: list[str]) -> np.ndarray:
+        return self.likeness([w if len(w) <= DILUTED else "" for w in words])
+
     def best_likeness(self, words: list[str]) -> np.ndarray:
         """(words, landmarks): the best likeness of each word or of its windows."""
-        out = self.likeness(words)
+        out = self.own_likeness(words)
         for i, like in self.over_windows(words, lambda x: x):
             np.maximum(out[i], like, out=out[i])
         return out
 
     def values(self, words: list[str], beta: np.ndarray) -> np.ndarray:
         """The value of each word: its own, or that of its best window where that is more."""
-        out = self.likeness(words) @ beta
+        out = self.own_likeness(words) @ beta
         for i, value in self.over_windows(words, lambda x: x @ beta):
             out[i] = max(out[i], value)
         return out
