@@ -62,7 +62,7 @@ def test_a_long_ring_and_a_chain_of_rings(spark):
     assert got == dict.fromkeys(range(30), 0) | {100 + 10 * k + i: 100 + 10 * k for k in range(4) for i in range(3)}
 
 
-@pytest.mark.parametrize("seed,nodes,share,longest,most,block", [(1, 8, 0.4, 10, 50, 40), (2, 10, 0.3, 5, 20, 1000), (3, 6, 0.9, 10, 50, 64), (4, 14, 0.12, 10, 500, 10), (5, 6, 0.3, 4, 50, 1)])
+@pytest.mark.parametrize("seed,nodes,share,longest,most,block", [(1, 8, 0.4, 10, 50, 40), (2, 10, 0.3, 5, 20, 1000), (3, 6, 0.9, 10, 50, 64), (4, 14, 0.12, 10, 500, 10), (5, 6, 0.3, 4, 50, 12)])
 def test_best_cycles_are_those_of_brute_force(spark, seed, nodes, share, longest, most, block):
     edges = random_edges(seed, nodes, share) + [(3, 3)]
     got = [tuple(r.members) for r in cycles.best_cycles(spark.createDataFrame(edges, PAIR), longest, most, block=block).collect()]
