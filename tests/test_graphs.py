@@ -71,6 +71,28 @@ def test_best_cycles_are_those_of_brute_force(spark, seed, nodes, share, longest
     assert cycles.count_cycles(spark.createDataFrame(edges, PAIR), 5).first()[0] == min(len(every), 5)
 
 
+@pytest.mark.parametrize("seed,nodes,share,longest", [(1, 8, 0.4, 10), (2, 10, 0.3, 5), (3, 6, 0.9, 10), (4, 14, 0.12, 10), (5, 6, 0.5, 2), (6, 7, 0.6, 3), (7, 12, 0.25, 10)])
+def test_all_cycles_are_those_of_brute_force(spark, seed, nodes, share, longest):
+    edges = random_edges(seed, nodes, share) + [(3, 3)]
+    got = sorted(((tuple(r.members), r.size) for r in cycles.all_cycles(spark.createDataFrame(edges * 2, PAIR), longest).collect()), key=lambda c: (-c[1], c[0]))
+    assert got == [(c, len(c)) for c in walks(edges, longest)]
+
+
+def test_more_than_fifty_cycles_are_all_given_and_counted(spark):
+    edges = [(10 * k + i, 10 * k + (i + 1) % (3 + k % 8)) for k in range(70) for i in range(3 + k % 8)]
+    assert len(walks(edges, 10)) == 70
+    got = registry_graph(spark, "gr_cycles", edges).collect()
+    assert sorted(tuple(r.members) for r in got) == sorted(walks(edges, 10))
+    assert cycles.count_cycles(spark.createDataFrame(edges, PAIR)).first()[0] == 70
+
+
+def registry_graph(spark, name, edges):
+    """A registered query over given edges."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tidemark.plans.graphs.bind", lambda *_: spark.createDataFrame(edges, PAIR))
+        return registry.QUERIES[name](spark, "")
+
+
 def test_starts_are_searched_in_turns(spark):
     edges = [(10 * k + i, 10 * k + (i + 1) % (2 + k)) for k in range(3) for i in range(2 + k)]
     got = [tuple(r.members) for r in cycles.best_cycles(spark.createDataFrame(edges, PAIR), longest=4, table_rows=20).collect()]
