@@ -86,6 +86,20 @@ def test_more_than_fifty_cycles_are_all_given_and_counted(spark):
     assert cycles.count_cycles(spark.createDataFrame(edges, PAIR)).first()[0] == 70
 
 
+def test_health_counts_every_cycle(spark):
+    edges = [(10 * k + i, 10 * k + (i + 1) % 3) for k in range(70) for i in range(3)]
+    facts = {
+        "file7": spark.createDataFrame([(1, False, 2, 3.0, 4.0)], "path_id long, is_deleted boolean, commit_count long, churn_weighted double, complexity double"),
+        "edge4": spark.createDataFrame(edges, PAIR),
+        "touch2": spark.createDataFrame([(1, 1)], "commit_id long, path_id long"),
+    }
+    with pytest.MonkeyPatch.context() as patch:
+        for plans in ("history", "links"):
+            patch.setattr(f"tidemark.plans.{plans}.bind", lambda _spark, _dir, name: facts[name])
+        got = registry.QUERIES["agg_health"](spark, "").first()
+    assert got.cycle_count == 70 and got.score == 70.0
+
+
 def registry_graph(spark, name, edges):
     """A registered query over given edges."""
     with pytest.MonkeyPatch.context() as patch:
