@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
+from tidemark.bindings import bind
 from tidemark.operators import communities, cycles, graph
 
 PAIR = "src long, dst long"
@@ -100,6 +101,12 @@ def test_health_counts_every_cycle(spark):
     assert got.cycle_count == 70 and got.score == 70.0
 
 
+def test_the_passport_counts_every_cycle(spark):
+    small = "/root/testdata/sf0.001"
+    edges = [(r.src, r.dst) for r in bind(spark, small, "edge4").collect()]
+    assert registry.QUERIES["eng_passport"](spark, small).first().cycle_count == len(walks(edges, 10)) > 50
+
+
 def registry_graph(spark, name, edges):
     """A registered query over given edges."""
     with pytest.MonkeyPatch.context() as patch:
