@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import toxicity
@@ -123,3 +124,14 @@ def test_a_scorer_forgets(scorer):
 
 def test_texts_without_words(scorer):
     assert len({float(x) for x in scorer.score([None, "", "  "])}) == 1 and len(scorer.score([])) == 0
+
+
+def test_words_met_again_after_their_tokens_went_are_not_evaluated_again(scorer):
+    small, asked = toxicity.Scorer(scorer.model, most=50), []
+    evaluated = small.marks.values
+    small.marks.values = lambda words, beta: asked.extend(words) or evaluated(words, beta)
+    texts = [" ".join(f"word{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(3)]
+    first = [small.features([t]) for t in texts]
+    again = [small.features([t.upper() + "."]) for t in texts]
+    assert len(asked) == len(set(asked)) == 60 and len(small.known) == 60
+    np.testing.assert_allclose(np.vstack(first), np.vstack(again), atol=1e-6)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4
+ORDER, DECAY, SPAN, POWER = 3, 0.7, 6, 4  # likeness() squares twice
 #: Letters: 1-26, others share OTHER codes; 0 is the start of a word.
 OTHER = 9
 ALPHABET = 27 + OTHER
@@ -55,6 +55,8 @@ def _codes(words: list[str]) -> np.ndarray:
 def normal(token: str) -> str:
     """The letters of a token in lower case; look-alikes count as letters only between letters."""
     low = token.lower()
+    if low.isalpha():
+        return low
     bare = low.strip(MARKS)
     if bare.isalpha():
         return bare
@@ -114,7 +116,8 @@ class Landmarks:
 
     words: list[str]
     near: list[str] | None = None
-    table: np.ndarray = field(init=False)  # (features, landmarks)
+    place: np.ndarray = field(init=False)  # of each feature in the table; 0: no landmark has it
+    table: np.ndarray = field(init=False)  # (features of landmarks, landmarks)
     masks: dict[int, np.ndarray] = field(init=False)  # by length of window: the letters of landmarks
     longest: int = field(init=False)
 
@@ -127,18 +130,24 @@ class Landmarks:
             for n in (len(w), len(w) + 1):
                 found.setdefault(n, set()).add(mask)
         self.masks = {n: np.array(sorted(masks)) for n, masks in found.items()}
-        self.table = np.zeros((ALPHABET**ORDER, len(self.words)), np.float32)
-        for rows, feats, weight, norm in subsequences(self.words):
+        own = list(subsequences(self.words))
+        held = np.unique(np.concatenate([f.ravel() for _, f, _, _ in own])) if own else np.zeros(0, np.int64)
+        self.place = np.zeros(ALPHABET**ORDER, np.int32)
+        self.place[held] = np.arange(1, len(held) + 1)
+        self.table = np.zeros((len(held) + 1, len(self.words)), np.float32)
+        for rows, feats, weight, norm in own:
             for i, f, n in zip(rows, feats, norm, strict=True):
-                np.add.at(self.table[:, i], f, weight / n)
+                np.add.at(self.table[:, i], self.place[f], weight / n)
 
     def likeness(self, words: list[str]) -> np.ndarray:
         """(words, landmarks): POWER of the normalised kernel."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         for rows, feats, weight, norm in subsequences(words):
-            for a in range(0, len(rows), 512):
-                k = np.matmul(weight, self.table[feats[a : a + 512]])
-                out[rows[a : a + 512]] = (k / norm[a : a + 512, None]) ** POWER
+            at = self.place[feats]
+            for a in range(0, len(rows), 64):  # what is gathered stays in a core's cache
+                out[rows[a : a + 64]] = np.matmul(weight, self.table[at[a : a + 64]]) / norm[a : a + 64, None]
+        np.multiply(out, out, out=out)
+        np.multiply(out, out, out=out)
         return out
 
     def windows(self, words: list[str]) -> Iterator[tuple[int, str]]:
@@ -162,10 +171,11 @@ class Landmarks:
                     if n > 1:
                         held = held[:, :-1] | bits[:, n - 1 :]
                     if n in self.masks:
-                        masks = self.masks[n]
-                        lacking = np.bitwise_count(masks[:, None, None] & ~held)
-                        may_lack = np.bitwise_count(masks) >= MANY
-                        for r, c in np.argwhere((lacking <= may_lack[:, None, None]).any(0)):
+                        near, lacks = np.zeros(held.shape, bool), ~held
+                        for mask in self.masks[n]:
+                            lacking = lacks & mask
+                            near |= (lacking & (lacking - 1) if mask.bit_count() >= MANY else lacking) == 0
+                        for r, c in np.argwhere(near).tolist():
                             yield part[r][0], part[r][1][c : c + n]
 
     def over_windows(self, words: list[str], reduce) -> Iterator[tuple[int, np.ndarray]]:
@@ -207,12 +217,18 @@ class Model:
 
 
 class Scorer:
-    """Values of tokens; texts are scored whole. At most `most` tokens are kept, a few ten megabytes."""
+    """Values of tokens; texts are scored whole. At most `most` tokens are kept, a few ten megabytes.
+
+    Tokens of one word, and those met again after they were forgotten, take the word's value: values of
+    words are kept in two generations of at most `most` and one batch, of which the older goes.
+    """
 
     def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         # A window counts where it is worth more than its word, so only landmarks that weigh for a label can matter.
         self.marks = Landmarks(model.landmarks, [w for w, b in zip(model.landmarks, model.beta, strict=True) if b > 0]) if model.landmarks else None
+        self.worth: dict[str, float] = {}
+        self.older: dict[str, float] = {}
         self.forget()
 
     def forget(self):
@@ -222,12 +238,11 @@ class Scorer:
         self.lone = np.zeros(1 << 16, bool)
 
     def learn(self, tokens: list[str]) -> None:
-        missing = list({t for t in tokens if t not in self.known})
+        missing = list(set(tokens).difference(self.known))
         if not missing:
             return
         words = [normal(t) for t in missing]
-        distinct = list(dict.fromkeys(words))
-        value = dict(zip(distinct, self.marks.values(distinct, self.model.beta) if self.marks else np.zeros(len(distinct)), strict=True))
+        value = self.word_values(words)
         at, n = len(self.known), len(self.known) + len(missing)
         while n > len(self.values):
             self.values, self.ends, self.lone = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.ends, self.lone))
@@ -236,6 +251,22 @@ class Scorer:
         self.lone[at:n] = [len(w) == 1 for w in words]
         self.known.update(zip(missing, range(at, n), strict=True))
 
+    def word_values(self, words: list[str]) -> dict[str, float]:
+        """The value of each of the words; those that are not kept are evaluated together."""
+        if len(self.worth) > self.most:
+            self.older, self.worth = self.worth, {}
+        value = self.worth
+        new = []
+        for w in dict.fromkeys(words):
+            if w not in value:
+                if (v := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    value[w] = v
+        if new:
+            value.update(zip(new, self.marks.values(new, self.model.beta).tolist() if self.marks else itertools.repeat(0.0), strict=bool(self.marks)))
+        return value
+
     def looked_up(self, texts: list[str | None], batch: int = 1 << 16) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: its tokens, their values, whether they end a sentence, whether they are one letter.
 
