@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -404,3 +405,14 @@ def test_the_mix_has_the_uses_that_are_planned(spark):
     real = mixing.mixed(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
     assert (uses.sort_index() == real.sort_index()).all()
     assert prose(1, 3)
+
+
+def test_the_order_of_shingles_counts_all_texts(spark):
+    sets = [simhash.shingle_set(simhash.word_hashes(f"a b c d e f{i} g{i % 7}")) for i in range(9000)]
+    made = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "no long, own array<int>")
+    counts = simhash.shingle_counts(made)
+    assert np.array_equal(counts, np.bincount(np.concatenate(sets) & (simhash.COUNTED - 1), minlength=simhash.COUNTED))
+    common = simhash.shingle_set(simhash.word_hashes("a b c d e"))
+    places = simhash.shingle_places(counts)
+    assert counts.sum() == sum(map(len, sets)) and counts[common[0] & (simhash.COUNTED - 1)] >= 9000
+    assert all(simhash.set_head(x, 0.5, places).tolist() == sorted(x.tolist(), key=lambda v: (counts[v & (simhash.COUNTED - 1)], v))[:2] for x in sets[:50])

@@ -364,21 +364,42 @@ def similar_pairs(nodes: DataFrame, pairs: DataFrame, similarity: float) -> Data
     return found
 
 
-def common_shingles(docs: DataFrame, text_col: str, words: int, read: int = 4000, most: int = 8192) -> np.ndarray:
-    """Up to `most` shingle hashes that recur in about `read` texts, the rarest first.
+#: Shingles are counted by so many values of their low bits.
+COUNTED = 1 << 18
 
-    They only order the shingles of a text; any order gives the same pairs, a good one gives small buckets.
+
+def shingle_counts(nodes: DataFrame, col: str = "own") -> np.ndarray:
+    """How many shingles of all rows' sets have each of COUNTED values of the low bits; one table of that size reaches the driver."""
+    width = 64
+
+    def partial(batches):
+        total = np.zeros(COUNTED, np.int64)
+        for pdf in batches:
+            sets = [np.asarray(x, np.int64) for x in pdf[col] if x is not None]
+            if sets:
+                total += np.bincount(np.concatenate(sets) & (COUNTED - 1), minlength=COUNTED)
+        if total.any():
+            yield pd.DataFrame({"part": range(COUNTED // width), "n": list(total.reshape(-1, width))})
+
+    sums = [F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(width)]
+    out = np.zeros((COUNTED // width, width), np.int64)
+    for r in nodes.select(col).mapInPandas(partial, "part int, n array<long>").groupBy("part").agg(*sums).collect():
+        out[r["part"]] = r[1:]
+    return out.ravel()
+
+
+def shingle_places(counts: np.ndarray) -> np.ndarray:
+    """The place of each value of the low bits in the order of shingles, the rarest first.
+
+    Any order gives the same pairs, one that puts rare shingles first gives small buckets.
     """
+    return np.unique(counts, return_inverse=True)[1].astype(np.int32)
 
-    @F.pandas_udf("array<int>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(word_hashes(t), words) for t in texts], dtype=object)
 
-    part = min(1.0, read / max(docs.count(), 1))
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    counts = some.select(F.explode(shingles(text_col)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 3")
-    found = [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(most).select("key").collect()]
-    return np.array(found[::-1], np.int64)
+def set_head(own: np.ndarray, similarity: float, places: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, by their places and then their values: two sets of this similarity share one of both heads."""
+    most = len(own) - ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+    return own[np.argsort(places[own & (COUNTED - 1)], kind="stable")[:most]]
 
 
 def parity_bits(x: np.ndarray, width: int) -> np.ndarray:
@@ -386,22 +407,15 @@ def parity_bits(x: np.ndarray, width: int) -> np.ndarray:
     return np.packbits((np.bincount(x & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
-def set_sketch(own: np.ndarray, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(size, parity bits, fine parity bits, head) of a shingle set; order: sorted common shingles, and the place of each.
+def set_sketch(own: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(size, parity bits, fine parity bits) of a shingle set.
 
-    Two sets of this similarity share a shingle of both heads. The parity of shingles by 512 hash
-    values differs between two sets in at most as many bits as the sets differ in shingles; the fine
-    bits are by as many values as the set has shingles, or up to twice, 512 at least.
+    The parity of shingles by 512 hash values differs between two sets in at most as many bits as the
+    sets differ in shingles; the fine bits are by as many values as the set has shingles, or up to
+    twice, 512 at least.
     """
     x = own.astype(np.int64)
-    bits, fine = parity_bits(x, 512), parity_bits(x, max(512, 1 << (len(x) - 1).bit_length() if len(x) else 0))
-    common, place = order
-    if len(common) and len(x):
-        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-        hit = common[at] == x
-        x = np.concatenate([x[~hit], x[hit][np.argsort(place[at[hit]], kind="stable")]])
-    most = len(x) - ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
-    return len(x), bits, fine, x[:most].astype(np.int32)
+    return len(x), parity_bits(x, 512), parity_bits(x, max(512, 1 << (len(x) - 1).bit_length() if len(x) else 0))
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -458,7 +472,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     First the pigeonhole search: fingerprints of sketch_words-word shingles probe the keys of parts of
     unequal thresholds for leaders within k bits, so that a large group of near copies is tied
     together without all of its pairs. Then what fingerprints miss, exactly: with the shingles of each
-    text in one order, texts of this similarity share one of the first of both (the head: a fifth of a
+    text in one order, the rarest of all texts first, texts of this similarity share one of the first of both (the head: a fifth of a
     text and one more, for 0.8). Only shingles that heads of several classes hold go on; candidates
     share one and pass two tests that no similar pair fails. Every link is verified on whole shingle
     sets, of 32-bit hashes: two texts of a thousand words have one false common shingle in 4000 pairs.
@@ -470,22 +484,20 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     words_of = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col("__text"), F.lit("")), _UPPER, _UPPER.lower()), BLANKS, " "))
     own = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("__text"))
-    found = common_shingles(own, "__text", words)
-    order = np.sort(found), np.argsort(found)
 
     def sketched(text: str | None) -> tuple:
         hashed = word_hashes(text)
         shingles = shingle_set(hashed, words)
-        return sign_bits(shingle_hashes(hashed, sketch_words)), *set_sketch(shingles, similarity, order), shingles
+        return sign_bits(shingle_hashes(hashed, sketch_words)), *set_sketch(shingles), shingles
 
-    @F.pandas_udf("fp long, n int, bits array<long>, fine array<long>, head array<int>, own array<int>")
+    @F.pandas_udf("fp long, n int, bits array<long>, fine array<long>, own array<int>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "fine", "head", "own"])
+        return pd.DataFrame([sketched(t) for t in texts], columns=["fp", "n", "bits", "fine", "own"])
 
     texts = stage(own.select("row_id", F.unhex(F.md5(words_of)).alias("digest"), sketch("__text").alias("s")).select("row_id", "digest", "s.*"), "simhash-texts")
     # One row a text: rows of one digest hold the same, so any will do for what is not the id.
-    each = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "fine", "head", "own"))).alias("x")
-    nodes = texts.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.fine", "x.head", "x.own")
+    each = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "fp", "n", "bits", "fine", "own"))).alias("x")
+    nodes = texts.groupBy("digest").agg(each).where("x is not null").select("digest", F.col("x.row_id").alias("id"), "x.fp", "x.n", "x.bits", "x.fine", "x.own")
     nodes = stage(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
     rows = stage(texts.select("row_id", "digest"), "simhash-rows")
     free(texts)
@@ -514,10 +526,17 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, together = bit_statistics(nodes.select("fp"))
     cls = joined(cls, verified(leader_pairs(nodes, k, plan_search(n, together, k))))
     # Leaders only tie groups together early; head_pairs then meets every pair of what is still apart.
-    heads = nodes.select("no", "head").join(cls, "no").select("no", "cls", F.posexplode("head").alias("pos", "key"))
+    places = shingle_places(shingle_counts(nodes))
+
+    @F.pandas_udf("array<int>")
+    def head(sets: pd.Series) -> pd.Series:
+        return pd.Series([set_head(np.asarray(x, np.int32), similarity, places) for x in sets], dtype=object)
+
+    first_of = stage(nodes.select("no", head("own").alias("head")), "simhash-heads")
+    heads = first_of.join(cls, "no").select("no", "cls", F.posexplode("head").alias("pos", "key"))
     apart = stage(mixed_keys(heads).select("key"), "simhash-apart")
     held = stage(heads.drop("cls").join(apart, "key"), "simhash-held")
-    free(apart)
+    free(apart, first_of)
     forget_shuffles(docs.sparkSession)
     for search in () if held.isEmpty() else (head_leader_pairs, head_pairs):
         met = stage(held.join(nodes.select("no", "n", "bits"), "no").join(cls, "no"), "simhash-met")
