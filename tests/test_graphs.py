@@ -258,3 +258,55 @@ def test_many_small_communities_become_other(spark):
 def test_levels_of_the_registered_graph_rise(spark):
     rows = registry.QUERIES["gr_louvain_levels"](spark, "/root/testdata/sf0.001").orderBy("level").collect()
     assert rows and all(a.modularity < b.modularity and a.communities > b.communities for a, b in zip(rows, rows[1:]))
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs a piece of work starts."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_communities_of_few_edges_need_few_jobs(spark):
+    edges = spark.createDataFrame(rings(cliques=12, size=6), WEIGHTED)
+    assert 0 < jobs_of(spark, lambda: communities.communities(edges).collect()) <= 25
+
+
+@pytest.mark.parametrize("resolution,one_task", [(1.0, 0), (1.0, 30), (0.2, 30), (0.2, 10**6)])
+def test_levels_by_spark_and_in_one_task(spark, resolution, one_task):
+    """No level, those from the first contraction on, or all levels in one task: 72 edges lie within the cliques, 13 between them."""
+    edges = rings(cliques=6, size=4)
+    edges = [(3 * b + 1, 3 * a + 1, w) for a, b, w in edges]
+    members, levels = communities.community_levels(spark.createDataFrame(edges, WEIGHTED), resolution, one_task=one_task)
+    found = {}
+    for r in members.collect():
+        assert r.id not in found.setdefault(r.level, {})
+        found[r.level][r.id] = r.community
+    rows = levels.orderBy("level").collect()
+    assert [r.level for r in rows] == sorted(found) and len(rows) > (resolution < 1)
+    for r in rows:
+        label = found[r.level]
+        assert set(label) == {x for e in edges for x in e[:2]} and r.communities == len(set(label.values()))
+        assert r.modularity == pytest.approx(modularity(edges, label, resolution))
+        assert all(c == min(x for x in label if label[x] == c) for c in label.values())
+    assert all(a.modularity < b.modularity for a, b in zip(rows, rows[1:]))
+    for a, b in zip(rows, rows[1:]):
+        assert len(set(zip(found[a.level].values(), found[b.level].values()))) == a.communities
+
+
+def test_ids_may_be_texts(spark):
+    edges = [(f"{g}{a}", f"{g}{b}", 1.0) for g in "qb" for a in range(5) for b in range(a)] + [("q0", "b0", 0.1)]
+    got = {r.id: r.community for r in communities.communities(spark.createDataFrame(edges, "src string, dst string, weight double")).collect()}
+    assert got == {f"{g}{i}": f"{g}0" for g in "qb" for i in range(5)}
+
+
+def test_own_weights_and_moves_that_gain_nothing_in_one_task(spark):
+    """A lone edge is one community; a node with nothing but its own weight is one by itself; both levels count own weights twice."""
+    edges = [(5, 4, 1.0), (9, 9, 2.0)]
+    members, levels = communities.community_levels(spark.createDataFrame(edges, WEIGHTED))
+    assert {r.id: r.community for r in members.collect()} == {4: 4, 5: 4, 9: 9}
+    assert [(r.level, r.communities, round(r.modularity, 9), r.settled) for r in levels.collect()] == [(1, 2, round(1 - (2 / 6) ** 2 - (4 / 6) ** 2, 9), True)]

@@ -1,7 +1,15 @@
-"""Communities of a weighted graph, level by level: local moving, then contraction, until modularity no longer rises."""
+"""Communities of a weighted graph, level by level: local moving, then contraction, until modularity no longer rises.
+
+A graph of over ONE_TASK edges is moved and contracted by Spark; once it has no more, one task of
+bounded size finds the levels that are left.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +17,8 @@ from tidemark.operators.tables import saved
 
 #: Modularity must rise by this much for another round or level.
 LEAST_RISE = 1e-9
+#: Edges that one task takes: some 250 to 650 bytes each, the most where each has nodes of its own.
+ONE_TASK = 500_000
 
 
 def as_graph(weighted: DataFrame) -> DataFrame:
@@ -81,30 +91,124 @@ def contracted(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return as_graph(graph.join(a, "src").join(b, "dst").select(F.col("ca").alias("src"), F.col("cb").alias("dst"), "weight"))
 
 
-def community_levels(weighted: DataFrame, resolution: float = 1.0, rounds: int = 12, most_levels: int = 10) -> tuple[DataFrame, DataFrame]:
+def moved_in_turn(at: np.ndarray, to: np.ndarray, weight: np.ndarray, k: np.ndarray, total: float, rounds: int, resolution: float) -> tuple[np.ndarray, bool]:
+    """The community of each node, and whether a round moved none: nodes go one after another to where modularity gains most.
+
+    Neighbours of node i are to[at[i]:at[i + 1]], without i itself. Ties go to staying, then to the
+    community of the smallest neighbour. No move loses modularity, as each one sees those before it.
+    """
+    n, k = len(k), k.tolist()
+    nodes = [(to[a:b].tolist(), weight[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    own, sums = list(range(n)), list(k)
+    for _ in range(rounds):
+        moved = False
+        for i, (near, weights) in enumerate(nodes):
+            links = {}
+            for j, w in zip(near, weights):
+                links[own[j]] = links.get(own[j], 0.0) + w
+            now, share = own[i], resolution * k[i] / total
+            sums[now] -= k[i]
+            best, best_gain = now, links.get(now, 0.0) - share * sums[now] + LEAST_RISE
+            for c, w in links.items():
+                if w - share * sums[c] > best_gain:
+                    best, best_gain = c, w - share * sums[c] + LEAST_RISE
+            sums[best] += k[i]
+            if best != now:
+                own[i], moved = best, True
+        if not moved:
+            return np.array(own, np.int64), True
+    return np.array(own, np.int64), False
+
+
+def levels_in_one_task(ids: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float, rounds: int, first: int, most_levels: int, last: float | None) -> Iterator[tuple[np.ndarray, int, float, bool]]:
+    """(name of each id's community, communities, modularity, settled) of each level from `first` on, while it exceeds `last`.
+
+    a and b are places in the sorted ids; edges are distinct pairs, in order. Communities are numbered by their smallest id.
+    """
+    label = np.arange(len(ids))
+    for _ in range(first, most_levels + 1):
+        n = int(label.max()) + 1
+        k = np.bincount(a, weight, n) + np.bincount(b, weight, n)
+        total = float(k.sum()) or 1.0
+        apart = a != b
+        src, dst, w = np.concatenate([a[apart], b[apart]]), np.concatenate([b[apart], a[apart]]), np.concatenate([weight[apart]] * 2)
+        order = np.lexsort((dst, src))
+        at = np.searchsorted(src[order], np.arange(n + 1))
+        own, settled = moved_in_turn(at, dst[order], w[order], k, total, rounds, resolution)
+        degrees = np.bincount(own, k, n)
+        q = 2 * float(weight[own[a] == own[b]].sum()) / total - resolution * float(degrees @ degrees) / (total * total)
+        if last is not None and q <= last + LEAST_RISE:
+            return
+        last = q
+        _, smallest, number = np.unique(own, return_index=True, return_inverse=True)
+        number = np.argsort(np.argsort(smallest))[number]
+        label = number[label]
+        names = ids[np.unique(label, return_index=True)[1]]
+        yield names[label], len(smallest), q, settled
+        pair, edge = np.unique(np.minimum(number[a], number[b]) * len(smallest) + np.maximum(number[a], number[b]), return_inverse=True)
+        a, b, weight = pair // len(smallest), pair % len(smallest), np.bincount(edge, weight)
+
+
+def few_edges(graph: DataFrame, resolution: float, rounds: int, first: int, most_levels: int, last: float | None) -> tuple[DataFrame, list[tuple[int, int, float, bool]]]:
+    """(id, level, community) and the rows of community_levels' second table, of a graph of at most ONE_TASK edges."""
+    kind = graph.schema["src"].dataType.simpleString()
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [x for x in batches if x.num_rows]
+        if not edges:
+            return
+        edges = pa.Table.from_batches(edges)
+        id_type = edges.schema.field("src").type
+        src, dst, weight = (edges.column(c).to_numpy() for c in ("src", "dst", "weight"))
+        ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = place[: len(src)], place[len(src) :]
+        order = np.lexsort((b, a))
+        levels = levels_in_one_task(ids, a[order], b[order], weight[order], resolution, rounds, first, most_levels, last)
+        types = [("id", id_type), ("level", pa.int32()), ("community", id_type), ("communities", pa.int64()), ("modularity", pa.float64()), ("settled", pa.bool_())]
+        for level, (names, *figures) in enumerate(levels, first):
+            for low in range(0, len(ids), 1 << 16):
+                own, named = ids[low : low + (1 << 16)], names[low : low + (1 << 16)]
+                none = [None] * len(own)
+                yield pa.RecordBatch.from_pydict(dict(zip(dict(types), (own, [level] * len(own), named, none, none, none))), pa.schema(types))
+            yield pa.RecordBatch.from_pydict(dict(zip(dict(types), ([x] for x in (None, level, None, *figures)))), pa.schema(types))
+
+    rows = saved(graph.where("src is not null").coalesce(1).mapInArrow(found, f"id {kind}, level int, community {kind}, communities long, modularity double, settled boolean"))
+    # One row a level.
+    levels = rows.where("id is null").select("level", "communities", "modularity", "settled").orderBy("level").collect()
+    return rows.where("id is not null").select("id", "level", "community"), [tuple(r) for r in levels]
+
+
+def community_levels(weighted: DataFrame, resolution: float = 1.0, rounds: int = 12, most_levels: int = 10, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
     """(members, levels) of the undirected graph weighted (src, dst, weight).
 
     members: id, level, community, for every level; a community is named by its smallest id. levels:
     level, communities, modularity, settled. Level 1 moves ids; each further level moves the
     communities of the last one, as long as modularity rises. settled is false where a level used up
     its rounds while ids still moved; the last level is settled only if no further level rises. The
-    same input gives the same result. Ids without an edge are in no community.
+    same input gives the same result. Ids without an edge are in no community. Levels of over
+    `one_task` edges are found by local_moving, those of fewer by moved_in_turn.
     """
-    graph, level_of, members, levels, last = saved(as_graph(weighted)), None, None, [], None
-    for level in range(1, most_levels + 1):
+    graph, level_of, members, levels, rises = saved(as_graph(weighted)), None, None, [], True
+    while (edges := graph.count()) > one_task and len(levels) < most_levels:
         labels, q, n, settled = local_moving(graph, rounds, resolution)
-        if last is not None and q <= last + LEAST_RISE:
+        if levels and q <= levels[-1][2] + LEAST_RISE:
+            rises = False
             break
-        last = q
-        labels = labels.select("id", "community")
-        level_of = labels if level_of is None else level_of.join(labels.toDF("community", "upper"), "community").select("id", F.col("upper").alias("community"))
-        level_of = saved(level_of)
-        names = level_of.groupBy("community").agg(F.min("id").alias("name"))
-        named = level_of.join(names, "community").select("id", F.lit(level).alias("level"), F.col("name").alias("community"))
+        names = labels.groupBy("community").agg(F.min("id").alias("name"))
+        labels = saved(labels.join(names, "community").select("id", F.col("name").alias("community")))
+        level_of = labels if level_of is None else saved(level_of.join(labels.toDF("community", "upper"), "community").select("id", F.col("upper").alias("community")))
+        levels.append((len(levels) + 1, n, float(q), settled))
+        named = level_of.select("id", F.lit(len(levels)).alias("level"), "community")
         members = named if members is None else members.unionByName(named)
-        levels.append((level, n, float(q), settled))
         graph = saved(contracted(graph, labels))
-    else:
+    if rises and edges <= one_task:
+        rest, more = few_edges(graph, resolution, rounds, len(levels) + 1, most_levels, levels[-1][2] if levels else None)
+        if level_of is not None:
+            rest = level_of.join(rest.toDF("community", "level", "upper"), "community").select("id", "level", F.col("upper").alias("community"))
+        members, levels = rest if members is None else members.unionByName(rest), levels + more
+    if not levels:
+        levels = [(1, 0, 0.0, True)]
+    elif rises and len(levels) == most_levels:
         levels[-1] = (*levels[-1][:3], False)
     return saved(members), weighted.sparkSession.createDataFrame(levels, "level int, communities long, modularity double, settled boolean")
 
