@@ -310,3 +310,7 @@ def test_own_weights_and_moves_that_gain_nothing_in_one_task(spark):
     members, levels = communities.community_levels(spark.createDataFrame(edges, WEIGHTED))
     assert {r.id: r.community for r in members.collect()} == {4: 4, 5: 4, 9: 9}
     assert [(r.level, r.communities, round(r.modularity, 9), r.settled) for r in levels.collect()] == [(1, 2, round(1 - (2 / 6) ** 2 - (4 / 6) ** 2, 9), True)]
+
+
+def test_registered_levels_need_few_jobs(spark):
+    assert 0 < jobs_of(spark, lambda: registry.QUERIES["gr_louvain_levels"](spark, "/root/testdata/sf0.001").collect()) <= 60
