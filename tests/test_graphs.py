@@ -314,3 +314,10 @@ def test_own_weights_and_moves_that_gain_nothing_in_one_task(spark):
 
 def test_registered_levels_need_few_jobs(spark):
     assert 0 < jobs_of(spark, lambda: registry.QUERIES["gr_louvain_levels"](spark, "/root/testdata/sf0.001").collect()) <= 60
+
+
+def test_merging_small_communities_needs_few_jobs(spark):
+    found = []
+    assert 0 < jobs_of(spark, lambda: found.extend(registry.QUERIES["gr_merge_cap"](spark, "/root/testdata/sf0.001").collect())) <= 90
+    ids = {x for r in bind(spark, "/root/testdata/sf0.001", "edge4").collect() for x in (r.src, r.dst)}
+    assert {r.id for r in found} >= ids and len({r.id for r in found}) == len(found)
