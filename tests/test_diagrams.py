@@ -150,3 +150,11 @@ def test_roundings(spark):
     rows = spark.createDataFrame([(12.4,), (0.0,), (-37.0,), (0.005,)], "v double").select("v", narrative.roundings(F.col("v")).alias("r")).collect()
     got = {r.v: set(r.r) for r in rows}
     assert got[12.4] == {12.4, 12.0, 10.0, 0.0} and got[0.0] == {0.0} and {-37.0, -35.0, -40.0, -25.0, -50.0} <= got[-37.0] and 0.005 in got[0.005]
+
+
+def test_exploded_facts_are_not_broadcast(spark):
+    """Facts look small on disk; what their numbers and names allow must not meet in the driver."""
+    from tidemark.registry import QUERIES
+
+    plan = QUERIES["nar_validate"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

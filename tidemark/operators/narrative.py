@@ -65,12 +65,14 @@ def validated(texts: DataFrame, facts: DataFrame, vocabulary: DataFrame) -> Data
     that subject. The reason names the first check that failed; null texts look truncated.
     """
     text = F.coalesce("text", F.lit(""))
+    ends = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+$", "")), r"[\"')]+$", "").rlike(r"[.!?]$")
+    rows = texts.select("text_id", F.when(F.char_length(text) > LONGEST, REASONS[0]).when(~ends, REASONS[1]).alias("form"))
+    # What is exploded from texts and facts is larger than Spark estimates, so that no side of it may be broadcast.
     # Figures of a subject are few and distinct, so a subject that many texts share is no pair explosion.
-    odd_numbers = written_numbers(texts).join(accepted_numbers(facts), ["subject", "figure"], "left_anti").select("text_id").distinct().withColumn("odd_number", F.lit(True))
+    odd_numbers = written_numbers(texts).join(accepted_numbers(facts).hint("merge"), ["subject", "figure"], "left_anti").select("text_id").distinct().withColumn("odd_number", F.lit(True))
     known = facts.select("subject", F.explode(F.array("name", "words")).alias("name")).where("name is not null").select("subject", F.lower("name").alias("name")).distinct()
-    odd_names = written_names(texts).join(known, ["subject", "name"], "left_anti").join(vocabulary.select(F.lower("name").alias("name")).distinct(), "name", "left_anti")
+    odd_names = written_names(texts).join(known.hint("merge"), ["subject", "name"], "left_anti").join(vocabulary.select(F.lower("name").alias("name")).distinct(), "name", "left_anti")
     odd_names = odd_names.select("text_id").distinct().withColumn("odd_name", F.lit(True))
-    ends = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+$", "")), r"[\"')]+$", "").rlike(r"[.!?]$")
-    rows = texts.join(odd_numbers, "text_id", "left").join(odd_names, "text_id", "left")
-    reason = F.when(F.char_length(text) > LONGEST, REASONS[0]).when(~ends, REASONS[1]).when(F.col("odd_number"), REASONS[2]).when(F.col("odd_name"), REASONS[3])
+    rows = rows.join(odd_numbers.hint("merge"), "text_id", "left").join(odd_names.hint("merge"), "text_id", "left")
+    reason = F.coalesce("form", F.when(F.col("odd_number"), REASONS[2]).when(F.col("odd_name"), REASONS[3]))
     return rows.select("text_id", reason.isNull().alias("ok"), reason.alias("reason"))
