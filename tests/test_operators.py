@@ -362,6 +362,19 @@ def test_added_lines_are_numbered_in_the_new_file(spark):
     assert sorted((r.sha, r.path, r.line_no, r.line) for r in got) == [("s", "x.py", 4, "one"), ("s", "x.py", 5, "two"), ("s", "x.py", 31, "three")]
 
 
+def test_patches_with_the_same_keys_do_not_mix(spark):
+    """A merge has one patch for each of its parents."""
+    patch = "diff --git a/x b/x\n--- a/x.py\n+++ b/x.py\n@@ -3,2 +{},3 @@\n+one\n kept\n-gone\n+two\n"
+    got = diffs.added_lines(spark.createDataFrame([("s", patch.format(3)), ("s", patch.format(40)), ("s", patch.format(3))], "sha string, patch string"), ["sha"]).collect()
+    assert sorted((r.line_no, r.line) for r in got) == [(3, "one"), (3, "one"), (5, "two"), (5, "two"), (40, "one"), (42, "two")]
+
+
+def test_a_token_too_long_for_its_rule_is_found_by_the_general_one(spark):
+    rows = [(1, "a.py", 1, f"token = 'ghp_{'123456' + 'abcdefghijklmnopqrstuvwxyzABCD'}'"), (2, "a.py", 1, f"token = 'ghp_{'1234567' + 'abcdefghijklmnopqrstuvwxyzABCD'}'")]
+    got = secrets.scan_lines(spark.createDataFrame(rows, "sha long, path string, line_no long, line string")).collect()
+    assert sorted((r.sha, r.rule) for r in got) == [(1, "generic-high-entropy-assignment"), (1, "github-pat"), (2, "generic-high-entropy-assignment")]
+
+
 def test_groups_are_named_by_folder_then_word_then_number(spark):
     rows = [(1, i, f"src/billing/f{i}.py") for i in range(6)] + [(1, 6, "docs/x.md")] + [(2, 10 + i, f"app/src/g{i}.py") for i in range(4)] + [(3, 20 + i, f"d{i}/ledgerView.py") for i in range(3)] + [(4, 30, "z/main.py"), (4, 31, "y/index.py")]
     rows += [(5, 40 + i, f"other/billing/h{i}.py") for i in range(2)]
